@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tessera.session import shared_path, table
 from tessera.sources import compaction
 
-#: Rows of records that one partition of the compacted table should get.
-BUCKET_ROWS = 500_000
+#: Files whose records one partition of the compacted table should get, for some 128 MB, and the
+#: least for which it is worth a task of its own.
+BUCKET_FILES, LEAST_FILES = 400_000, 5_000
 
 
 def _whole(x) -> bool:
@@ -79,7 +80,7 @@ def compacted(spark: SparkSession, files: DataFrame, path: str, n_files: int | N
     file; records are hashed to buckets by their whole key, so no prompt makes a hot bucket.
     """
     n = files.count() if n_files is None else n_files
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = max(1, -(-n // BUCKET_FILES), min(spark.sparkContext.defaultParallelism, n // LEAST_FILES))
     rows = parsed(files).withColumn("bucket", F.pmod(F.xxhash64("prompt_id", "essay_id"), F.lit(buckets)).cast("int"))
     compaction.append(rows, path, "bucket")
     return compaction.compact(spark, path, "bucket", ["prompt_id", "essay_id"], ["received_at", "file_id"])
@@ -90,5 +91,4 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "raw-files")
     compacted(spark, table(spark, sf_dir, "raw_files"), path)
     rows = spark.read.schema("prompt_id string, essay_id bigint, record string, file_id bigint, received_at timestamp_ntz, bucket int").parquet(path)
-    # partitions that weren't crowded were not rewritten and may hold several copies
-    return rows.groupBy("prompt_id", "essay_id").agg(F.max_by("file_id", F.struct("received_at", "file_id")).alias("file_id"))
+    return rows.select("prompt_id", "essay_id", "file_id")

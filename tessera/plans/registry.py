@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.plans import essay_records
+from tessera.plans import essay_records, raw_files
 
 MODULES = ()
 
 
 def queries() -> dict:
-    out = {"p1_found": essay_records.p1_found, "p1_traits": essay_records.p1_traits, "p1_feedback": essay_records.p1_feedback}
+    out = {"p1_found": essay_records.p1_found, "p1_traits": essay_records.p1_traits, "p1_feedback": essay_records.p1_feedback, "p2_found": raw_files.p2_found}
     for m in MODULES:
         out |= m.QUERIES
     return out

@@ -21,10 +21,12 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """A committed state: number, and by partition the (file name, bytes) of its files."""
+    """A committed state: number, by partition the (file name, bytes) of its files, and the
+    partitions whose files a compaction wrote, so that each key stands in them once."""
 
     number: int
     files: dict[str, tuple[tuple[str, int], ...]]
+    clean: tuple[str, ...] = ()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,22 +59,24 @@ def current(spark: SparkSession, path: str) -> Version | None:
         return None
     text = spark.read.text(f"{path}/_versions/{names[-1]}", wholetext=True).first()[0]
     v = json.loads(text)
-    return Version(v["number"], {k: tuple((n, b) for n, b in fs_) for k, fs_ in v["files"].items()})
+    return Version(v["number"], {k: tuple((n, b) for n, b in fs_) for k, fs_ in v["files"].items()}, tuple(v["clean"]))
 
 
-def commit(spark: SparkSession, path: str, after: Version | None) -> Version:
-    """Record what the table holds as the version after ``after``.
+def commit(spark: SparkSession, path: str, after: Version | None, cleaned: list[str] | None = None) -> Version:
+    """Record what the table holds as the version after ``after``; ``cleaned`` were rewritten.
 
     The manifest is created exclusively: where another writer took the number first, this
     raises :class:`ConflictError`.
     """
-    v = Version((after.number if after else 0) + 1, listing(spark, path))
+    files = listing(spark, path)
+    clean = {*(cleaned or ()), *(k for k in (after.clean if after else ()) if files.get(k) == after.files.get(k))}
+    v = Version((after.number if after else 0) + 1, files, tuple(sorted(clean)))
     fs, p = _fs(spark, f"{path}/_versions/{v.number:08d}.json")
     try:
         out = fs.create(p, False)
     except Exception as e:
         raise ConflictError(f"version {v.number} exists") from e
-    out.write(bytearray(json.dumps({"number": v.number, "files": v.files}).encode()))
+    out.write(bytearray(json.dumps({"number": v.number, "files": v.files, "clean": v.clean}).encode()))
     out.close()
     return v
 
@@ -86,8 +90,9 @@ def append(df: DataFrame, path: str, partition: str) -> Version:
 
 
 def crowded(v: Version, small_bytes: int, max_small: int) -> list[str]:
-    """Partitions with more than ``max_small`` files under ``small_bytes``."""
-    return [k for k, files in v.files.items() if sum(b < small_bytes for _, b in files) > max_small]
+    """Partitions with more than ``max_small`` files under ``small_bytes``, or with files that no
+    compaction has gone through yet."""
+    return [k for k, files in v.files.items() if k not in v.clean or sum(b < small_bytes for _, b in files) > max_small]
 
 
 def compact(
@@ -131,4 +136,4 @@ def compact(
     if file_rows:
         writer = writer.option("maxRecordsPerFile", file_rows)
     writer.parquet(path)
-    return commit(spark, path, seen)
+    return commit(spark, path, seen, todo)
