@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import encode
+from tessera.llm import encode, leaks, spans
 
 
 def queries() -> dict:
-    return {"p8_ids": encode.p8_ids}
+    return {
+        "p8_ids": encode.p8_ids,
+        "p9_found": leaks.p9_found,
+        "p9_items": leaks.p9_items,
+        "p10_found": spans.p10_found,
+        "p10_shared": spans.p10_shared,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
