@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import encode, leaks, spans
+from tessera.llm import encode, leaks, spans, splits
 
 
 def queries() -> dict:
     return {
+        "p3_found": splits.p3_found,
+        "p3_splits": splits.p3_splits,
+        "p3_shares": splits.p3_shares,
         "p8_ids": encode.p8_ids,
         "p9_found": leaks.p9_found,
         "p9_items": leaks.p9_items,
