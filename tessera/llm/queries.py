@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import encode, leaks, spans, splits
+from tessera.llm import encode, leaks, sentences, spans, splits
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
         "p3_shares": splits.p3_shares,
+        "p7_found": sentences.p7_found,
         "p8_ids": encode.p8_ids,
         "p9_found": leaks.p9_found,
         "p9_items": leaks.p9_items,
