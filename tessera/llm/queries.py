@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import encode, leaks, sentences, spans, splits, truncation
+from tessera.llm import encode, leaks, pairs, sentences, spans, splits, truncation
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
         "p3_shares": splits.p3_shares,
+        "p5_found": pairs.p5_found,
+        "p5_rates": pairs.p5_rates,
         "p6_found": truncation.p6_found,
         "p6_rates": truncation.p6_rates,
         "p7_found": sentences.p7_found,
