@@ -22,11 +22,13 @@ from tessera.llm.splits import plain_id
 from tessera.llm.truncation import BLANKS, truncated
 from tessera.session import cut, table
 
-OPENING = 4  # sentences that make a response's opening; responses with no more are short
+OPENING = 6  # sentences that make a response's opening
+SHORT = 120  # letters and digits of a short response, which its opening holds whole
 BANDS, ROWS = 5, 3  # of the MinHash signature
 SIMILAR = 0.5  # Jaccard of trigrams at which an opening belongs to its cluster
-RECUR = 3  # short responses, and topics, in which a template must recur
-SHORT_SHARE = 0.6  # of a template's openings that stand in short responses
+RECUR, TOPICS = 5, 3  # short responses, and topics, in which a template must recur
+AGREE = 2  # bands in which an opening must belong to a template
+SHORT_SHARE = 0.8  # of a template's openings that stand in short responses
 LEFT_OVER = 25  # letters and digits that a refusal may hold besides
 COPY_GRAM = 6  # characters of the prompt that count as its wording
 COPIED = 0.6  # of a sentence's characters for it to be the prompt's
@@ -136,7 +138,7 @@ def judged(pairs: DataFrame) -> DataFrame:
                 parts = [text[s:e] for s, e in units(text)]
                 flags = copied(parts, prompt) if prompt else [False] * len(parts)
                 own = [(p, len(bare(p))) for p, f in zip(parts, flags) if not f]
-                short = len(parts) <= OPENING
+                short = len(parts) <= OPENING and sum(n for _, n in own) <= SHORT
                 openings = []
                 for p, size in own[:OPENING]:
                     masked = re.sub(r"\d+", "0", p.replace(topic, "＊") if topic else p).lower().strip(BLANKS + ".!?…。！？")
@@ -167,8 +169,8 @@ def refusals(rows: DataFrame) -> DataFrame:
     """essay_id of the short responses that consist of templates which recur across topics.
 
     ``rows`` as :func:`judged` gives them.  A band whose openings recur in at least RECUR short
-    responses and topics, and mostly there, names a template, its commonest opening; an opening
-    belongs to it if their trigrams are similar.
+    responses and TOPICS topics, and mostly there, names a template, its commonest opening; an
+    opening belongs to it if their trigrams are similar, in at least AGREE of its bands.
     """
     short = rows.where("essay_id IS NOT NULL AND size(openings) > 0").select("essay_id", "topic", "rest", F.posexplode("openings").alias("no", "o")).select("essay_id", "topic", "rest", "no", "o.*")
     bands = short.select("essay_id", "no", "topic", "text", F.explode("bands").alias("band"))
@@ -176,15 +178,15 @@ def refusals(rows: DataFrame) -> DataFrame:
     reps = by_text.groupBy("band").agg(F.sum("n").alias("n_short"), F.max_by("text", F.struct("n", "text")).alias("rep"))
     topics = bands.where("topic IS NOT NULL").select("band", "topic").distinct().groupBy("band").agg(F.count("*").alias("n_topics"))
     total = rows.where("band IS NOT NULL").groupBy("band").agg(F.sum("n_all").alias("n_all"))
-    templates = reps.where(F.col("n_short") >= RECUR).join(topics.where(F.col("n_topics") >= RECUR), "band").join(total, "band").where(F.col("n_short") >= SHORT_SHARE * F.col("n_all"))
+    templates = reps.where(F.col("n_short") >= RECUR).join(topics.where(F.col("n_topics") >= TOPICS), "band").join(total, "band").where(F.col("n_short") >= SHORT_SHARE * F.col("n_all"))
 
     def grams(c: str):
         s = F.concat(F.lit("^"), F.col(c), F.lit("$"))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(s) - 2)), lambda i: F.substring(s, i, F.lit(3))))
 
-    distinct = by_text.join(templates.select("band", "rep"), "band").select("text", "rep").distinct()
+    distinct = by_text.join(templates.select("band", "rep"), "band").groupBy("text", "rep").agg(F.count("*").alias("n"))
     a, b = grams("text"), grams("rep")
-    known = distinct.where(F.size(F.array_intersect(a, b)) >= SIMILAR * F.size(F.array_union(a, b))).select("text").distinct().withColumn("known", F.lit(True))
+    known = distinct.where(F.size(F.array_intersect(a, b)) >= SIMILAR * F.size(F.array_union(a, b))).groupBy("text").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("text", F.lit(True).alias("known"))
     told = short.join(known, "text", "left").groupBy("essay_id").agg(F.max("known").alias("known"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("size"))).alias("left"), F.max("rest").alias("rest"))
     return told.where(F.col("known") & (F.col("left") + F.col("rest") <= LEFT_OVER)).select("essay_id")
 
