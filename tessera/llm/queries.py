@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import encode, leaks, pairs, sentences, spans, splits, truncation
+from tessera.llm import consensus, encode, leaks, pairs, sentences, spans, splits, truncation
 
 
 def queries() -> dict:
@@ -10,6 +10,10 @@ def queries() -> dict:
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
         "p3_shares": splits.p3_shares,
+        "p4_found": consensus.p4_found,
+        "p4_raters": consensus.p4_raters,
+        "p4_consensus": consensus.p4_consensus,
+        "p4_agreement": consensus.p4_agreement,
         "p5_found": pairs.p5_found,
         "p5_rates": pairs.p5_rates,
         "p6_found": truncation.p6_found,
@@ -24,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(consensus.SQL)
