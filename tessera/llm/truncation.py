@@ -75,6 +75,8 @@ def ending(text: str) -> tuple[str, str, str, str, int, int]:
     m = LEFT.search(core)
     if m and m.start() and (m[0].strip()[0] in "([（【" or core.endswith(("...", "…"))):
         core, marked = core[: m.start()].rstrip(), True
+        if not _END.search(core):
+            return "cut", "", "", "", len(core), len(core.encode("utf-8", "surrogatepass"))
     m = _ELLIPSIS.search(core)
     if m and m.start():
         core, marked = core[: m.start()].rstrip(), True
