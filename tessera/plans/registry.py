@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import essay_records, raw_files
+from tessera.plans import essay_records, ratings, raw_files
 
-MODULES = ()
+MODULES = (ratings,)
 
 
 def queries() -> dict:
