@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import essay_records, ratings, raw_files
+from tessera.plans import attribution, contrast, essay_records, ratings, raw_files
 
-MODULES = (ratings,)
+MODULES = (ratings, attribution, contrast)
 
 
 def queries() -> dict:
