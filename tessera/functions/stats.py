@@ -14,8 +14,8 @@ from tessera.functions.vocab import SCORE_MAX, SCORE_MIN
 
 
 def clip_round(x: Column, low: int = SCORE_MIN, high: int = SCORE_MAX) -> Column:
-    """The nearest score, halves to even, within the scale."""
-    return F.least(F.greatest(F.rint(x), F.lit(float(low))), F.lit(float(high)))
+    """The nearest score, halves to even, within the scale; NULL for NULL."""
+    return F.when(x.isNotNull(), F.least(F.greatest(F.rint(x), F.lit(float(low))), F.lit(float(high))))
 
 
 def qwk(x: Column, y: Column) -> Column:
@@ -54,7 +54,8 @@ def icc21(x: Column, y: Column) -> Column:
 
 def pearson(x: Column, y: Column) -> Column:
     """Pearson's r; NULL where either doesn't vary."""
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    v = F.var_pop(x) * F.var_pop(y)  # not corr, which divides by zero here
+    return F.when(v > 0, F.covar_pop(x, y) / F.sqrt(v))
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import attribution, contrast, essay_records, features, ratings, raw_files
+from tessera.plans import attribution, contrast, decisions, essay_records, features, ratings, raw_files
 
-MODULES = (ratings, attribution, contrast, features)
+MODULES = (ratings, attribution, contrast, features, decisions)
 
 
 def queries() -> dict:
