@@ -1,6 +1,6 @@
 """Text as tokens, sentences and counts, with built-in functions; analysers and encoders are pluggable."""
 
-from __future__ import annotations
+
 
 from collections.abc import Callable, Iterator
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import attribution, contrast, decisions, essay_records, features, ratings, raw_files
+from tessera.plans import annotations, attribution, contrast, decisions, essay_records, features, ratings, raw_files, sampling
 
-MODULES = (ratings, attribution, contrast, features, decisions)
+MODULES = (ratings, attribution, contrast, features, decisions, sampling, annotations)
 
 
 def queries() -> dict:
