@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import annotations, attribution, contrast, decisions, essay_records, features, models, ratings, raw_files, sampling
+from tessera.plans import annotations, attribution, audit, contrast, decisions, essay_records, features, models, ratings, raw_files, sampling
 
-MODULES = (ratings, attribution, contrast, features, decisions, sampling, annotations, models)
+MODULES = (ratings, attribution, contrast, features, decisions, sampling, annotations, audit, models)
 
 
 def queries() -> dict:
