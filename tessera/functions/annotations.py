@@ -48,6 +48,10 @@ def _index(x: Column) -> Column:
     return (F.regexp_extract(F.schema_of_variant(x), r"^([A-Z]+)", 1) == "BIGINT") & (F.try_variant_get(x, "$", "bigint") >= 0)
 
 
+def _below(n: Column):
+    return lambda x: x < n
+
+
 def score_violation(v: Column, evidence_sizes: dict[str, Column] | None = None) -> Column:
     """The first violation of a scoring record, or NULL where it is valid.
 
@@ -73,7 +77,7 @@ def score_violation(v: Column, evidence_sizes: dict[str, Column] | None = None)
             F.when(~_every(v, f"{p}.span_refs", _index), f"scores.{t}.span_refs must be indices"),
         ]
         if evidence_sizes:
-            checks.append(F.when(~F.coalesce(F.forall(_at(v, f"{p}.span_refs", "array<bigint>"), lambda x, n=evidence_sizes[t]: x < n), F.lit(True)), f"scores.{t}.span_refs out of bounds"))
+            checks.append(F.when(~F.coalesce(F.forall(_at(v, f"{p}.span_refs", "array<bigint>"), _below(evidence_sizes[t])), F.lit(True)), f"scores.{t}.span_refs out of bounds"))
     return F.coalesce(*checks, F.lit(None).cast("string"))
 
 
