@@ -12,7 +12,6 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -137,60 +136,126 @@ def triples(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Anchor:
-    """A repeated ancestor: where it stands and which of the paths below it become columns.
+    """A repeated ancestor: where it stands, which paths below it become columns, and its links.
 
     ``at`` lists alternative places, as paths like ``essay_answer[*].feature.*`` (``.*`` any key,
-    ``[*]`` any position).  ``fields`` maps a column to the path relative to the anchor.
+    ``[*]`` any position).  ``fields`` maps a column to the path relative to the anchor.  ``links``
+    maps a column to another anchor, whose ``key`` it takes over: the instance that holds this one,
+    or else the record's first.
     """
 
     name: str
     at: tuple[str, ...]
     fields: dict[str, str] = field(default_factory=dict)
+    links: dict[str, str] = field(default_factory=dict)
+    #: The field that identifies an instance; without one, or where it is missing, the key it stands under.
+    key: str | None = None
 
 
-def _steps(path: str) -> list[str]:
-    return [x if x[0] == "." else "[*" for x in re.findall(r"\.[^.\[]+|\[\*\]", path if path[:1] in ("[", "") else "." + path)]
+def _steps(path: str) -> tuple[str, ...]:
+    return tuple(x if x[0] == "." else "[*" for x in re.findall(r"\.[^.\[]+|\[\*\]", path if path[:1] in ("[", "") else "." + path))
 
 
-def _fits(want: list[str], shift: int = 0) -> Column:
-    """Do the steps after ``shift`` begin with ``want``?"""
-    tests = [F.size("steps") >= len(want) + shift]
-    for i, w in enumerate(want, 1 + shift):
-        s = F.try_element_at("steps", F.lit(i))
-        tests.append(s.startswith(w[0]) if w in (".*", "[*") else s == w)
-    return reduce(lambda a, b: a & b, tests)
+class Groups:
+    """The anchors' paths, and to which of them a path belongs."""
 
+    def __init__(self, anchors: list[Anchor], flags: tuple[str, ...] = ()) -> None:
+        self.anchors, self.flags = anchors, frozenset(flags)
+        self.fields = list(dict.fromkeys(f for a in anchors for f in a.fields))
+        self.links = list(dict.fromkeys(n for a in anchors for n in a.links))
+        self.places = [(a, _steps(p), {_steps(r): f for f, r in a.fields.items()}) for a in anchors for p in a.at]
+        self.known: dict[tuple[str, ...], list[tuple[Anchor, int, str]]] = {}
 
-def groups(triple: DataFrame, key: str, anchors: list[Anchor], flags: tuple[str, ...] = ()) -> DataFrame:
-    """One row per anchor instance: ``key``, entity, node (its steps), kind, value and all fields.
+    def of(self, shape: tuple[str, ...]) -> list[tuple[Anchor, int, str]]:
+        """(anchor, depth of its node, field) of each anchor that a path of this shape belongs to."""
+        hit = self.known.get(shape)
+        if hit is None:
+            hit = []
+            for a, want, fields in self.places:
+                n = len(want)
+                if len(shape) >= n and all(s == w or (w == ".*" and s[0] == ".") for s, w in zip(shape, want)):
+                    f = "" if len(shape) == n else fields.get(shape[n:])
+                    if f is not None:
+                        hit.append((a, n, f))
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[shape] = hit
+        return hit
 
-    ``node`` begins with the node of the parent's row, whichever anchor that is, so tables can be
-    related without ids of their own.  A path below several anchors counts for each of them.
+    def flagged(self, f: str, value: str | None) -> str | None:
+        return value if value is None or f not in self.flags else "1" if value.strip() else ""
+
+    def pivot(self, triples_: Iterator[tuple[list[str], str, str | None]]) -> list[dict]:
+        """The instances of all anchors in one record's triples, as rows with their fields and links.
+
+        Of a path that a repeated key gives twice the last value counts.
+        """
+        rows: dict[tuple[str, tuple[str, ...]], dict] = {}
+        for steps, kind, value in triples_:
+            for a, n, f in self.of(tuple(s if s[0] == "." else "[*" for s in steps)):
+                node = tuple(steps[:n])
+                row = rows.get((a.name, node))
+                if row is None:
+                    row = rows[a.name, node] = {"entity": a.name, "node": node, "_anchor": a}
+                if f == "":
+                    row["kind"], row["value"] = kind, self.flagged("", value)
+                else:
+                    row[f] = self.flagged(f, value)
+        first: dict[str, dict] = {}
+        for row in rows.values():
+            first.setdefault(row["entity"], row)
+        for row in rows.values():
+            for column, other in row["_anchor"].links.items():
+                node = row["node"]
+                to = next((r for n in range(len(node), -1, -1) if (r := rows.get((other, node[:n])))), None) or first.get(other)
+                row[column] = None if to is None else self.key_of(to)
+        return list(rows.values())
+
+    @staticmethod
+    def key_of(row: dict) -> str | None:
+        if row.get("kind") != "object":
+            return None
+        own = row.get(row["_anchor"].key) if row["_anchor"].key else None
+        last = row["node"][-1] if row["node"] else ""
+        return own if own is not None else last[1:] if last[:1] == "." else None
+
+
+def groups(df: DataFrame, key: str, payload: str, anchors: list[Anchor], flags: tuple[str, ...] = ()) -> DataFrame:
+    """One row per anchor instance: ``key``, entity, node (its steps), kind, value, all fields and links.
+
+    The triples of a record are grouped and pivoted where it is parsed, so nothing is shuffled.
     Fields named in ``flags`` (``""`` names the anchor's own value) come out as ``1`` where their
-    text holds more than blanks and else as an empty text, so that long texts needn't be shuffled.  Of repeated keys the largest value
-    stays.  One shuffle, on ``key``: all rows of a record stay together for what follows.
+    text holds more than blanks and else as an empty text.  A path below several anchors counts for
+    each.  Null texts and texts that are no JSON have no rows.
     """
-    names = list(dict.fromkeys(f for a in anchors for f in a.fields))
-    hits = []
-    for a in anchors:
-        for place in a.at:
-            want = _steps(place)
-            depth = len(want)
-            which = F.lit(None).cast("string")
-            for f, rel in a.fields.items():
-                rest = _steps(rel)
-                which = F.when(_fits(rest, depth) & (F.size("steps") == depth + len(rest)), F.lit(f)).otherwise(which)
-            which = F.when(F.size("steps") == depth, F.lit("")).otherwise(which)
-            hits.append(F.when(_fits(want) & which.isNotNull(), F.struct(F.lit(a.name).alias("entity"), F.slice("steps", 1, depth).alias("node"), which.alias("field"))))
-    rows = triple.select(key, "kind", "value", F.inline(F.array_compact(F.array(*hits))))
-    value = F.when(F.col("field").isin(list(flags)) & F.col("value").isNotNull(), F.when(F.col("value").rlike(r"(?U)\S"), "1").otherwise("")).otherwise(F.col("value")) if flags else F.col("value")
-    rows = rows.withColumn("value", value).repartition(key)
-    own = F.col("field") == ""
-    return rows.groupBy(key, "entity", "node").agg(
-        F.max(F.when(own, F.col("kind"))).alias("kind"),
-        F.max(F.when(own, F.col("value"))).alias("value"),
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in names],
-    )
+    held = Groups(anchors, flags)
+    kept = df.select(F.col(key).alias("_key"), F.col(payload).cast("string").alias("_text")).where("_text IS NOT NULL")
+    kind = dict(df.dtypes)[key]
+    names = ["kind", "value", *held.fields, *held.links]
+    schema = f"_key {kind}, entity string, node array<string>, " + ", ".join(f"`{n}` string" for n in names)
+
+    def run(batches):
+        g = Groups(held.anchors, tuple(held.flags))
+
+        def batch(keys, rows, type_):
+            cols = [pa.array(keys, type_), pa.array([r["entity"] for r in rows], pa.string()), pa.array([list(r["node"]) for r in rows], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array([r.get(n) for r in rows], pa.string()) for n in names)], names=["_key", "entity", "node", *names])
+
+        for b in batches:
+            keys, rows = [], []
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    mine = g.pivot(stream(text.lstrip("\ufeff")))
+                except ValueError:
+                    continue
+                keys += [rid] * len(mine)
+                rows += mine
+                if len(rows) > 50_000:
+                    yield batch(keys, rows, b.schema.field(0).type)
+                    keys, rows = [], []
+            yield batch(keys, rows, b.schema.field(0).type)
+
+    return kept.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def last_key(node: str = "node") -> Column:

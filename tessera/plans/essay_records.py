@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.operators.nested import Anchor, groups, last_key, place, triples
+from tessera.operators.nested import Anchor, groups, last_key, place
 from tessera.session import table
 
 ANSWER = ("essay_answer", "essay_answer[*]")
@@ -21,73 +20,59 @@ TRAIT = _below(PERSONAL, ".*", "[*]")
 RUBRIC = ("rubric.analytic.*", "rubric.analytic[*]")
 LEVELS = tuple(f"evaluation_{i}" for i in range(1, 6))
 
+TO_QUESTION, TO_ANSWER = {"question_id": "question"}, {"question_id": "question", "essay_id": "answer"}
 ANCHORS = [
-    Anchor("question", ("essay_question",), {"id": "id", "text": "prompt"}),
-    Anchor("prompt_line", ("essay_question.prompt", "essay_question.prompt[*]"), {"number": "line", "text": "text"}),
-    Anchor("answer", ANSWER, {"id": "id"}),
-    Anchor("feature", _below(ANSWER, ".feature.*", ".feature[*]", ".feature.groups[*].items[*]"), {"name": "tag", "text": "count"}),
-    Anchor("trait", TRAIT, {"name": "trait", "rubric_key": "rubric_key"}),
-    Anchor("rating", _below(TRAIT, ".score[*]"), {"number": "rater", "text": "score"}),
-    Anchor("feedback", _below(TRAIT, ".feedback", ".feedback[*]"), {"text": "text"}),
-    Anchor("rubric", RUBRIC, {"name": "trait", "rubric_key": "rubric_key"}),
-    Anchor("evaluation", _below(RUBRIC, *(f".{x}" for x in LEVELS), ".evaluations.*", ".evaluations[*]"), {"number": "level", "text": "text"}),
+    Anchor("question", ("essay_question",), {"id": "id", "text": "prompt"}, key="id"),
+    Anchor("prompt_line", ("essay_question.prompt", "essay_question.prompt[*]"), {"number": "line", "text": "text"}, TO_QUESTION),
+    Anchor("answer", ANSWER, {"id": "id"}, TO_QUESTION, key="id"),
+    Anchor("feature", _below(ANSWER, ".feature.*", ".feature[*]", ".feature.groups[*].items[*]"), {"name": "tag", "text": "count"}, TO_ANSWER),
+    Anchor("trait", TRAIT, {"name": "trait", "rubric_key": "rubric_key"}, TO_ANSWER, key="name"),
+    Anchor("rating", _below(TRAIT, ".score[*]"), {"number": "rater", "text": "score"}, TO_ANSWER | {"trait": "trait"}),
+    Anchor("feedback", _below(TRAIT, ".feedback", ".feedback[*]"), {"text": "text"}, TO_ANSWER | {"trait": "trait"}),
+    Anchor("rubric", RUBRIC, {"name": "trait", "rubric_key": "rubric_key"}, TO_QUESTION, key="name"),
+    Anchor("evaluation", _below(RUBRIC, *(f".{x}" for x in LEVELS), ".evaluations.*", ".evaluations[*]"), {"number": "level", "text": "text"}, TO_QUESTION | {"trait": "rubric"}),
 ]
 
 
 def record_tables(records: DataFrame, key: str = "record_id", payload: str = "payload", presence_only: bool = False) -> DataFrame:
-    """All tables of the records in one frame: entity, parent_key, child_key, place, text, rubric_key.
+    """All tables of the records in one frame: entity, parent_key, child_key, text, rubric_key.
 
     Rows are the children that are present and not null.  ``presence_only`` replaces texts by 1
     where they hold more than blanks.  A null payload, one that is no JSON, and a record without
-    ``essay_question`` object give no rows; a child without a key gives none either.  A record
-    that repeats a key below one parent gives that child once.
+    ``essay_question`` object give no rows; a child without a key gives none either.
     """
-    g = groups(triples(records, key, payload), key, ANCHORS, ("text", "") if presence_only else ())
-    node = F.col("node")
-    inside = F.try_element_at("node", F.lit(1)) == ".essay_answer"
-    many = F.coalesce(F.try_element_at("node", F.lit(2)).startswith("["), F.lit(False))
-    g = g.withColumn("_answer", F.when(inside & many, F.element_at("node", 2)).when(inside | (F.try_element_at("node", F.lit(1)) == ".score"), F.lit("[0")))
-    # the trait or rubric entry that holds the row: the node as far as two steps below "analytic"
-    g = g.withColumn("_holder", F.when(F.array_contains("node", ".analytic"), F.array_join(F.slice(node, 1, F.array_position("node", ".analytic").cast("int") + 1), "\x1f")))
-    g = g.withColumn("_name", F.when(F.col("kind") == "object", F.coalesce("name", last_key())))
-    rec, ans, holder = W.partitionBy(key), W.partitionBy(key, "_answer"), W.partitionBy(key, "_holder")
-
-    def only(entity: str | list[str], c: Column) -> Column:
-        return F.max(F.when(F.col("entity").isin(entity), c))
-
-    g = g.withColumn("_question", only("question", F.col("id")).over(rec))
-    g = g.withColumn("_essay", only("answer", F.when(F.col("kind") == "object", F.col("id"))).over(ans))
-    g = g.withColumn("_trait", only(["trait", "rubric"], F.col("_name")).over(holder))
-    question, essay, trait = F.col("_question"), F.col("_essay"), F.col("_trait")
-    scalar = F.col("kind").isin("string", "number", "bool")
-    obj = F.col("kind") == "object"
-    at = F.coalesce(F.expr("cast(try_cast(number AS bigint) AS string)"), place().cast("string"))
+    g = groups(records, key, payload, ANCHORS, ("text", "") if presence_only else ())
+    scalar, obj = F.col("kind").isin("string", "number", "bool"), F.col("kind") == "object"
+    essay, trait, question = F.col("essay_id"), F.col("trait"), F.when(F.col("entity") == "question", F.col("id")).otherwise(F.col("question_id"))
+    number = F.expr("cast(try_cast(number AS bigint) AS string)")
+    at = F.coalesce(number, place().cast("string"))
     filled = F.when(scalar, F.col("value")).when(obj, F.col("text"))
-    level = F.coalesce(F.expr("cast(try_cast(number AS bigint) AS string)"), place().cast("string"), F.regexp_extract(last_key(), r"(\d+)$", 1))
+    level = F.coalesce(number, place().cast("string"), F.regexp_extract(last_key(), r"(\d+)$", 1))
+    name = F.coalesce("name", last_key())
+    both = F.concat_ws("/", essay, trait)
 
     def child(entity: str, parent: Column, key_: Column, ok: Column) -> Column:
         return F.when((F.col("entity") == entity) & ok, F.struct(parent.alias("parent_key"), key_.alias("child_key")))
 
-    both = F.concat_ws("/", essay, trait)
     row = F.coalesce(
         child("question", F.col(key).cast("string"), question, obj),
         child("prompt_line", question, F.coalesce(at, F.lit("1")), scalar | obj),
         child("answer", question, F.col("id"), obj),
-        child("feature", essay, F.coalesce("name", last_key()), filled.isNotNull()),
-        child("trait", essay, trait, obj),
+        child("feature", essay, name, filled.isNotNull()),
+        child("trait", essay, name, obj),
         child("rating", both, at, filled.isNotNull()),
         child("feedback", both, F.coalesce(place().cast("string"), F.lit("1")), filled.rlike(r"(?U)\S")),
-        child("rubric", question, trait, obj),
+        child("rubric", question, name, obj),
         child("evaluation", F.concat_ws("/", question, trait), level, filled.isNotNull()),
     )
-    out = g.withColumn("_row", row).where("_row.child_key IS NOT NULL AND _question IS NOT NULL")
+    out = g.withColumn("_question", question).withColumn("_row", row).where("_row.child_key IS NOT NULL AND _question IS NOT NULL")
     return out.select(key, "entity", "_row.parent_key", "_row.child_key", filled.alias("text"), "rubric_key")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, entity, parent_key, child_key of every child in ``essay_records``."""
     out = record_tables(table(spark, sf_dir, "essay_records"), presence_only=True)
-    # a record's rows are together already: no shuffle
+    # the same content may come in two forms in one record
     return out.select("record_id", "entity", "parent_key", "child_key").dropDuplicates(["record_id", "entity", "parent_key", "child_key"])
 
 
