@@ -54,12 +54,13 @@ PLACES = "마을 광장 언덕 골목 나루 들판 쉼터 배움터 누리터 
 END = r"[.!?。！？．｡।॥…‥]"
 CLOSE = r"""["'”’»›)\]}）］｝」』】〉》]"""
 #: A predicate's ending.  A word of two syllables in 다 must be a known predicate or follow an object,
-#: a subject or a connective form, as it may be a name.
+#: a subject or a connective form, as it may be a name.  What a pattern asks of the text before its
+#: last letter stands in lookbehinds, so that a search only stops at that letter.
 KO_LINK = "[을를이가혀어아여고지게]"
 KO_TWO = "|".join(KOREAN_SHORT)
-KO_PREDICATE = rf"(?:[가-힣][가-힣]다(?<=[가-힣]{{3}})|(?<![가-힣])(?:{KO_TWO})(?!\s+(?:{'|'.join(PLACES)}))|(?<={KO_LINK}\s)[가-힣]다)"
-KO_POLITE = r"(?:[가-힣](?:[어아여해워와겨려져쳐껴봐돼래데네나까지죠세예]요|죠)|습니까|니까|[을를일할될갈볼]까|[내보하쓰]자)"
-KO_END = r"(?:[가-힣]다|[가-힣](?:[어아여해워와겨려져쳐껴봐돼래데네나까지죠세예]요|죠)|습니까|니까|[을를일할될갈볼]까|[내보하쓰]자)"
+KO_PREDICATE = rf"다(?:(?<=[가-힣]{{2}}다)|(?<=(?<![가-힣])(?:{KO_TWO}))(?!\s+(?:{'|'.join(PLACES)}))|(?<={KO_LINK}\s[가-힣]다))"
+KO_POLITE = r"(?:[요죠](?<=[가-힣](?:[어아여해워와겨려져쳐껴봐돼래데네나까지죠세예]요|죠))|까(?<=습니까|니까|[을를일할될갈볼]까)|자(?<=[내보하쓰]자))"
+KO_END = r"(?<=[가-힣]다|[가-힣](?:[어아여해워와겨려져쳐껴봐돼래데네나까지죠세예]요|죠)|습니까|니까|[을를일할될갈볼]까|[내보하쓰]자)"
 LABEL = r"(?:\(?\d{1,3}[.)]|\(?[가나다라마바사아자차카타파하][.)]|[①-⑳㉠-㉻]|\(?[ivxIVX]{1,4}[.)]|[•·▪◦‣*\-–—])"
 LINE = r"[\n\r\x0b\x0c\x85  ]"
 
