@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.sentences import ABBREVIATIONS, KO_POLITE, KO_PREDICATE, keyed_texts, units
+from tessera.llm.sentences import ABBREVIATIONS, keyed_texts, units
 from tessera.session import cut
 
 BLANKS = " \t\r\n\x0b\x0c\x85             ​‌‍    ⁠　﻿"
@@ -38,7 +38,6 @@ _LABEL = re.compile(r"\(?(?:\d{1,3}|[가나다라마바사아자차카타파하]
 _ABBREVIATION = re.compile(rf"(?<![A-Za-z.])(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.$")
 _CHAR = re.compile(r"[^\W_]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_KO_WHOLE = re.compile(rf"(?:{KO_POLITE}|[가-힣]{{2}}다)$")
 _PAIRS = ("“”", "「」", "『』", "（）", "()", "【】", "《》", "‘’")
 
 
@@ -59,11 +58,12 @@ def open_pair(unit: str) -> bool:
     return unit.count('"') % 2 == 1
 
 
-def ending(text: str) -> tuple[str, str, str, str, int, int]:
+def ending(text: str, parts: list[tuple[int, int]] | None = None) -> tuple[str, str, str, str, int, int]:
     """(state, word before, last word, its short form, length, bytes) of how a text ends.
 
     ``whole`` and ``cut`` are certain from the text alone; ``ask`` leaves it to the corpus.  Length
-    and bytes don't count a mark left at the break.
+    and bytes don't count a mark left at the break.  ``parts`` are the text's sentences, where they
+    are known already.
     """
     t = text.rstrip(BLANKS)
     if not _CHAR.search(t):
@@ -83,7 +83,8 @@ def ending(text: str) -> tuple[str, str, str, str, int, int]:
     size = len(core), len(core.encode("utf-8", "surrogatepass"))
     if not marked and re.search(r"\w[-–—]$", core):
         return "cut", "", "", "", size[0] - 1, size[1] - 1
-    parts = units(core)
+    if parts is None or core != t:
+        parts = units(core)
     if not parts:
         return "whole", "", "", "", *size
     unit = core[parts[-1][0] : parts[-1][1]]
@@ -106,10 +107,8 @@ def ending(text: str) -> tuple[str, str, str, str, int, int]:
     return "ask", before, word(tokens[-1]), "", *size
 
 
-def counted(text: str, into: Counter) -> None:
-    """Add to ``into`` how often each word, after the word before it, goes on or ends a sentence."""
-    t = text.rstrip(BLANKS)
-    parts = units(t)
+def counted(t: str, parts: list[tuple[int, int]], into: Counter) -> None:
+    """Add to ``into`` how often each word of the sentences, after the word before it, goes on or ends one."""
     for x, (s, e) in enumerate(parts):
         unit = t[s:e]
         last = x == len(parts) - 1 and not _END.search(unit)
@@ -144,9 +143,11 @@ def scanned(texts: DataFrame) -> DataFrame:
             counts: Counter = Counter()
             rows = []
             for field, key, trait, text, source in zip(*(b.column(x).to_pylist() for x in range(5))):
-                state, before, w, short, n, size = ending(text)
+                t = text.rstrip(BLANKS)
+                parts = units(t)
+                state, before, w, short, n, size = ending(t, parts)
                 rows.append((field, key, trait, source, state, before, w, short, n, size, hash_of(text), None, None))
-                counted(text, counts)
+                counted(t, parts, counts)
             for (before, w), (ends, goes) in paired(counts).items():
                 rows.append((None, None, None, None, None, before, w, None, None, None, None, ends, goes))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
