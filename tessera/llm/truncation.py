@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +39,14 @@ _LABEL = re.compile(r"\(?(?:\d{1,3}|[가나다라마바사아자차카타파하]
 _ABBREVIATION = re.compile(rf"(?<![A-Za-z.])(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.$")
 _CHAR = re.compile(r"[^\W_]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Characters at the end of a text that a mark of a break or an end may take.
+TAIL = 64
 _PAIRS = ("“”", "「」", "『』", "（）", "()", "【】", "《》", "‘’")
 
 
+@lru_cache(100_000)
 def word(token: str) -> str:
-    """A token without marks at its edges; digits count as one."""
+    """A token without marks at its edges; digits count as one.  Remembered, as words recur."""
     return re.sub(r"\d+", "0", _EDGE.sub("", token)).lower()
 
 
@@ -50,6 +54,13 @@ def grams(unit: str) -> str:
     return re.sub(r"\d+", "0", re.sub(r"[\s\W_]+$", "", unit))
 
 
+def at_end(pattern: re.Pattern, text: str) -> int:
+    """Where the match begins that ends the text, or -1."""
+    skip = max(0, len(text) - TAIL)
+    m = pattern.search(text[skip:])
+    return m.start() + skip if m else -1
+
+
 def open_pair(unit: str) -> bool:
     """Does speech or a bracket that begins in the unit not end in it?"""
     for a, b in _PAIRS[:7]:
@@ -72,31 +83,30 @@ def ending(text: str, parts: list[tuple[int, int]] | None = None) -> tuple[str,
     if core != t:
         return "cut", "", "", "", len(core), len(core.encode())
     marked = False
-    m = LEFT.search(core)
-    if m and m.start() and (m[0].strip()[0] in "([（【" or core.endswith(("...", "…"))):
-        core, marked = core[: m.start()].rstrip(), True
-        if not _END.search(core):
+    m = at_end(LEFT, core)
+    if m > 0 and (core[m:].strip()[0] in "([（【" or core.endswith(("...", "…"))):
+        core, marked = core[:m].rstrip(), True
+        if at_end(_END, core) < 0:
             return "cut", "", "", "", len(core), len(core.encode("utf-8", "surrogatepass"))
-    m = _ELLIPSIS.search(core)
-    if m and m.start():
-        core, marked = core[: m.start()].rstrip(), True
+    m = at_end(_ELLIPSIS, core)
+    if m > 0:
+        core, marked = core[:m].rstrip(), True
     size = len(core), len(core.encode("utf-8", "surrogatepass"))
-    if not marked and re.search(r"\w[-–—]$", core):
+    if not marked and re.search(r"\w[-–—]$", core[-2:]):
         return "cut", "", "", "", size[0] - 1, size[1] - 1
     if parts is None or core != t:
         parts = units(core)
     if not parts:
         return "whole", "", "", "", *size
     unit = core[parts[-1][0] : parts[-1][1]]
-    if open_pair(unit) or _LABEL.fullmatch(unit) or _ABBREVIATION.search(unit):
+    if open_pair(unit) or _LABEL.fullmatch(unit) or _ABBREVIATION.search(unit[-16:]):
         return "cut", "", "", "", *size
     hangul = bool(_HANGUL.search(unit))
-    if hangul and re.search(r"\d\.$", unit):
+    if hangul and re.search(r"\d\.$", unit[-2:]):
         return "cut", "", "", "", *size
-    end = _END.search(unit)
-    if end:
-        spoken = end[0][-1] in "\"”’」』" and unit[0] not in "\"“‘「『"
-        if spoken and (hangul or end[0][-1] in "」』"):
+    if at_end(_END, unit) >= 0:
+        spoken = unit[-1] in "\"”’」』" and unit[0] not in "\"“‘「『"
+        if spoken and (hangul or unit[-1] in "」』"):
             return "cut", "", "", "", *size
         return "whole", "", "", "", *size
     if _SPACELESS.search(unit.rstrip("%0123456789")) and not hangul:
@@ -111,7 +121,7 @@ def counted(t: str, parts: list[tuple[int, int]], into: Counter) -> None:
     """Add to ``into`` how often each word of the sentences, after the word before it, goes on or ends one."""
     for x, (s, e) in enumerate(parts):
         unit = t[s:e]
-        last = x == len(parts) - 1 and not _END.search(unit)
+        last = x == len(parts) - 1 and at_end(_END, unit) < 0
         if _SPACELESS.search(re.sub(r"[\s\W_0-9]+$", "", unit)) and not _HANGUL.search(unit):
             g = grams(unit)
             for n in (GRAM, SHORT_GRAM):
