@@ -155,13 +155,15 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     A leak is at least ``run`` consecutive letters or digits of an item, all other characters and
     differences of case, width and composition left aside.  Items shorter than that, null and
     empty texts leak nothing.  Items with an id that occurs twice count once, by the longest run;
-    repeated documents give repeated rows only where their ids differ.  The corpus isn't shuffled;
+    repeated documents give repeated rows only where their ids differ.  Where both keys have one
+    name, the item's column is called ``item_`` and that name.  The corpus isn't shuffled;
     the index of each block of items is broadcast, whose size is bounded by ITEMS and ITEM_CHARS,
     and the corpus is read once for each block.
     """
     spark = docs.sparkSession
     k, ik = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
-    schema = f"`{key}` {k}, `{item_key}` {ik}, run int"
+    named = item_key if item_key != key else f"item_{item_key}"
+    schema = f"`{key}` {k}, `{named}` {ik}, run int"
     parts = []
     for block in _blocks(items, item_key, item_text):
         held = spark.sparkContext.broadcast(Index(block, run))
@@ -175,7 +177,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                         keys.append(d)
                         ids.append(i)
                         runs.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ids, pa.int64() if ik == "bigint" else None), pa.array(runs, pa.int32())], names=[key, item_key, "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ids, pa.int64() if ik == "bigint" else None), pa.array(runs, pa.int32())], names=[key, named, "run"])
 
         parts.append(docs.select(key, F.col(text).alias("_text")).where("_text IS NOT NULL").mapInArrow(find, schema))
     if not parts:
@@ -183,7 +185,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy(key, item_key).agg(F.max("run").alias("run"))
+    return out.groupBy(key, named).agg(F.max("run").alias("run"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

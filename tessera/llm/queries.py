@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(consensus.SQL)
+    return consensus.SQL | spans.SQL | splits.SQL

@@ -205,3 +205,22 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = essay_groups(spark, sf_dir).select("cv_scheme", "essay_id", "grade")
     n = p3_splits(spark, sf_dir).join(grade, ["cv_scheme", "essay_id"]).groupBy("cv_scheme", "split_name", "grade").agg(F.count("*").alias("n_essays"))
     return n.withColumn("share", F.round(F.col("n_essays") / F.sum("n_essays").over(W.partitionBy("cv_scheme", "grade")), 6))
+
+
+_PLAIN = "regexp_replace(upper({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+SQL = {
+    "p3_found": f"""
+WITH RECURSIVE x AS (SELECT essay_id AS u, revision_of, {_PLAIN.format('author_id')} AS a, {_PLAIN.format('reference')} AS r, {_PLAIN.format('prompt_id')} AS p FROM essays WHERE essay_id IS NOT NULL),
+t AS (SELECT DISTINCT u, 'a' || a AS k FROM x WHERE regexp_matches(a, '[1-9]') UNION SELECT u, 'r' || r FROM x WHERE regexp_matches(r, '[1-9]')),
+f AS (SELECT k, min(u) AS v FROM t GROUP BY k),
+e AS (SELECT u, v FROM t JOIN f USING (k) UNION SELECT u, revision_of FROM x WHERE revision_of IN (SELECT u FROM x)),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT u, u FROM x),
+reach AS (SELECT u, v FROM b UNION SELECT reach.u, b.v FROM reach JOIN b ON reach.v = b.u),
+q AS (SELECT {_PLAIN.format('prompt_id')} AS p, prompt_id, {_PLAIN.format('reissue_of')} AS o FROM prompts),
+c AS (SELECT p, p AS at FROM q UNION SELECT c.p, q.o FROM c JOIN q ON q.p = c.at WHERE q.o IN (SELECT p FROM q)),
+s AS (SELECT c.p, q.prompt_id AS start FROM c JOIN q ON q.p = c.at WHERE q.o IS NULL OR q.o NOT IN (SELECT p FROM q)),
+m AS (SELECT u, p, count(*) AS n FROM x WHERE p IN (SELECT p FROM q) GROUP BY u, p),
+w AS (SELECT u, p, row_number() OVER (PARTITION BY u ORDER BY n DESC, p DESC) AS j FROM m)
+SELECT 'grade_stratified' AS cv_scheme, u AS essay_id, min(v)::VARCHAR AS group_key FROM reach GROUP BY u
+UNION ALL SELECT 'leave_one_prompt_out', u, start FROM w JOIN s USING (p) WHERE j = 1""",
+}

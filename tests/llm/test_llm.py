@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import numpy as np
@@ -357,3 +358,23 @@ def test_queries_are_registered():
 
     assert {f"p{n}_found" for n in (3, 4, 5, 6, 7, 9, 10)} | {"p8_ids"} <= set(queries())
     assert json.dumps(sorted(queries()))
+
+
+def test_leaks_with_clashing_names(spark):
+    t = "가나다라마바사아자차" * 6
+    d = spark.createDataFrame([(1, t, 0), (None, t, 0)], "id long, text string, run int")
+    i = spark.createDataFrame([(7, t), (7, t), (None, t)], "id long, text string")
+    got = leaks.leaks(d, "id", "text", i, "id", "text").collect()
+    assert {(r.id, r.item_id, r.run) for r in got} == {(1, 7, 60), (None, 7, 60)}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["p3_found", "p4_agreement", "p10_found"])
+def test_equals_sql(spark, name):
+    from tessera.llm import queries
+    from tests.oracle import compare, connect
+
+    assert compare(queries.queries()[name](spark, SF), connect(SF), queries.oracle_sql()[name]) is None
