@@ -92,3 +92,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     compacted(spark, table(spark, sf_dir, "raw_files"), path)
     rows = spark.read.schema("prompt_id string, essay_id bigint, record string, file_id bigint, received_at timestamp_ntz, bucket int").parquet(path)
     return rows.select("prompt_id", "essay_id", "file_id")
+
+
+QUERIES = {"p2_found": p2_found}
+SQL = {
+    "p2_found": """
+WITH f AS (SELECT file_id, received_at, trim(content, chr(65279) || ' ' || chr(9) || chr(13) || chr(10) || chr(0)) AS c FROM raw_files),
+v AS (SELECT file_id, received_at, unnest(CASE WHEN NOT json_valid(c) THEN list_filter(string_split(c, chr(10)), lambda x: json_valid(x)) WHEN json_type(c) = 'ARRAY' THEN CAST(json_extract(c, '$[*]') AS VARCHAR[]) ELSE [c] END) AS j FROM f WHERE c <> ''),
+r AS (SELECT file_id, received_at, upper(trim(json_extract_string(j, '$.essay_question.id'))) AS prompt_id, TRY_CAST(json_extract_string(j, '$.essay_answer.id') AS BIGINT) AS essay_id FROM v WHERE json_type(j) = 'OBJECT'),
+k AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, essay_id ORDER BY received_at DESC, file_id DESC) AS n FROM r WHERE prompt_id <> '' AND essay_id IS NOT NULL)
+SELECT prompt_id, essay_id, file_id FROM k WHERE n = 1""",
+}
