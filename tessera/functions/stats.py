@@ -177,7 +177,7 @@ def chi_square(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     rows, cols, n = cells.groupBy(*by, a).agg(F.sum("o").alias("r")), cells.groupBy(*by, b).agg(F.sum("o").alias("c")), cells.groupBy(*by).agg(F.sum("o").alias("n"))
     # sum of (O - E)^2 / E = n * (sum of O^2 / (r * c) - 1): empty cells need no row
     t = cells.join(rows, [*by, a]).join(cols, [*by, b]).groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
-    out = t.join(n, by) if by else t.crossJoin(n)  # without groups both have one row
+    out = t.join(n, by) if by else t.withColumn("n", n.scalar())
     dof = (F.col("ka") - 1) * (F.col("kb") - 1)
     return out.select(*by, F.when(dof > 0, F.col("n") * (F.col("s") - 1)).alias("statistic"), dof.alias("dof"), "n")
 

@@ -120,8 +120,7 @@ def strong_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stats.signed_ranks(d, "d", ["contrast"]).select(stats.rank_biserial(F.col("w_plus"), F.col("w_minus")).alias("r"))
     m = d.agg(F.percentile("left", F.lit(0.5)).alias("a"), F.percentile("right", F.lit(0.5)).alias("b"))
     g = purpose_gate(spark, sf_dir).agg(F.coalesce(F.bool_and("gate_pass"), F.lit(False)).alias("gates"))
-    # one row each
-    one = t.crossJoin(e).crossJoin(m).crossJoin(g)
+    one = m.withColumns({"p_value": t.scalar(), "r": e.scalar(), "gates": g.scalar()})
     ok = (F.col("p_value") < 0.05) & (F.col("r") >= 0.10) & (F.col("a") > F.col("b")) & F.col("gates")
     return one.select(r6(F.col("r")).alias("rank_biserial_r"), (F.col("a") > F.col("b")).alias("median_direction"), "gates", F.coalesce(ok, F.lit(False)).alias("strong_claim"))
 
@@ -168,8 +167,8 @@ def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of all cells that contain each family, and whether it stays below one half."""
     n = named_sets(spark, sf_dir)
-    total = n.agg(F.count("*").alias("n"))
-    s = n.select(F.explode("llm_families").alias("family")).groupBy("family").agg(F.count("*").alias("n_cells")).crossJoin(total)  # the total is one row
+    total = n.agg(F.count("*").alias("n")).scalar()
+    s = n.select(F.explode("llm_families").alias("family")).groupBy("family").agg(F.count("*").alias("n_cells")).withColumn("n", total)
     return s.select("family", "n_cells", r6(F.col("n_cells") / F.col("n")).alias("cell_share"), (F.col("n_cells") / F.col("n") < 0.5).alias("axis_g_pass"))
 
 

@@ -152,10 +152,10 @@ def label_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares that each pair of thresholds flags; a missing rate counts as 1, a missing overlap as 0."""
-    grid = spark.createDataFrame([(a, b) for a in (0.05, 0.10, 0.20, 0.30) for b in (0.3, 0.5, 0.7)], "justification_max double, jaccard_min double")
+    grid = F.inline(F.array(*[F.struct(F.lit(a).alias("justification_max"), F.lit(b).alias("jaccard_min")) for a in (0.05, 0.10, 0.20, 0.30) for b in (0.3, 0.5, 0.7)]))
     m = evidence(spark, sf_dir).select(F.coalesce("justification_rate", F.lit(1.0)).alias("j"), F.coalesce("stability_jaccard", F.lit(0.0)).alias("s"))
     # values recur, so the twelve thresholds meet their counts, not the rows
-    c = m.groupBy("j", "s").agg(F.count("*").alias("n")).crossJoin(F.broadcast(grid))
+    c = m.groupBy("j", "s").agg(F.count("*").alias("n")).select("j", "s", "n", grid)
     civ, ur, n = F.col("j") <= F.col("justification_max"), F.col("s") < F.col("jaccard_min"), F.col("n")
     share = lambda x: r6(F.sum(F.when(x, n).otherwise(0)) / F.sum(n))
     return c.groupBy("justification_max", "jaccard_min").agg(F.sum(n).alias("n"), share(civ).alias("civ_rate"), share(ur).alias("ur_rate"), share(civ | ur).alias("either_rate"))
