@@ -82,7 +82,8 @@ def compacted(spark: SparkSession, files: DataFrame, path: str, n_files: int | N
     n = files.count() if n_files is None else n_files
     buckets = max(1, -(-n // BUCKET_FILES), min(spark.sparkContext.defaultParallelism, n // LEAST_FILES))
     rows = parsed(files).withColumn("bucket", F.pmod(F.xxhash64("prompt_id", "essay_id"), F.lit(buckets)).cast("int"))
-    compaction.append(rows, path, "bucket")
+    # else each task would leave a file in each bucket, in all tasks times buckets
+    compaction.append(rows.hint("rebalance", "bucket"), path, "bucket")
     return compaction.compact(spark, path, "bucket", ["prompt_id", "essay_id"], ["received_at", "file_id"])
 
 
