@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +29,31 @@ def local_session(cores: str | int = "*", app: str = "tessera", **conf: str) ->
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base | conf).getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once by application.
+
+    Spark serves the archive from the driver, so nothing has to be installed or shared.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # it was shipped as an archive already
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    folder = Path(tempfile.mkdtemp(prefix="tessera-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    (folder / "tessera.zip").write_bytes(data.getvalue())
+    sc.addPyFile(str(folder / "tessera.zip"))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
