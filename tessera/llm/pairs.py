@@ -1,8 +1,9 @@
 """Broken prompt and response pairs (problem 5).
 
 Response openings are clustered by MinHash over their character trigrams, with the prompt's topic
-masked, and members are verified against their cluster's commonest opening.  A template that recurs
-across unrelated prompts, and whose responses hold little else, is a refusal.  Copy, language and
+masked, and members are verified against their cluster's commonest opening.  A cluster that recurs
+across unrelated prompts, or whose commonest opening declines in plain words, is a template; a
+response that holds little else is a refusal.  Copy, language and
 termination checks label the rest.
 """
 
@@ -36,11 +37,10 @@ COPIED = 0.6  # of a sentence's characters for it to be the prompt's
 # What people write in place of an answer.
 FILLERS = "없음 무응답 내용없음 해당없음 답없음 모름 미작성 미응답 na none null nil noanswer blank empty x 無回答 なし 无 没有 无回答".split()
 # Wordings that decline to write.
-DECLINES = re.compile(
-    r"쓰지\s*않(?:겠|으려)|(?:쓸|답할|작성할|도와드릴)\s*수\s*(?:없|있는\s*범위를\s*벗어)|답하지\s*않겠|답(?:을|변을)?\s*드리기\s*어렵|그만두겠|안\s*쓸(?:게|래)|할\s*말이\s*없|쓰고\s*싶지\s*않"
+DECLINES = (
+    r"(?i)(?:쓰지|하지)\s*않(?:겠|으려|을래)|거부(?:합니다|하겠)|빈칸으로\s*(?:내|제출)|(?:쓸|답할|작성할|써\s*드릴|작성해\s*드릴|도와드릴)\s*수\s*(?:없|있는\s*범위를\s*벗어)|답하지\s*않겠|답(?:을|변을)?\s*드리기\s*어렵|그만두겠|안\s*쓸(?:게|래)|할\s*말이\s*없|쓰고\s*싶지\s*않"
     r"|\bcan(?:no|['’])t\s+(?:write|respond|answer|help|assist|complete)|\bcannot\s+(?:write|respond|answer|help|assist|complete)|\bunable\s+to\s+(?:write|respond|answer|help|assist|complete|comply)|\brather\s+not\s+(?:write|answer|respond)|\bdecline\s+to|\bwon['’]t\s+(?:write|answer)"
-    r"|書けません|答えられません|お答えできません|お断り|无法(?:回答|完成|写)|不能(?:回答|写)|拒绝",
-    re.I,
+    r"|書けません|答えられません|お答えできません|お断り|无法(?:回答|完成|写)|不能(?:回答|写)|拒绝"
 )
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(1, BANDS * ROWS + 1)], np.uint64)
 
@@ -120,12 +120,11 @@ def signature(opening: str) -> list[int]:
 def judged(pairs: DataFrame) -> DataFrame:
     """What each pair shows by itself, and the bands of its opening, in one pass.
 
-    pairs: essay_id, text, prompt, topic.  Rows with an essay_id: empty, copy, other, declines,
-    n_parts and, of short responses, openings (text, bands, size); rows without one: counts of
+    pairs: essay_id, text, prompt, topic.  Rows with an essay_id: empty, copy, other and, of short responses, openings (text, bands, size); rows without one: counts of
     openings by band, summed within a batch.
     """
     opening = pa.struct([("text", pa.string()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
-    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("declines", pa.bool_()), ("openings", pa.list_(opening)), ("rest", pa.int32()), ("band", pa.int64()), ("n_all", pa.int64())])
+    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("openings", pa.list_(opening)), ("rest", pa.int32()), ("band", pa.int64()), ("n_all", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -133,7 +132,7 @@ def judged(pairs: DataFrame) -> DataFrame:
             rows = []
             for key, text, prompt, topic in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if is_empty(text):
-                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "declines": False, "openings": [], "rest": 0})
+                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "openings": [], "rest": 0})
                     continue
                 parts = [text[s:e] for s, e in units(text)]
                 flags = copied(parts, prompt) if prompt else [False] * len(parts)
@@ -145,7 +144,6 @@ def judged(pairs: DataFrame) -> DataFrame:
                     bands = signature(masked)
                     counts.update(bands)
                     openings.append({"text": masked, "size": size, "bands": bands})
-                left = sum(n for p, n in own if not DECLINES.search(p))
                 rows.append(
                     {
                         "essay_id": key,
@@ -153,7 +151,6 @@ def judged(pairs: DataFrame) -> DataFrame:
                         "empty": False,
                         "copy": is_copy(parts, flags),
                         "other": bool(prompt) and other_language(text, prompt),
-                        "declines": short and left <= LEFT_OVER and any(DECLINES.search(p) for p, _ in own),
                         "openings": openings if short else [],
                         "rest": sum(len(bare(p)) for p, f in zip(parts, flags) if f),
                     }
@@ -161,15 +158,16 @@ def judged(pairs: DataFrame) -> DataFrame:
             rows += [{"band": k, "n_all": n} for k, n in counts.items()]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, declines boolean, openings array<struct<text:string,size:int,bands:array<bigint>>>, rest int, band bigint, n_all bigint"
+    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, openings array<struct<text:string,size:int,bands:array<bigint>>>, rest int, band bigint, n_all bigint"
     return pairs.select("essay_id", "text", "prompt", "topic").mapInArrow(run, ddl)
 
 
 def refusals(rows: DataFrame) -> DataFrame:
-    """essay_id of the short responses that consist of templates which recur across topics.
+    """essay_id of the short responses that consist of templates.
 
     ``rows`` as :func:`judged` gives them.  A band whose openings recur in at least RECUR short
-    responses and TOPICS topics, and mostly there, names a template, its commonest opening; an
+    responses and TOPICS topics, and mostly there, names a template, its commonest opening; so does
+    one whose commonest opening declines in plain words, as small tables hold each too rarely.  An
     opening belongs to it if their trigrams are similar, in at least AGREE of its bands.
     """
     short = rows.where("essay_id IS NOT NULL AND size(openings) > 0").select("essay_id", "topic", "rest", F.posexplode("openings").alias("no", "o")).select("essay_id", "topic", "rest", "no", "o.*")
@@ -178,7 +176,8 @@ def refusals(rows: DataFrame) -> DataFrame:
     reps = by_text.groupBy("band").agg(F.sum("n").alias("n_short"), F.max_by("text", F.struct("n", "text")).alias("rep"))
     topics = bands.where("topic IS NOT NULL").select("band", "topic").distinct().groupBy("band").agg(F.count("*").alias("n_topics"))
     total = rows.where("band IS NOT NULL").groupBy("band").agg(F.sum("n_all").alias("n_all"))
-    templates = reps.where(F.col("n_short") >= RECUR).join(topics.where(F.col("n_topics") >= TOPICS), "band").join(total, "band").where(F.col("n_short") >= SHORT_SHARE * F.col("n_all"))
+    recurs = F.coalesce((F.col("n_short") >= RECUR) & (F.col("n_topics") >= TOPICS) & (F.col("n_short") >= SHORT_SHARE * F.col("n_all")), F.lit(False))
+    templates = reps.join(topics, "band", "left").join(total, "band", "left").where(recurs | F.col("rep").rlike(DECLINES))
 
     def grams(c: str):
         s = F.concat(F.lit("^"), F.col(c), F.lit("$"))
@@ -201,9 +200,9 @@ def defects(pairs: DataFrame, short_of_end: DataFrame) -> DataFrame:
     """
     rows = cut(judged(pairs))
     declined = refusals(rows).withColumn("refusal", F.lit(True))
-    out = rows.where("essay_id IS NOT NULL").select("essay_id", "empty", "copy", "other", "declines")
+    out = rows.where("essay_id IS NOT NULL").select("essay_id", "empty", "copy", "other")
     out = out.join(declined, "essay_id", "left").join(short_of_end.select("essay_id").distinct().withColumn("cut", F.lit(True)), "essay_id", "left")
-    defect = F.when(F.col("empty"), "empty").when(F.coalesce("refusal", "declines"), "refusal").when(F.col("copy"), "copy").when(F.col("other"), "other_language").when(F.col("cut"), "truncated")
+    defect = F.when(F.col("empty"), "empty").when(F.col("refusal"), "refusal").when(F.col("copy"), "copy").when(F.col("other"), "other_language").when(F.col("cut"), "truncated")
     return out.withColumn("defect", defect).where("defect IS NOT NULL").select("essay_id", "defect")
 
 
