@@ -91,7 +91,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prompt_id, essay_id, file_id of every record in ``raw_files``, from the compacted table."""
     path = shared_path(spark, "raw-files")
     compacted(spark, table(spark, sf_dir, "raw_files"), path)
-    rows = spark.read.schema("prompt_id string, essay_id bigint, record string, file_id bigint, received_at timestamp_ntz, bucket int").parquet(path)
+    rows = compaction.read(spark, path, "prompt_id string, essay_id bigint, record string, file_id bigint, received_at timestamp_ntz, bucket int")
     return rows.select("prompt_id", "essay_id", "file_id")
 
 

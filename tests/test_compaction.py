@@ -80,3 +80,41 @@ def test_conflicts_are_refused(spark, tmp_path):
     compaction.commit(spark, path, before)
     with pytest.raises(compaction.ConflictError):
         compaction.commit(spark, path, before)
+
+
+@pytest.mark.parametrize("committed", [True, False])
+def test_files_appended_during_the_rewrite_stay(spark, tmp_path, monkeypatch, committed):
+    path, listing = table(spark, tmp_path), compaction.listing
+    late = spark.createDataFrame([(0, 99, 1, "z")], "p int, k long, at int, v string")
+
+    def then_append(spark, at):
+        found = listing(spark, at)
+        if at == path:
+            monkeypatch.setattr(compaction, "listing", listing)
+            if committed:
+                compaction.append(late, path, "p")
+            else:
+                late.write.mode("append").partitionBy("p").parquet(path)
+        return found
+
+    monkeypatch.setattr(compaction, "listing", then_append)
+    v = compaction.compact(spark, path, "p", ["k"], ["at"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [*range(20), 99]
+    assert compaction.read(spark, path).count() == 20 + committed
+    assert v.number == 2 + committed and v.clean == (("p=1",) if committed else ("p=0", "p=1"))
+
+
+def test_a_rewrite_of_replaced_files_is_given_up(spark, tmp_path, monkeypatch):
+    path, commit = table(spark, tmp_path), compaction.commit
+
+    def other_first(*args, **kw):
+        monkeypatch.setattr(compaction, "commit", commit)
+        v = compaction.current(spark, path)
+        commit(spark, path, v, files={"p=0": v.files["p=0"]})
+        return commit(*args, **kw)
+
+    monkeypatch.setattr(compaction, "commit", other_first)
+    before = compaction.listing(spark, path)
+    with pytest.raises(compaction.ConflictError):
+        compaction.compact(spark, path, "p", ["k"], ["at"])
+    assert compaction.listing(spark, path) == before
