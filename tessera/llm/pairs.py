@@ -1,7 +1,7 @@
 """Broken prompt and response pairs (problem 5).
 
 Response openings are clustered by MinHash over their character trigrams, with the prompt's topic
-masked, and members are verified against their cluster's commonest opening.  A cluster that recurs
+masked, and every member is verified against its cluster's commonest opening.  A cluster that recurs
 across unrelated prompts, or whose commonest opening declines in plain words, is a template; a
 response that holds little else is a refusal.  Copy, language and
 termination checks label the rest.
@@ -25,12 +25,12 @@ from tessera.session import cut, table
 
 OPENING = 6  # sentences that make a response's opening
 SHORT = 120  # letters and digits of a short response, which its opening holds whole
-BANDS, ROWS = 5, 3  # of the MinHash signature
+BANDS, ROWS = 24, 2  # of the MinHash signature: of openings as alike as SIMILAR, 99.9 % share a band
 SIMILAR = 0.5  # Jaccard of trigrams at which an opening belongs to its cluster
 RECUR, TOPICS = 5, 3  # short responses, and topics, in which a template must recur
-AGREE = 2  # bands in which an opening must belong to a template
 SHORT_SHARE = 0.8  # of a template's openings that stand in short responses
 LEFT_OVER = 25  # letters and digits that a refusal may hold besides
+AGREE = 3  # bands shared by the openings of longer responses that are compared with a template, to weigh its share: 96 % at SIMILAR
 COPY_GRAM = 6  # characters of the prompt that count as its wording
 COPIED = 0.6  # of a sentence's characters for it to be the prompt's
 
@@ -118,21 +118,20 @@ def signature(opening: str) -> list[int]:
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """What each pair shows by itself, and the bands of its opening, in one pass.
+    """What each pair shows by itself, and the bands of its openings, in one pass.
 
-    pairs: essay_id, text, prompt, topic.  Rows with an essay_id: empty, copy, other and, of short responses, openings (text, bands, size); rows without one: counts of
-    openings by band, summed within a batch.
+    pairs: essay_id, text, prompt, topic.  Gives essay_id, topic, empty, copy, other, short, openings
+    (text, size, bands) and rest, the letters and digits that are the prompt's.
     """
     opening = pa.struct([("text", pa.string()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
-    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("openings", pa.list_(opening)), ("rest", pa.int32()), ("band", pa.int64()), ("n_all", pa.int64())])
+    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("short", pa.bool_()), ("openings", pa.list_(opening)), ("rest", pa.int32())])
 
     def run(batches):
         for b in batches:
-            counts: Counter = Counter()
             rows = []
             for key, text, prompt, topic in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if is_empty(text):
-                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "openings": [], "rest": 0})
+                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "short": True, "openings": [], "rest": 0})
                     continue
                 parts = [text[s:e] for s, e in units(text)]
                 flags = copied(parts, prompt) if prompt else [False] * len(parts)
@@ -141,9 +140,7 @@ def judged(pairs: DataFrame) -> DataFrame:
                 openings = []
                 for p, size in own[:OPENING]:
                     masked = re.sub(r"\d+", "0", p.replace(topic, "＊") if topic else p).lower().strip(BLANKS + ".!?…。！？")
-                    bands = signature(masked)
-                    counts.update(bands)
-                    openings.append({"text": masked, "size": size, "bands": bands})
+                    openings.append({"text": masked, "size": size, "bands": signature(masked)})
                 rows.append(
                     {
                         "essay_id": key,
@@ -151,41 +148,58 @@ def judged(pairs: DataFrame) -> DataFrame:
                         "empty": False,
                         "copy": is_copy(parts, flags),
                         "other": bool(prompt) and other_language(text, prompt),
-                        "openings": openings if short else [],
+                        "short": short,
+                        "openings": openings,
                         "rest": sum(len(bare(p)) for p, f in zip(parts, flags) if f),
                     }
                 )
-            rows += [{"band": k, "n_all": n} for k, n in counts.items()]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, openings array<struct<text:string,size:int,bands:array<bigint>>>, rest int, band bigint, n_all bigint"
+    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, short boolean, openings array<struct<text:string,size:int,bands:array<bigint>>>, rest int"
     return pairs.select("essay_id", "text", "prompt", "topic").mapInArrow(run, ddl)
 
 
+def _grams(c: str):
+    s = F.concat(F.lit("^"), F.col(c), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(s) - 2)), lambda i: F.xxhash64(F.substring(s, i, F.lit(3)))))
+
+
+def similar(reps: DataFrame, texts: DataFrame, agree: int) -> DataFrame:
+    """rep, text: of the pairs that share at least ``agree`` bands those whose trigrams are similar.
+
+    reps: rep, bands; texts: text, bands.
+    """
+    a = reps.select("rep", F.explode("bands").alias("band"))
+    b = texts.select("text", F.explode("bands").alias("band"))
+    pairs = b.join(a, "band").groupBy("rep", "text").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("rep", "text")
+    pairs = pairs.join(texts.select("text", _grams("text").alias("_a")), "text").join(reps.select("rep", _grams("rep").alias("_b")), "rep")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.where(both >= SIMILAR * (F.size("_a") + F.size("_b") - both)).select("rep", "text")
+
+
 def refusals(rows: DataFrame) -> DataFrame:
     """essay_id of the short responses that consist of templates.
 
-    ``rows`` as :func:`judged` gives them.  A band whose openings recur in at least RECUR short
-    responses and TOPICS topics, and mostly there, names a template, its commonest opening; so does
-    one whose commonest opening declines in plain words, as small tables hold each too rarely.  An
-    opening belongs to it if their trigrams are similar, in at least AGREE of its bands.
+    ``rows`` as :func:`judged` gives them.  A cluster is a band's commonest opening and all openings
+    that share any band with it and have similar trigrams.  One that recurs in at least RECUR short
+    responses and TOPICS topics, and mostly there, makes a template; so does one whose commonest
+    opening declines in plain words, as small tables hold each too rarely.
     """
-    short = rows.where("essay_id IS NOT NULL AND size(openings) > 0").select("essay_id", "topic", "rest", F.posexplode("openings").alias("no", "o")).select("essay_id", "topic", "rest", "no", "o.*")
-    bands = short.select("essay_id", "no", "topic", "text", F.explode("bands").alias("band"))
-    by_text = bands.groupBy("band", "text").agg(F.count("*").alias("n"))
-    reps = by_text.groupBy("band").agg(F.sum("n").alias("n_short"), F.max_by("text", F.struct("n", "text")).alias("rep"))
-    topics = bands.where("topic IS NOT NULL").select("band", "topic").distinct().groupBy("band").agg(F.count("*").alias("n_topics"))
-    total = rows.where("band IS NOT NULL").groupBy("band").agg(F.sum("n_all").alias("n_all"))
-    recurs = F.coalesce((F.col("n_short") >= RECUR) & (F.col("n_topics") >= TOPICS) & (F.col("n_short") >= SHORT_SHARE * F.col("n_all")), F.lit(False))
-    templates = reps.join(topics, "band", "left").join(total, "band", "left").where(recurs | F.col("rep").rlike(DECLINES))
-
-    def grams(c: str):
-        s = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(s) - 2)), lambda i: F.substring(s, i, F.lit(3))))
-
-    distinct = by_text.join(templates.select("band", "rep"), "band").groupBy("text", "rep").agg(F.count("*").alias("n"))
-    a, b = grams("text"), grams("rep")
-    known = distinct.where(F.size(F.array_intersect(a, b)) >= SIMILAR * F.size(F.array_union(a, b))).groupBy("text").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("text", F.lit(True).alias("known"))
+    each = rows.select("essay_id", "topic", "rest", "short", F.explode("openings").alias("o")).select("essay_id", "topic", "rest", "short", "o.*")
+    short = each.where("short")
+    texts = cut(short.groupBy("text").agg(F.count("*").alias("n"), F.first("bands").alias("bands")))
+    tops = texts.select("text", "n", F.explode("bands").alias("band")).groupBy("band").agg(F.max_by("text", F.struct("n", "text")).alias("rep")).select("rep").distinct()
+    tops = tops.join(texts.select(F.col("text").alias("rep"), "bands"), "rep")
+    near = cut(similar(tops, texts, 1))
+    by_topic = near.join(short.groupBy("text", "topic").agg(F.count("*").alias("n")), "text").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
+    seen = by_topic.groupBy("rep").agg(F.sum("n").alias("n_short"), F.count("topic").alias("n_topics"))
+    seen = cut(seen.join(tops, "rep"))
+    recur = seen.where((F.col("n_short") >= RECUR) & (F.col("n_topics") >= TOPICS))
+    long = each.where("NOT short").groupBy("text").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    n_long = similar(recur.select("rep", "bands"), long, AGREE).join(long.select("text", "n"), "text").groupBy("rep").agg(F.sum("n").alias("n_long"))
+    mostly = recur.join(n_long, "rep", "left").where(F.col("n_short") >= SHORT_SHARE * (F.col("n_short") + F.coalesce("n_long", F.lit(0))))
+    templates = mostly.select("rep").unionByName(seen.where(F.col("rep").rlike(DECLINES)).select("rep"))
+    known = near.join(templates, "rep", "left_semi").select("text").distinct().withColumn("known", F.lit(True))
     told = short.join(known, "text", "left").groupBy("essay_id").agg(F.max("known").alias("known"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("size"))).alias("left"), F.max("rest").alias("rest"))
     return told.where(F.col("known") & (F.col("left") + F.col("rest") <= LEFT_OVER)).select("essay_id")
 

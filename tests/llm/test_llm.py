@@ -149,6 +149,23 @@ def test_defects(spark):
     assert got == {1: "empty", 2: "other_language", 4: "truncated", 6: "copy"} | {10 + i: "refusal" for i in range(6)}
 
 
+def test_variants_of_a_template_are_found(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("가나다라마바사아자차카타파하거너더러머버서어") for _ in range(4)) for _ in range(400)]
+    base = words[:8]
+    a = set(pairs.trigrams(" ".join(base)))
+    variants = []
+    while len(variants) < 30:
+        v = " ".join(r.choice(words[8:]) if r.random() < 0.25 else w for w in base)
+        b = set(pairs.trigrams(v))
+        if 0.5 <= len(a & b) / len(a | b) < 0.65 and len(sentences.units(v)) == 1:
+            variants.append(v)
+    rows = [(i, t + ".", f"{k}에 대해 주장하는 글을 쓰시오.", k) for i, (t, k) in enumerate(zip([" ".join(base)] * 6 + variants, ["급식", "운동", "독서"] * 12))]
+    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
+    got = dict(pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect())
+    assert got == {i: "refusal" for i in range(36)}
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "essay_id long, text string, prompt string, topic string")
     assert pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect() == []
