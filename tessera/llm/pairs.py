@@ -2,8 +2,8 @@
 
 Response openings are clustered by MinHash over their character trigrams, with the prompt's topic
 masked, and every member is verified against its cluster's commonest opening.  A cluster that recurs
-across unrelated prompts, or whose commonest opening declines in plain words, is a template; a
-response that holds little else is a refusal.  Copy, language and
+across unrelated prompts, or whose commonest opening declines the task in plain words, is a
+template; a response that holds little else is a refusal.  Copy, language and
 termination checks label the rest.
 """
 
@@ -42,6 +42,11 @@ DECLINES = (
     r"|\bcan(?:no|['’])t\s+(?:write|respond|answer|help|assist|complete)|\bcannot\s+(?:write|respond|answer|help|assist|complete)|\bunable\s+to\s+(?:write|respond|answer|help|assist|complete|comply)|\brather\s+not\s+(?:write|answer|respond)|\bdecline\s+to|\bwon['’]t\s+(?:write|answer)"
     r"|書けません|答えられません|お答えできません|お断り|无法(?:回答|完成|写)|不能(?:回答|写)|拒绝"
 )
+# What shows that such a wording is about the task: its words, or to write without an object.
+TASK = (
+    r"(?i)(?<![가-힣])(?:글|주제|질문|대?답(?!답)|작성|요청|빈칸|[할쓸]\s*말)|(?:^|[^을를은는]\s+)(?:쓰지\s*않|쓰고\s*싶지|안\s*쓸)|＊(?:에\s*(?:대|관)|[을를]\s*다루)"
+    r"|\b(?:essay|prompt|question|task|topic|assignment|comply)\b|書け|答え|お断り|回答|写|拒绝"
+)
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(1, BANDS * ROWS + 1)], np.uint64)
 
 
@@ -182,8 +187,9 @@ def refusals(rows: DataFrame) -> DataFrame:
 
     ``rows`` as :func:`judged` gives them.  A cluster is a band's commonest opening and all openings
     that share any band with it and have similar trigrams.  One that recurs in at least RECUR short
-    responses and TOPICS topics, and mostly there, makes a template; so does one whose commonest
-    opening declines in plain words, as small tables hold each too rarely.
+    responses and TOPICS topics, and mostly there, makes a template; where its commonest opening
+    declines in plain words, TOPICS topics are enough, and none if it names the task as well, as
+    nothing else tells a refusal whose wording no other essay has.
     """
     each = rows.select("essay_id", "topic", "rest", "short", F.explode("openings").alias("o")).select("essay_id", "topic", "rest", "short", "o.*")
     short = each.where("short")
@@ -194,11 +200,12 @@ def refusals(rows: DataFrame) -> DataFrame:
     by_topic = near.join(short.groupBy("text", "topic").agg(F.count("*").alias("n")), "text").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
     seen = by_topic.groupBy("rep").agg(F.sum("n").alias("n_short"), F.count("topic").alias("n_topics"))
     seen = cut(seen.join(tops, "rep"))
-    recur = seen.where((F.col("n_short") >= RECUR) & (F.col("n_topics") >= TOPICS))
+    declines = F.col("rep").rlike(DECLINES)
+    recur = seen.where(((F.col("n_short") >= RECUR) | declines) & (F.col("n_topics") >= TOPICS))
     long = each.where("NOT short").groupBy("text").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
     n_long = similar(recur.select("rep", "bands"), long, AGREE).join(long.select("text", "n"), "text").groupBy("rep").agg(F.sum("n").alias("n_long"))
     mostly = recur.join(n_long, "rep", "left").where(F.col("n_short") >= SHORT_SHARE * (F.col("n_short") + F.coalesce("n_long", F.lit(0))))
-    templates = mostly.select("rep").unionByName(seen.where(F.col("rep").rlike(DECLINES)).select("rep"))
+    templates = mostly.select("rep").unionByName(seen.where(declines & F.col("rep").rlike(TASK)).select("rep"))
     known = near.join(templates, "rep", "left_semi").select("text").distinct().withColumn("known", F.lit(True))
     told = short.join(known, "text", "left").groupBy("essay_id").agg(F.max("known").alias("known"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("size"))).alias("left"), F.max("rest").alias("rest"))
     return told.where(F.col("known") & (F.col("left") + F.col("rest") <= LEFT_OVER)).select("essay_id")

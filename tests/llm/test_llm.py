@@ -166,6 +166,14 @@ def test_variants_of_a_template_are_found(spark):
     assert got == {i: "refusal" for i in range(36)}
 
 
+def test_wording_alone_is_no_refusal(spark):
+    texts = ["나는 앞으로 거짓말을 하지 않겠다.", "그 돈은 쓸 수 없다.", "이 주제로는 글을 쓸 수 없습니다.", "무엇을 써야 할지 몰라서 쓰지 않겠습니다."]
+    rows = [(i, t, f"{k}에 대해 주장하는 글을 쓰시오.", k) for i, (t, k) in enumerate(zip([*texts, *["저는 이번만큼은 거부하겠습니다."] * 3], ["급식", "운동", "독서", "체육", "음악", "여행", "시장"]))]
+    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
+    got = dict(pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect())
+    assert got == {i: "refusal" for i in (2, 3, 4, 5, 6)}
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "essay_id long, text string, prompt string, topic string")
     assert pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect() == []
