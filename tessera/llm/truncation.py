@@ -29,6 +29,9 @@ GRAM, SHORT_GRAM = 5, 2
 #: it, and which make up such a share of all its texts of that length.
 PILE, PILE_TIMES, PILE_AROUND, PILE_SHARE = 4, 4, 25, 0.6
 
+#: Words that a terse whole remark has at most, which is all of its text.
+TERSE = 4
+
 # What systems leave where they cut a text.
 LEFT = re.compile(r"\s*[(\[（【]?\s*(?:계속|이하\s*생략|중략|생략|더\s*보기|read more|more|continued|cont(?:['’]d|\.)?|truncated|cut off|待续|未完|续|続く|つづく|続きを読む)\s*[)\]）】]?\s*(?:\.{3}|…)?$", re.I)
 _ELLIPSIS = re.compile(r"(?:\.{2,}|[…‥]+)[\"'”’)\]」』]*$")
@@ -145,7 +148,7 @@ def scanned(texts: DataFrame) -> DataFrame:
 
     Counts are summed within a batch before they are shuffled.
     """
-    fields = [("field", pa.string()), ("essay_id", pa.int64()), ("trait", pa.string()), ("source", pa.string()), ("state", pa.string()), ("before", pa.string()), ("word", pa.string()), ("short", pa.string()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("same", pa.int64()), ("ends", pa.int64()), ("goes", pa.int64())]
+    fields = [("field", pa.string()), ("essay_id", pa.int64()), ("trait", pa.string()), ("source", pa.string()), ("state", pa.string()), ("before", pa.string()), ("word", pa.string()), ("short", pa.string()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("same", pa.int64()), ("terse", pa.bool_()), ("ends", pa.int64()), ("goes", pa.int64())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -156,13 +159,13 @@ def scanned(texts: DataFrame) -> DataFrame:
                 t = text.rstrip(BLANKS)
                 parts = units(t)
                 state, before, w, short, n, size = ending(t, parts)
-                rows.append((field, key, trait, source, state, before, w, short, n, size, hash_of(text), None, None))
+                rows.append((field, key, trait, source, state, before, w, short, n, size, hash_of(text), len(parts) == 1 and len(t.split()) <= TERSE, None, None))
                 counted(t, parts, counts)
             for (before, w), (ends, goes) in paired(counts).items():
-                rows.append((None, None, None, None, None, before, w, None, None, None, None, ends, goes))
+                rows.append((None, None, None, None, None, before, w, None, None, None, None, None, ends, goes))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    ddl = "field string, essay_id bigint, trait string, source string, state string, before string, word string, short string, n_chars int, n_bytes int, same bigint, ends bigint, goes bigint"
+    ddl = "field string, essay_id bigint, trait string, source string, state string, before string, word string, short string, n_chars int, n_bytes int, same bigint, terse boolean, ends bigint, goes bigint"
     return texts.select("field", "essay_id", "trait", "text", "source").mapInArrow(run, ddl)
 
 
@@ -243,7 +246,8 @@ def truncated(texts: DataFrame) -> DataFrame:
         .when(near > 0, z("ends") * 10 < z("goes") + z("below"))
         .when((seen > 0) & limit, (goes * 3 >= ends_) | (z("w_below") * 3 >= ends_))
         .when(seen > 0, goes > ends_)
-        .when((z("n_same") >= 3) & ~limit, F.lit(False))
+        # a remark of few words that several essays have is whole, longer text however often isn't
+        .when(F.col("terse") & (z("n_same") >= 3) & ~limit, F.lit(False))
         .when(korean_whole, limit & (z("w_below") > 0))
         .when(z("w_below") > 0, F.lit(True))
         .when(limit, F.lit(True))

@@ -202,6 +202,14 @@ def test_truncated(spark):
     assert len(got) == len(rows) and not any(got[i] for i in range(60))
 
 
+def test_copies_of_a_cut_text_are_found(spark):
+    base = ["오늘 아침에 동생은 학교에서 새로운 책을 읽었다.", "우리는 함께 커다란 나무를 심었다.", "나는 그래서 기쁘다."]
+    rows = [("text", i, "", " ".join(random.Random(i).sample(base, 2)), "s") for i in range(30)]
+    rows += [("text", 100 + i, "", "나는 그래서 기쁘다. 그 옆에 새로", "s") for i in range(4)] + [("text", 200 + i, "", "매우 새로", "s") for i in range(4)]
+    df = spark.createDataFrame(rows, "field string, essay_id long, trait string, text string, source string")
+    assert {r.essay_id for r in truncation.truncated(df).where("truncated").collect()} == {100, 101, 102, 103}
+
+
 def test_truncated_nothing(spark):
     df = spark.createDataFrame([], "field string, essay_id long, trait string, text string, source string")
     assert truncation.truncated(df).collect() == []
