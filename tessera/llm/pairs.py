@@ -1,21 +1,22 @@
 """Broken prompt and response pairs (problem 5).
 
-Response openings are clustered by MinHash over their character trigrams, with the prompt's topic
-masked, and every member is verified against its cluster's commonest opening.  A cluster that recurs
-across unrelated prompts, or whose commonest opening declines the task in plain words, is a
-template; a response that holds little else is a refusal.  Copy, language and
-termination checks label the rest.
+The sentences of all responses are clustered by MinHash over their character trigrams, with the
+prompt's topic masked, and every member is verified against its cluster's commonest sentence.  A
+cluster that recurs across unrelated prompts, and that makes up much of the responses it stands in
+far more often than sentences do, is a template; a response that holds little else is a refusal.
+No wording is known beforehand.  Copy, language and termination checks label the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.sentences import keyed_texts, units
@@ -23,30 +24,19 @@ from tessera.llm.splits import plain_id
 from tessera.llm.truncation import BLANKS, truncated
 from tessera.session import cut, table
 
-OPENING = 6  # sentences that make a response's opening
-SHORT = 120  # letters and digits of a short response, which its opening holds whole
-BANDS, ROWS = 24, 2  # of the MinHash signature: of openings as alike as SIMILAR, 99.9 % share a band
-SIMILAR = 0.5  # Jaccard of trigrams at which an opening belongs to its cluster
-RECUR, TOPICS = 5, 3  # short responses, and topics, in which a template must recur
-SHORT_SHARE = 0.8  # of a template's openings that stand in short responses
-LEFT_OVER = 25  # letters and digits that a refusal may hold besides
-AGREE = 3  # bands shared by the openings of longer responses that are compared with a template, to weigh its share: 96 % at SIMILAR
+COVER = 1 / 6  # of a response's letters for a sentence to be a main part of it
+BANDS, ROWS = 24, 2  # of a sentence's MinHash signature: of those as alike as SIMILAR, 99.9 % share a band
+SIMILAR = 0.5  # Jaccard of trigrams at which a sentence belongs to its cluster
+WHOLE_BANDS, WHOLE_ROWS, WHOLE_SIMILAR = 24, 8, 0.8  # of whole responses that have no main sentence: 98.8 % share a band
+TOPICS = 3  # topics across which a template recurs
+MAIN_SHARE = 0.8  # of a template's occurrences that are main parts
+CHANCE = 0.01  # of a cluster being that concentrated by accident, over all clusters together
+LEFT_OVER = 25  # letters and digits that a refusal may hold besides, or else less than half of them
 COPY_GRAM = 6  # characters of the prompt that count as its wording
 COPIED = 0.6  # of a sentence's characters for it to be the prompt's
 
 # What people write in place of an answer.
 FILLERS = "없음 무응답 내용없음 해당없음 답없음 모름 미작성 미응답 na none null nil noanswer blank empty x 無回答 なし 无 没有 无回答".split()
-# Wordings that decline to write.
-DECLINES = (
-    r"(?i)(?:쓰지|하지)\s*않(?:겠|으려|을래)|거부(?:합니다|하겠)|빈칸으로\s*(?:내|제출)|(?:쓸|답할|작성할|써\s*드릴|작성해\s*드릴|도와드릴)\s*수\s*(?:없|있는\s*범위를\s*벗어)|답하지\s*않겠|답(?:을|변을)?\s*드리기\s*어렵|그만두겠|안\s*쓸(?:게|래)|할\s*말이\s*없|쓰고\s*싶지\s*않"
-    r"|\bcan(?:no|['’])t\s+(?:write|respond|answer|help|assist|complete)|\bcannot\s+(?:write|respond|answer|help|assist|complete)|\bunable\s+to\s+(?:write|respond|answer|help|assist|complete|comply)|\brather\s+not\s+(?:write|answer|respond)|\bdecline\s+to|\bwon['’]t\s+(?:write|answer)"
-    r"|書けません|答えられません|お答えできません|お断り|无法(?:回答|完成|写)|不能(?:回答|写)|拒绝"
-)
-# What shows that such a wording is about the task: its words, or to write without an object.
-TASK = (
-    r"(?i)(?<![가-힣])(?:글|주제|질문|대?답(?!답)|작성|요청|빈칸|[할쓸]\s*말)|(?:^|[^을를은는]\s+)(?:쓰지\s*않|쓰고\s*싶지|안\s*쓸)|＊(?:에\s*(?:대|관)|[을를]\s*다루)"
-    r"|\b(?:essay|prompt|question|task|topic|assignment|comply)\b|書け|答え|お断り|回答|写|拒绝"
-)
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(1, BANDS * ROWS + 1)], np.uint64)
 
 
@@ -108,107 +98,181 @@ def is_copy(parts: list[str], flags: list[bool]) -> bool:
     return any(flags) and sum(not f for f, n in zip(flags, sizes) if n) <= 1 and 2 * mine >= sum(sizes)
 
 
-def trigrams(opening: str) -> list[str]:
-    s = "^" + opening + "$"
-    return sorted({s[i : i + 3] for i in range(max(1, len(s) - 2))})
+def masked(sentence: str, topic: str | None) -> str:
+    """A sentence as it is compared: the topic and numbers masked, without case and marks at its ends."""
+    return re.sub(r"\d+", "0", sentence.replace(topic, "＊") if topic else sentence).lower().strip(BLANKS + ".!?…。！？")
 
 
-def signature(opening: str) -> list[int]:
-    """The keys of the bands of an opening's MinHash signature."""
-    import xxhash
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    h = np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in trigrams(opening)], np.uint64)
-    low = ((h[:, None] ^ (h[:, None] >> np.uint64(29))) * _SEEDS[None, :]).min(axis=0)
-    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
+
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the trigrams of all texts, with marks at their ends, and where each text's begin."""
+    padded = ["^" + t + "$" + ("" if t else "$") for t in texts]
+    cps = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(t) for t in padded])
+    keep = np.ones(len(cps), bool)
+    keep[ends - 1] = keep[ends - 2] = False  # no trigram begins at a text's last two characters
+    begin = np.flatnonzero(keep)
+    h = _mix(cps[begin] * np.uint64(0x9E3779B97F4A7C15) + cps[begin + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + cps[begin + 2] * np.uint64(0x165667B19E3779F9))
+    return h, np.r_[0, np.cumsum([len(t) - 2 for t in padded])[:-1]].astype(np.int64)
+
+
+def _bands(values: np.ndarray, rows: int) -> np.ndarray:
+    """The keys of the bands of so many neighbouring MinHash values each."""
+    n = values.shape[1] // rows
+    keys = np.zeros((len(values), n), np.uint64)
+    for r in range(rows):
+        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::rows])
+    return (keys + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(rows)).view(np.int64)
+
+
+def sentence_bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MinHash by one permutation for each value."""
+    return _bands(np.stack([np.minimum.reduceat(_mix(h * seed), first) for seed in _SEEDS], axis=1), ROWS)
+
+
+def whole_bands(h: np.ndarray) -> np.ndarray:
+    """MinHash of one long text by one permutation cut into bins; an empty bin takes the next one's value."""
+    n = WHOLE_BANDS * WHOLE_ROWS
+    values = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    h = _mix(h * _SEEDS[0])
+    np.minimum.at(values, (h >> np.uint64(32)).astype(np.int64) % n, h)
+    filled = np.flatnonzero(values != np.iinfo(np.uint64).max)
+    at = filled[np.searchsorted(filled, np.arange(n)) % len(filled)]
+    return _bands(values[at][None, :], WHOLE_ROWS)[0]
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """text, whole and other columns with the bands of each text's signature and its trigrams' hashes."""
+    names = [c for c in texts.columns if c not in ("text", "whole")]
+
+    def run(batches):
+        for b in batches:
+            values, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys, grams = [], []
+            for at in range(0, len(values), 1000):  # keeps the arrays small
+                h, first = trigrams(values[at : at + 1000])
+                short = sentence_bands(h, first)
+                for x, (s, e) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(h)])):
+                    keys.append(whole_bands(h[s:e]) if whole[at + x] else short[x])
+                    grams.append(np.unique((h[s:e] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))], names=["text", "whole", *names, "bands", "grams"])
+
+    kinds = dict(texts.dtypes)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("text", "whole", *names)) + ", bands array<bigint>, grams array<int>"
+    return texts.select("text", "whole", *names).mapInArrow(run, ddl)
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """What each pair shows by itself, and the bands of its openings, in one pass.
+    """What each pair shows by itself, in one pass.
 
-    pairs: essay_id, text, prompt, topic.  Gives essay_id, topic, empty, copy, other, short, openings
-    (text, size, bands) and rest, the letters and digits that are the prompt's.
+    pairs: essay_id, text, prompt, topic.  Gives essay_id, topic, empty, copy, other, rest (the letters
+    and digits that are the prompt's) and parts (text, size, main, whole): the other sentences, and of
+    a response without a main sentence all of them together.
     """
-    opening = pa.struct([("text", pa.string()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
-    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("short", pa.bool_()), ("openings", pa.list_(opening)), ("rest", pa.int32())])
+    part = pa.struct([("text", pa.string()), ("size", pa.int32()), ("main", pa.bool_()), ("whole", pa.bool_())])
+    schema = pa.schema([("essay_id", pa.int64()), ("topic", pa.string()), ("empty", pa.bool_()), ("copy", pa.bool_()), ("other", pa.bool_()), ("parts", pa.list_(part)), ("rest", pa.int32())])
 
     def run(batches):
         for b in batches:
             rows = []
             for key, text, prompt, topic in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if is_empty(text):
-                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "short": True, "openings": [], "rest": 0})
+                    rows.append({"essay_id": key, "topic": topic, "empty": True, "copy": False, "other": False, "parts": [], "rest": 0})
                     continue
-                parts = [text[s:e] for s, e in units(text)]
-                flags = copied(parts, prompt) if prompt else [False] * len(parts)
-                own = [(p, len(bare(p))) for p, f in zip(parts, flags) if not f]
-                short = len(parts) <= OPENING and sum(n for _, n in own) <= SHORT
-                openings = []
-                for p, size in own[:OPENING]:
-                    masked = re.sub(r"\d+", "0", p.replace(topic, "＊") if topic else p).lower().strip(BLANKS + ".!?…。！？")
-                    openings.append({"text": masked, "size": size, "bands": signature(masked)})
-                rows.append(
-                    {
-                        "essay_id": key,
-                        "topic": topic,
-                        "empty": False,
-                        "copy": is_copy(parts, flags),
-                        "other": bool(prompt) and other_language(text, prompt),
-                        "short": short,
-                        "openings": openings,
-                        "rest": sum(len(bare(p)) for p, f in zip(parts, flags) if f),
-                    }
-                )
+                sentences_ = [text[s:e] for s, e in units(text)]
+                flags = copied(sentences_, prompt) if prompt else [False] * len(sentences_)
+                own = [(masked(p, topic), len(bare(p))) for p, f in zip(sentences_, flags) if not f]
+                total = sum(n for _, n in own)
+                parts = [{"text": t, "size": n, "main": n >= COVER * total, "whole": False} for t, n in own]
+                if parts and not any(x["main"] for x in parts):
+                    parts.append({"text": " ".join(t for t, _ in own), "size": total, "main": True, "whole": True})
+                rest = sum(len(bare(p)) for p, f in zip(sentences_, flags) if f)
+                rows.append({"essay_id": key, "topic": topic, "empty": False, "copy": is_copy(sentences_, flags), "other": bool(prompt) and other_language(text, prompt), "parts": parts, "rest": rest})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, short boolean, openings array<struct<text:string,size:int,bands:array<bigint>>>, rest int"
+    ddl = "essay_id bigint, topic string, empty boolean, copy boolean, other boolean, parts array<struct<text:string,size:int,main:boolean,whole:boolean>>, rest int"
     return pairs.select("essay_id", "text", "prompt", "topic").mapInArrow(run, ddl)
 
 
-def _grams(c: str):
-    s = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(s) - 2)), lambda i: F.xxhash64(F.substring(s, i, F.lit(3)))))
+def similar(tops: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, id: of the texts in each band those that are similar to the band's top.
+
+    tops: band, rep, whole, grams; texts: id, bands, grams.  A text meets one top in each of its
+    bands, so there are never more pairs than bands.
+    """
+    pairs = texts.select("id", F.explode("bands").alias("band")).join(tops.select("band", "rep"), "band").select("rep", "id").distinct()
+    reps = tops.select("rep", "whole", F.col("grams").alias("_b")).dropDuplicates(["rep"])
+    pairs = pairs.join(texts.select("id", F.col("grams").alias("_a")), "id").join(reps, "rep")
+    both = F.size(F.array_intersect("_a", "_b"))
+    least = F.when(F.col("whole"), WHOLE_SIMILAR).otherwise(SIMILAR)
+    return pairs.where(both >= least * (F.size("_a") + F.size("_b") - both)).select("rep", "id")
+
+
+def concentrated(n_main: Column, n_other: Column, base: float, n_clusters: int) -> Column:
+    """Are so many main occurrences of all more than chance gives at the base rate of main parts?
 
+    By the Chernoff bound of the binomial tail, for all clusters together.
+    """
+    n = n_main + n_other
+    s = n_main / n
+    rest = F.when(n_other > 0, n_other * F.log((1 - s) / (1 - base))).otherwise(F.lit(0.0))
+    return (s > base) & (n_main * F.log(s / base) + rest >= math.log(max(1, n_clusters) / CHANCE))
 
-def similar(reps: DataFrame, texts: DataFrame, agree: int) -> DataFrame:
-    """rep, text: of the pairs that share at least ``agree`` bands those whose trigrams are similar.
 
-    reps: rep, bands; texts: text, bands.
+def templates(each: DataFrame) -> DataFrame:
+    """``id`` (hash of text and whole) of the texts that belong to a template; each: topic, text, main, whole by occurrence.
+
+    A cluster is a band's commonest main text and all main texts that share a band with it and have
+    similar trigrams.  It is a template if it recurs across TOPICS topics, at least MAIN_SHARE of its
+    occurrences, and of those of similar other sentences, are main parts of their responses, and
+    that many are beyond chance.  The base rate is that of all sentences, so the test holds at any
+    number of responses.
     """
-    a = reps.select("rep", F.explode("bands").alias("band"))
-    b = texts.select("text", F.explode("bands").alias("band"))
-    pairs = b.join(a, "band").groupBy("rep", "text").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("rep", "text")
-    pairs = pairs.join(texts.select("text", _grams("text").alias("_a")), "text").join(reps.select("rep", _grams("rep").alias("_b")), "rep")
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.where(both >= SIMILAR * (F.size("_a") + F.size("_b") - both)).select("rep", "text")
+    one = each.where("NOT whole").agg(F.avg(F.col("main").cast("double"))).first()[0]
+    base = min(0.5, max(1e-6, one or 0.0))
+    key = F.xxhash64("text", "whole").alias("id")
+    counts = each.groupBy("text", "whole").agg(F.sum(F.col("main").cast("bigint")).alias("n"), F.sum((~F.col("main")).cast("bigint")).alias("n_other"))
+    texts = cut(sketched(counts).withColumn("id", key).drop("text"))
+    mains = texts.where("n > 0")
+    tops = mains.select("id", "n", F.explode("bands").alias("band")).groupBy("band").agg(F.max_by("id", F.struct("n", "id")).alias("rep"), F.sum("n").alias("n"))
+    # what doesn't meet TOPICS occurrences in a band can't recur in as many topics
+    tops = cut(tops.where(F.col("n") >= TOPICS).select("band", "rep").join(mains.select(F.col("id").alias("rep"), "whole", "grams"), "rep"))
+    near = cut(similar(tops, mains))
+    by_topic = near.join(each.where("main").groupBy(key, "topic").agg(F.count("*").alias("n")), "id").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
+    seen = cut(by_topic.groupBy("rep").agg(F.sum("n").alias("n_main"), F.count("topic").alias("n_topics")))
+    n_clusters = seen.count()
+    recur = seen.where((F.col("n_topics") >= TOPICS) & concentrated(F.col("n_main"), F.lit(0), base, n_clusters))
+    others = texts.where("n_other > 0")
+    n_other = similar(tops.join(recur.select("rep"), "rep", "left_semi"), others).join(others.select("id", "n_other"), "id").groupBy("rep").agg(F.sum("n_other").alias("n_other"))
+    weighed = recur.join(n_other, "rep", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
+    held = weighed.where((F.col("n_main") >= MAIN_SHARE * (F.col("n_main") + F.col("n_other"))) & concentrated(F.col("n_main"), F.col("n_other"), base, n_clusters))
+    return near.join(held.select("rep"), "rep", "left_semi").select("id").distinct()
 
 
 def refusals(rows: DataFrame) -> DataFrame:
-    """essay_id of the short responses that consist of templates.
+    """essay_id of the responses that consist of templates.
 
-    ``rows`` as :func:`judged` gives them.  A cluster is a band's commonest opening and all openings
-    that share any band with it and have similar trigrams.  One that recurs in at least RECUR short
-    responses and TOPICS topics, and mostly there, makes a template; where its commonest opening
-    declines in plain words, TOPICS topics are enough, and none if it names the task as well, as
-    nothing else tells a refusal whose wording no other essay has.
+    ``rows`` as :func:`judged` gives them.  What is no template must be at most LEFT_OVER letters, or
+    less than half of the response.  Nothing but recurrence tells a refusal: one whose wording no
+    other response has stays unfound.
     """
-    each = rows.select("essay_id", "topic", "rest", "short", F.explode("openings").alias("o")).select("essay_id", "topic", "rest", "short", "o.*")
-    short = each.where("short")
-    texts = cut(short.groupBy("text").agg(F.count("*").alias("n"), F.first("bands").alias("bands")))
-    tops = texts.select("text", "n", F.explode("bands").alias("band")).groupBy("band").agg(F.max_by("text", F.struct("n", "text")).alias("rep")).select("rep").distinct()
-    tops = tops.join(texts.select(F.col("text").alias("rep"), "bands"), "rep")
-    near = cut(similar(tops, texts, 1))
-    by_topic = near.join(short.groupBy("text", "topic").agg(F.count("*").alias("n")), "text").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
-    seen = by_topic.groupBy("rep").agg(F.sum("n").alias("n_short"), F.count("topic").alias("n_topics"))
-    seen = cut(seen.join(tops, "rep"))
-    declines = F.col("rep").rlike(DECLINES)
-    recur = seen.where(((F.col("n_short") >= RECUR) | declines) & (F.col("n_topics") >= TOPICS))
-    long = each.where("NOT short").groupBy("text").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    n_long = similar(recur.select("rep", "bands"), long, AGREE).join(long.select("text", "n"), "text").groupBy("rep").agg(F.sum("n").alias("n_long"))
-    mostly = recur.join(n_long, "rep", "left").where(F.col("n_short") >= SHORT_SHARE * (F.col("n_short") + F.coalesce("n_long", F.lit(0))))
-    templates = mostly.select("rep").unionByName(seen.where(declines & F.col("rep").rlike(TASK)).select("rep"))
-    known = near.join(templates, "rep", "left_semi").select("text").distinct().withColumn("known", F.lit(True))
-    told = short.join(known, "text", "left").groupBy("essay_id").agg(F.max("known").alias("known"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("size"))).alias("left"), F.max("rest").alias("rest"))
-    return told.where(F.col("known") & (F.col("left") + F.col("rest") <= LEFT_OVER)).select("essay_id")
+    each = rows.select("essay_id", "topic", "rest", F.explode("parts").alias("o")).select("essay_id", "topic", "rest", "o.*").withColumn("id", F.xxhash64("text", "whole"))
+    known = cut(templates(each)).withColumn("known", F.lit(True))
+    size = F.when(F.col("whole"), 0).otherwise(F.col("size"))
+    told = each.drop("text", "topic").join(known, "id", "left").groupBy("essay_id").agg(
+        F.max("known").alias("known"),
+        F.max(F.col("known") & F.col("whole")).alias("all"),
+        F.sum(F.when(F.col("known"), 0).otherwise(size)).alias("left"),
+        F.sum(size).alias("size"),
+        F.max("rest").alias("rest"),
+    )
+    left = F.when(F.col("all"), 0).otherwise(F.col("left")) + F.col("rest")
+    return told.where(F.col("known") & ((left <= LEFT_OVER) | (2 * left < F.col("size") + F.col("rest")))).select("essay_id")
 
 
 def defects(pairs: DataFrame, short_of_end: DataFrame) -> DataFrame:

@@ -141,37 +141,79 @@ def test_pair_checks():
     assert not pairs.other_language("...", PROMPT)
 
 
+def sound(n, topics, first=1000):
+    """Ordinary responses of a dozen sentences of their own."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("가나다라마바사아자차카타파하거너더러머버서어") for _ in range(r.randrange(2, 5)))
+    return [(first + i, " ".join(" ".join(word() for _ in range(7)) + "다." for _ in range(12)), f"{topics[i % len(topics)]}에 대해 주장하는 글을 쓰시오.", topics[i % len(topics)]) for i in range(n)]
+
+
+TOPICS = ["급식", "운동", "독서", "체육", "음악", "여행"]
+
+
+def judged_defects(spark, rows, cut=()):
+    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
+    return dict(pairs.defects(df, spark.createDataFrame([(c,) for c in cut], "essay_id long")).collect())
+
+
 def test_defects(spark):
     rows = [(1, None, PROMPT, "급식"), (2, "Lunch at school is very good.", PROMPT, "급식"), (3, "급식은 맛있다.", None, None), (4, "급식은 맛있다. 그래서", PROMPT, "급식"), (5, "급식은 맛있다.", PROMPT, "급식"), (6, PROMPT, PROMPT, "급식")]
-    rows += [(10 + i, f"저는 {t} 이야기를 펼치지 못하니 이만 줄입니다. 다음에 뵙겠습니다.", f"{t}에 대해 주장하는 글을 쓰시오.", t) for i, t in enumerate(["급식", "운동", "독서", "체육", "음악", "여행"])]
-    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
-    got = dict(pairs.defects(df, spark.createDataFrame([(4,), (1,)], "essay_id long")).collect())
+    rows += [(10 + i, f"저는 {t} 이야기를 펼치지 못하니 이만 줄입니다. 다음에 뵙겠습니다.", f"{t}에 대해 주장하는 글을 쓰시오.", t) for i, t in enumerate(TOPICS)]
+    got = judged_defects(spark, rows + sound(60, TOPICS), (4, 1))
     assert got == {1: "empty", 2: "other_language", 4: "truncated", 6: "copy"} | {10 + i: "refusal" for i in range(6)}
 
 
+def similarity(a, b):
+    h = [set(pairs.trigrams([x])[0].tolist()) for x in (a, b)]
+    return len(h[0] & h[1]) / len(h[0] | h[1])
+
+
 def test_variants_of_a_template_are_found(spark):
     r = random.Random(5)
     words = ["".join(r.choice("가나다라마바사아자차카타파하거너더러머버서어") for _ in range(4)) for _ in range(400)]
     base = words[:8]
-    a = set(pairs.trigrams(" ".join(base)))
     variants = []
     while len(variants) < 30:
         v = " ".join(r.choice(words[8:]) if r.random() < 0.25 else w for w in base)
-        b = set(pairs.trigrams(v))
-        if 0.5 <= len(a & b) / len(a | b) < 0.65 and len(sentences.units(v)) == 1:
+        if 0.52 <= similarity(" ".join(base), v) < 0.65 and len(sentences.units(v)) == 1:
             variants.append(v)
     rows = [(i, t + ".", f"{k}에 대해 주장하는 글을 쓰시오.", k) for i, (t, k) in enumerate(zip([" ".join(base)] * 6 + variants, ["급식", "운동", "독서"] * 12))]
-    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
-    got = dict(pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect())
-    assert got == {i: "refusal" for i in range(36)}
+    assert judged_defects(spark, rows + sound(100, TOPICS)) == {i: "refusal" for i in range(36)}
+
+
+def test_refusals_of_any_length(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("가나다라마바사아자차카타파하") for _ in range(3))
+    long = [" ".join(word() for _ in range(8)) + "다." for _ in range(40)]
+    rows = []
+    for i in range(12):  # ten times what was once the longest refusal, each with a sentence of its own
+        parts = [*long]
+        parts[r.randrange(40)] = f"{TOPICS[i % 6]} {word()} {word()}다."
+        rows.append((i, " ".join(parts), f"{TOPICS[i % 6]}에 대해 주장하는 글을 쓰시오.", TOPICS[i % 6]))
+    assert len(pairs.bare(rows[0][1])) > 900
+    assert judged_defects(spark, rows + sound(60, TOPICS)) == {i: "refusal" for i in range(12)}
+
+
+def test_what_recurs_in_ordinary_responses_is_no_template(spark):
+    rows = [(i, t if i % 9 else "오늘은 조사한 바를 차례로 적어 보았다.", p, k) for i, t, p, k in ((i, "오늘은 조사한 바를 차례로 적어 보았다. " + t, p, k) for i, t, p, k in sound(90, TOPICS))]
+    assert judged_defects(spark, rows) == {}
 
 
 def test_wording_alone_is_no_refusal(spark):
-    texts = ["나는 앞으로 거짓말을 하지 않겠다.", "그 돈은 쓸 수 없다.", "이 주제로는 글을 쓸 수 없습니다.", "무엇을 써야 할지 몰라서 쓰지 않겠습니다."]
-    rows = [(i, t, f"{k}에 대해 주장하는 글을 쓰시오.", k) for i, (t, k) in enumerate(zip([*texts, *["저는 이번만큼은 거부하겠습니다."] * 3], ["급식", "운동", "독서", "체육", "음악", "여행", "시장"]))]
-    df = spark.createDataFrame(rows, "essay_id long, text string, prompt string, topic string")
-    got = dict(pairs.defects(df, spark.createDataFrame([], "essay_id long")).collect())
-    assert got == {i: "refusal" for i in (2, 3, 4, 5, 6)}
+    texts = ["나는 앞으로 거짓말을 하지 않겠다.", "그 돈은 쓸 수 없다.", "이 주제로는 글을 쓸 수 없습니다.", "나는 조금 다르게 생각한다."]
+    rows = [(i, t, f"{k}에 대해 주장하는 글을 쓰시오.", k) for i, (t, k) in enumerate(zip(texts, TOPICS))]
+    rows += [(20 + i, "나는 급식이 맛있다고 생각한다.", "급식에 대해 주장하는 글을 쓰시오.", "급식") for i in range(8)]  # recurs, but within one topic
+    assert judged_defects(spark, rows + sound(60, TOPICS)) == {}
+
+
+def test_signatures_estimate_similarity():
+    r = random.Random(3)
+    a = "".join(r.choice("가나다라마바사") for _ in range(400))
+    b = a[:340] + "".join(r.choice("가나다라마바사") for _ in range(60))
+    (h, first), s = pairs.trigrams([a, b, ""]), similarity(a, b)
+    low = np.stack([np.minimum.reduceat(pairs._mix(h * seed), first) for seed in pairs._SEEDS], axis=1)
+    assert abs(np.mean(low[0] == low[1]) - s) < 0.2 and len(first) == 3
+    assert set(pairs.whole_bands(h[: first[1]])) & set(pairs.whole_bands(h[first[1] : first[2]]))
 
 
 def test_no_pairs(spark):
