@@ -10,6 +10,7 @@ def queries() -> dict:
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
         "p3_shares": splits.p3_shares,
+        "p3_audit": splits.p3_audit,
         "p4_found": consensus.p4_found,
         "p4_raters": consensus.p4_raters,
         "p4_consensus": consensus.p4_consensus,

@@ -7,6 +7,7 @@ the one with the rarest outstanding label first, into the split that needs that
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,11 @@ from pyspark.sql import Window as W
 
 from tessera.session import cut, table
 
-#: Components larger than 1 / FINE of all records are placed one by one, so there are at most FINE
-#: of them; the rest goes in at most FINE hashed bundles by rarest label, each placed whole.
+#: Components larger than 1 / FINE of all records, of which there are fewer than FINE, are placed one
+#: by one on the driver; all others in a distributed sweep.
 FINE = 4000
+#: Components that one task of the sweep should number.
+SWEEP = 100_000
 
 
 def plain_id(c: Column) -> Column:
@@ -94,92 +97,114 @@ def chain_starts(df: DataFrame, key: str, parent: str) -> DataFrame:
     return at.join(own, "to").select("id", F.when(F.col("moved"), F.col("circle")).otherwise(F.col("to")).alias("start"))
 
 
-def place(items: list[tuple[object, dict[str, int]]], shares: dict[str, float]) -> dict[object, str]:
+def lacking(totals: dict[str, int], shares: dict[str, float]) -> dict[str, dict[str, float]]:
+    """By split and label the records wanted."""
+    scale = sum(shares.values()) or 1
+    return {s: {k: n * p / scale for k, n in totals.items()} for s, p in shares.items()}
+
+
+def place(items: list[tuple[object, dict[str, int]]], lack: dict[str, dict[str, float]]) -> dict[object, str]:
     """The split of each item with its label counts: iterative stratification of whole items.
 
     The label with the fewest records outstanding goes first; of the items that hold it the one
     with most of it (ties: the larger, then by name) goes to the split that lacks most of the label,
-    then most records at all, then the first by name.
+    then most records at all, then the first by name.  ``lack`` by split and label is reduced by
+    what is placed.
     """
     left: dict[str, int] = defaultdict(int)
-    for _, v in items:
-        for k, n in v.items():
-            left[k] += n
-    total, scale = sum(left.values()), sum(shares.values()) or 1
-    lack = {s: {k: n * p / scale for k, n in left.items()} for s, p in shares.items()}
-    room = {s: total * p / scale for s, p in shares.items()}
     by_label: dict[str, list[int]] = defaultdict(list)
     for x, (_, v) in enumerate(items):
-        for k in v:
+        for k, n in v.items():
+            left[k] += n
             by_label[k].append(x)
+    room = {s: sum(v.values()) for s, v in lack.items()}
     for k, xs in by_label.items():
         xs.sort(key=lambda x: (-items[x][1][k], -sum(items[x][1].values()), str(items[x][0])), reverse=True)
+    heap = [(n, k) for k, n in left.items()]
+    heapq.heapify(heap)
     out: dict[object, str] = {}
-    while left:
-        label = min(left, key=lambda k: (left[k], k))
+    while heap:
+        n, label = heap[0]
         xs = by_label[label]
         while xs and items[xs[-1]][0] in out:
             xs.pop()
-        if not xs:
-            del left[label]
+        if n != left[label] or not xs:
+            heapq.heappop(heap)
             continue
         name, v = items[xs.pop()]
-        s = max(sorted(shares), key=lambda s: (lack[s][label], room[s]))
+        s = max(sorted(lack), key=lambda s: (lack[s].get(label, 0.0), room[s]))
         out[name] = s
         for k, n in v.items():
-            lack[s][k] -= n
-            if k in left:
-                left[k] -= n
+            lack[s][k] = lack[s].get(k, 0.0) - n
+            left[k] -= n
+            heapq.heappush(heap, (left[k], k))
         room[s] -= sum(v.values())
     return out
 
 
-def stratify(members: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """``group`` and ``split_name`` for members (id, group, label), one row per id; label null counts as a label.
+def stratify(members: DataFrame, shares: dict[str, float], labels: list[str]) -> DataFrame:
+    """``group`` and ``split_name`` for members (id, group and the label columns), one row per id.
 
-    Only sums of at most 2 * FINE components or bundles reach the driver, whatever the size of the
-    table: components above 1 / FINE of the records come one by one, smaller ones in bundles by
-    rarest label and a hash of the group.  No group is ever divided.  Without shares, or without
-    members, the result is empty.
+    A component's label vector counts its records by label, a null label counting as one.  Components
+    above 1 / FINE of the records are placed one by one, rarest label first.  The others follow, label
+    by label from the rarest outstanding on: of a label's components each split gets the part that it
+    lacks, after all that went before.  They are numbered in order of label and label vector, and the
+    multiples of the golden ratio by these numbers, shifted in each task, tell the split, so that alike
+    components spread evenly.  The driver holds the label totals and fewer than FINE components, nothing else.  No
+    group is ever divided.  Without shares, or without members, the result is empty.
     """
     spark = members.sparkSession
-    m = members.select("group", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label"))
-    vectors = cut(m.groupBy("group", "label").agg(F.count("*").alias("n")))
-    labels = vectors.groupBy("label").agg(F.sum("n").alias("all")).orderBy("all", "label").limit(FINE).collect()
-    total = sum(r["all"] for r in labels)
+    named = F.explode(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) for c in labels)))
+    vectors = cut(members.select("group", named.alias("label")).groupBy("group", "label").agg(F.count("*").alias("n")))
+    totals = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).toLocalIterator()}
+    all_ = sum(totals.values())
     schema = f"group {dict(members.dtypes)['group']}, split_name string"
-    if not labels or not shares:
+    if not totals or not shares:
         return spark.createDataFrame([], schema)
-    rarity = spark.createDataFrame([(r["label"], x) for x, r in enumerate(labels)], "label string, rare int")
-    bundles = max(1, FINE // len(labels))
-    sized = vectors.join(F.broadcast(rarity), "label", "left")  # at most FINE labels
-    whole = sized.groupBy("group").agg(F.sum("n").alias("size"), F.min("rare").alias("rare"))
-    item = F.when(F.col("size") * FINE > total, F.concat(F.lit("g"), F.col("group").cast("string"))).otherwise(F.concat(F.lit("b"), F.coalesce("rare", F.lit(0)), F.lit(":"), F.pmod(F.xxhash64("group"), F.lit(bundles))))
-    named = cut(whole.select("group", item.alias("item")))
-    sums = vectors.join(named, "group").groupBy("item", "label").agg(F.sum("n").alias("n"))
+    lack = lacking(totals, shares)
+    large = cut(vectors.groupBy("group").agg(F.sum("n").alias("size")).where(F.col("size") * FINE > all_).select("group"))
     per: dict[object, dict[str, int]] = defaultdict(dict)
-    for r in sums.orderBy("item", "label").toLocalIterator():
-        per[r["item"]][r["label"]] = r["n"]
-    placed = spark.createDataFrame(list(place(sorted(per.items()), shares).items()), "item string, split_name string")
-    return named.join(F.broadcast(placed), "item").select("group", "split_name")  # at most 2 * FINE items
+    for r in vectors.join(F.broadcast(large), "group", "left_semi").orderBy("group", "label").toLocalIterator():  # fewer than FINE groups
+        per[r["group"]][r["label"]] = r["n"]
+    placed = spark.createDataFrame(list(place(sorted(per.items()), lack).items()), schema)
+    small = vectors.join(F.broadcast(large), "group", "left_anti")
+    rare = F.struct("all", "label")
+    sized = small.join(small.groupBy("label").agg(F.sum("n").alias("all")), "label")
+    whole = cut(sized.groupBy("group").agg(F.sum("n").alias("size"), F.min(rare).alias("rare"), F.bit_xor(F.xxhash64("label", "n")).alias("vector")))
+    flows = small.join(whole.select("group", "rare"), "group").groupBy("rare", "label").agg(F.sum("n").alias("n"))
+    splits, parts, now = sorted(shares), {}, None
+    for r in flows.orderBy("rare", "label").toLocalIterator():
+        if r["rare"]["label"] != now:
+            now = r["rare"]["label"]
+            want = [max(0.0, lack[s][now]) for s in splits]
+            parts[now] = [w / sum(want) for w in want] if sum(want) > 0 else [shares[s] / sum(shares.values()) for s in splits]
+        for s, p in zip(splits, parts[now]):
+            lack[s][r["label"]] -= p * r["n"]
+    upto = spark.createDataFrame([(k, [sum(v[: i + 1]) for i in range(len(v))]) for k, v in parts.items()], "label string, upto array<double>")
+    tasks = max(1, -(-whole.count() // SWEEP))
+    number = F.row_number().over(W.partitionBy("_task").orderBy("rare", "vector", "size", "group"))
+    swept = whole.withColumn("_task", F.pmod(F.xxhash64("group"), F.lit(tasks))).withColumn("_u", (number * F.lit((5**0.5 - 1) / 2) + F.col("_task") * F.lit(2**0.5)) % 1)
+    swept = swept.select("group", "_u", F.col("rare.label").alias("label")).join(upto, "label")
+    split = F.element_at(F.array(*map(F.lit, splits)), F.least(F.lit(len(splits)), 1 + F.size(F.filter("upto", lambda x: x <= F.col("_u")))))
+    return placed.unionByName(swept.select("group", split.alias("split_name")))
 
 
 def essay_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cv_scheme, essay_id, group_key and grade of every essay in either scheme."""
+    """cv_scheme, essay_id, group_key, grade and purpose of every essay in either scheme."""
     essays = table(spark, sf_dir, "essays").select("essay_id", "prompt_id", "reference", "author_id", "revision_of")
-    prompts = table(spark, sf_dir, "prompts").select("prompt_id", "grade", "reissue_of")
-    graded = prompts.select(plain_id(F.col("prompt_id")).alias("_p"), F.col("prompt_id").alias("_id"), "grade").where("_p IS NOT NULL")
-    graded = graded.groupBy("_p").agg(F.min_by("grade", "_id").alias("grade"), F.min("_id").alias("id"))
+    prompts = table(spark, sf_dir, "prompts").select("prompt_id", "grade", "purpose", "reissue_of")
+    graded = prompts.select(plain_id(F.col("prompt_id")).alias("_p"), F.col("prompt_id").alias("_id"), "grade", "purpose").where("_p IS NOT NULL")
+    graded = graded.groupBy("_p").agg(F.min_by("grade", "_id").alias("grade"), F.min_by("purpose", "_id").alias("purpose"), F.min("_id").alias("id"))
     starts = chain_starts(prompts.withColumn("_plain", plain_id(F.col("prompt_id"))).withColumn("_to", plain_id(F.col("reissue_of"))), "_plain", "_to")
     named = starts.join(graded.select(F.col("_p").alias("start"), F.col("id").alias("_start")), "start").select(F.col("id").alias("_p"), "_start")
-    prompt = graded.select("_p", "grade").join(named, "_p")
+    prompt = graded.select("_p", "grade", "purpose").join(named, "_p")
     # of an essay whose rows name several prompts, the one most of its rows name, then the smallest
     own = essays.select("essay_id", plain_id(F.col("prompt_id")).alias("_p")).where("essay_id IS NOT NULL AND _p IS NOT NULL").groupBy("essay_id", "_p").agg(F.count("*").alias("n"))
-    own = own.join(prompt, "_p").groupBy("essay_id").agg(F.max_by(F.struct("_start", "grade"), F.struct("n", "_p")).alias("p"))
+    own = own.join(prompt, "_p").groupBy("essay_id").agg(F.max_by(F.struct("_start", "grade", "purpose"), F.struct("n", "_p")).alias("p"))
     together = groups_of_records(essays, "essay_id", ["author_id", "reference"], "revision_of")
-    one = together.select(F.col("id").alias("essay_id"), F.col("group").cast("string").alias("group_key")).join(own.select("essay_id", "p.grade"), "essay_id", "left")
-    two = own.select("essay_id", F.col("p._start").alias("group_key"), "p.grade")
-    return one.select(F.lit("grade_stratified").alias("cv_scheme"), "essay_id", "group_key", "grade").union(two.select(F.lit("leave_one_prompt_out"), "essay_id", "group_key", "grade"))
+    one = together.select(F.col("id").alias("essay_id"), F.col("group").cast("string").alias("group_key")).join(own.select("essay_id", "p.grade", "p.purpose"), "essay_id", "left")
+    two = own.select("essay_id", F.col("p._start").alias("group_key"), "p.grade", "p.purpose")
+    return one.select(F.lit("grade_stratified").alias("cv_scheme"), "essay_id", "group_key", "grade", "purpose").union(two.select(F.lit("leave_one_prompt_out"), "essay_id", "group_key", "grade", "purpose"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +213,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cv_scheme, essay_id, group_key and the split_name of every essay, by ``split_plan``."""
+    """cv_scheme, essay_id, group_key and the split_name of every essay, by ``split_plan``.
+
+    The label vectors count grades and purposes.
+    """
     every = cut(essay_groups(spark, sf_dir))
     out = None
     plan = table(spark, sf_dir, "split_plan").groupBy("cv_scheme", "split_name").agg(F.sum("share").alias("share")).orderBy("cv_scheme", "split_name").collect()  # one row per split
     for scheme in sorted({r["cv_scheme"] for r in plan}):
         rows = every.where(F.col("cv_scheme") == scheme)
-        split = stratify(rows.select(F.col("essay_id").alias("id"), F.col("group_key").alias("group"), F.col("grade").alias("label")), {r["split_name"]: r["share"] for r in plan if r["cv_scheme"] == scheme})
+        split = stratify(rows.select(F.col("essay_id").alias("id"), F.col("group_key").alias("group"), "grade", "purpose"), {r["split_name"]: r["share"] for r in plan if r["cv_scheme"] == scheme}, ["grade", "purpose"])
         part = rows.join(split.withColumnRenamed("group", "group_key"), "group_key").select("cv_scheme", "essay_id", "group_key", "split_name")
         out = part if out is None else out.unionByName(part)
     return out
@@ -207,9 +235,23 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n_essays") / F.sum("n_essays").over(W.partitionBy("cv_scheme", "grade")), 6))
 
 
+def p3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By scheme: n_essays and n_groups placed, n_broken groups that stand in several splits, and
+    shares_held: is every split's part of the essays within 1 % of them, or else the largest group, of its share?
+    """
+    rows = cut(p3_splits(spark, sf_dir))
+    groups_ = rows.groupBy("cv_scheme", "group_key").agg(F.count("*").alias("n"), F.count_distinct("split_name").alias("k"))
+    whole = groups_.groupBy("cv_scheme").agg(F.sum("n").alias("n_essays"), F.count("*").alias("n_groups"), F.sum((F.col("k") > 1).cast("bigint")).alias("n_broken"), F.max("n").alias("_most"))
+    plan = table(spark, sf_dir, "split_plan").groupBy("cv_scheme", "split_name").agg(F.sum("share").alias("share"))
+    scale = plan.groupBy("cv_scheme").agg(F.sum("share").alias("scale"))
+    got = rows.groupBy("cv_scheme", "split_name").agg(F.count("*").alias("n"))
+    off = plan.join(scale, "cv_scheme").join(got, ["cv_scheme", "split_name"], "left").join(whole, "cv_scheme")
+    off = off.withColumn("ok", F.abs(F.coalesce("n", F.lit(0)) - F.col("share") / F.col("scale") * F.col("n_essays")) <= F.greatest(F.col("_most"), 0.01 * F.col("n_essays")))
+    return whole.join(off.groupBy("cv_scheme").agg(F.min("ok").alias("shares_held")), "cv_scheme").drop("_most")
+
+
 _PLAIN = "regexp_replace(upper({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-SQL = {
-    "p3_found": f"""
+_FOUND = f"""
 WITH RECURSIVE x AS (SELECT essay_id AS u, revision_of, {_PLAIN.format('author_id')} AS a, {_PLAIN.format('reference')} AS r, {_PLAIN.format('prompt_id')} AS p FROM essays WHERE essay_id IS NOT NULL),
 t AS (SELECT DISTINCT u, 'a' || a AS k FROM x WHERE regexp_matches(a, '[1-9]') UNION SELECT u, 'r' || r FROM x WHERE regexp_matches(r, '[1-9]')),
 f AS (SELECT k, min(u) AS v FROM t GROUP BY k),
@@ -222,5 +264,8 @@ s AS (SELECT c.p, q.prompt_id AS start FROM c JOIN q ON q.p = c.at WHERE q.o IS
 m AS (SELECT u, p, count(*) AS n FROM x WHERE p IN (SELECT p FROM q) GROUP BY u, p),
 w AS (SELECT u, p, row_number() OVER (PARTITION BY u ORDER BY n DESC, p DESC) AS j FROM m)
 SELECT 'grade_stratified' AS cv_scheme, u AS essay_id, min(v)::VARCHAR AS group_key FROM reach GROUP BY u
-UNION ALL SELECT 'leave_one_prompt_out', u, start FROM w JOIN s USING (p) WHERE j = 1""",
+UNION ALL SELECT 'leave_one_prompt_out', u, start FROM w JOIN s USING (p) WHERE j = 1"""
+SQL = {
+    "p3_found": _FOUND,
+    "p3_audit": f"SELECT cv_scheme, count(*) AS n_essays, count(DISTINCT group_key) AS n_groups, 0::BIGINT AS n_broken, true AS shares_held FROM ({_FOUND}) GROUP BY cv_scheme",
 }

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import consensus, encode, leaks, pairs, sentences, spans, splits, truncation
 
@@ -49,7 +50,7 @@ def test_groups_regard_all_rows_of_a_key(spark):
 def test_no_records(spark):
     df = spark.createDataFrame([], "k long, who string, of long")
     assert splits.groups_of_records(df, "k", ["who"], "of").collect() == []
-    assert splits.stratify(spark.createDataFrame([], "id long, group long, label string"), {"a": 1.0}).collect() == []
+    assert splits.stratify(spark.createDataFrame([], "id long, group long, label string"), {"a": 1.0}, ["label"]).collect() == []
 
 
 def test_chain_starts(spark):
@@ -60,7 +61,8 @@ def test_chain_starts(spark):
 def test_place_keeps_items_whole_and_shares():
     r = random.Random(3)
     items = [(i, {r.choice("abc"): r.randrange(1, 6), "z": 1}) for i in range(300)]
-    got = splits.place(items, {"train": 0.8, "dev": 0.1, "test": 0.1})
+    totals = {k: sum(v.get(k, 0) for _, v in items) for k in "abcz"}
+    got = splits.place(items, splits.lacking(totals, {"train": 0.8, "dev": 0.1, "test": 0.1}))
     assert set(got) == set(range(300))
     total = sum(sum(v.values()) for _, v in items)
     for s, p in (("train", 0.8), ("dev", 0.1), ("test", 0.1)):
@@ -70,12 +72,33 @@ def test_place_keeps_items_whole_and_shares():
 def test_stratify(spark):
     rows = [(i, i // 3 if i < 900 else 5000, "abc"[i % 3] if i % 7 else None) for i in range(1200)]
     df = spark.createDataFrame(rows, "id long, group long, label string")
-    got = dict(splits.stratify(df, {"x": 0.5, "y": 0.5}).collect())
+    got = dict(splits.stratify(df, {"x": 0.5, "y": 0.5}, ["label"]).collect())
     assert set(got) == {g for _, g, _ in rows}
     n = sum(got[g] == "x" for _, g, _ in rows)
     assert abs(n / 1200 - 0.5) < 0.02
 
 
+def test_any_number_of_labels_keeps_the_shares(spark):
+    df = spark.range(40_000).select("id", F.col("id").alias("group"), F.col("id").cast("string").alias("label"))
+    n = {r[0]: r[1] for r in splits.stratify(df, {"x": 0.5, "y": 0.5}, ["label"]).groupBy("split_name").count().collect()}
+    assert abs(n["x"] - 20_000) < 50 and n["x"] + n["y"] == 40_000
+
+
+@pytest.mark.parametrize("task", [100_000, 500])
+def test_small_components_are_spread_by_label_vector(spark, monkeypatch, task):
+    monkeypatch.setattr(splits, "SWEEP", task)
+    shares = {"train": 0.8, "dev": 0.1, "test": 0.1}
+    group = F.when(F.col("id") < 4000, F.lit(0)).otherwise(1 + F.col("id") % 9000)  # one group holds a sixth of all
+    df = spark.range(24_000).select("id", group.alias("group"), F.when(F.col("id") % 400 == 0, "rare").otherwise((F.col("id") % 5).cast("string")).alias("a"), (F.xxhash64("id") % 3).cast("string").alias("b"))
+    split = splits.stratify(df, shares, ["a", "b"])
+    rows = df.join(split, "group").cache()
+    assert rows.count() == 24_000 and split.count() == df.select("group").distinct().count()
+    for c in "ab":
+        for r in rows.groupBy(c).pivot("split_name", list(shares)).count().collect():
+            total = sum(r[s] or 0 for s in shares)
+            assert all(abs((r[s] or 0) - p * total) <= max(6, 0.01 * total) for s, p in shares.items()), r
+
+
 # ---------------------------------------------------------------- p4
 
 
@@ -447,7 +470,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["p3_found", "p4_agreement", "p10_found"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_audit", "p4_agreement", "p10_found"])
 def test_equals_sql(spark, name):
     from tessera.llm import queries
     from tests.oracle import compare, connect
