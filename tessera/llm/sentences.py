@@ -72,10 +72,10 @@ SPANS = [
     Rule(False, inside=r"《[^《》\n\r]*》"),
     Rule(False, inside=r"«[^«»\n\r]*»"),
     Rule(False, inside=r"""(?<![\w"])"[^"\n\r]*"|"[^"\n\r]*"(?!\w*")"""),
-    Rule(False, inside=r"(?<![\w'])'[^'\n\r]{1,300}'(?![A-Za-z])"),
+    Rule(False, inside=r"(?<![\w'])'(?:[^'\n\r]|(?<=[A-Za-z])'(?=[A-Za-z]))+'(?![A-Za-z])"),
     Rule(False, inside=r"\((?:[^()\n\r]|\([^()\n\r]*\))*\)|（[^（）\n\r]*）|\[[^\[\]\n\r]*\]|【[^【】\n\r]*】|〈[^〈〉\n\r]*〉"),
     # what the end of the text cut off within speech or brackets
-    Rule(False, inside=r"(?:“[^“”\n\r]{0,300}|「[^「」\n\r]{0,300}|『[^『』\n\r]{0,300}|\([^()\n\r]{0,100}|（[^（）\n\r]{0,100})\s*\Z"),
+    Rule(False, inside=r"(?:“[^“”\n\r]*|「[^「」\n\r]*|『[^『』\n\r]*|(?<![:;])\([^()\n\r]*|（[^（）\n\r]*)\s*\Z"),
 ]
 
 COMMON_FIRST = [

@@ -306,6 +306,17 @@ def test_units(text, want):
     assert [text[a:b] for a, b in sentences.units(text)] == want
 
 
+@pytest.mark.parametrize("frame", ["'{}' 하고 말했다.", "“{}” 하고 말했다.", "({})을 적었다.", "“{}", "「{}", "({}", "（{}"])
+@pytest.mark.parametrize("n", [1, 30, 3000])
+def test_speech_of_any_length_stays_whole(frame, n):
+    assert len(sentences.units("나는 갔다. 그는 " + frame.format("밥은 맛있다. " * n + "국도 좋다."))) == 2
+
+
+def test_apostrophes_are_no_quotations():
+    t = "The dogs' owner isn't here. 'I don't know. Ask them.' she said. It's late."
+    assert [t[a:b] for a, b in sentences.units(t)] == ["The dogs' owner isn't here.", "'I don't know. Ask them.' she said.", "It's late."]
+
+
 def test_units_cover_all_but_blanks():
     r = random.Random(5)
     for _ in range(300):
