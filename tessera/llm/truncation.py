@@ -1,9 +1,10 @@
 """Texts that a field limit or a transfer cut short (problem 6).
 
-The corpus's own sentences tell which words end one and which go on, and all prefixes of its words,
-after the word before them, make up a vocabulary trie, kept as a table.  A text without an end is
-cut where its last word is an unknown proper prefix of known words or one that never ends a
-sentence; the lengths at which a source's texts pile up decide where the words leave it open.
+The corpus's own sentences tell which words end one and which go on.  All its words, after the word
+before them, make up a vocabulary trie, kept as a sorted table, in which the words below a node are
+one stretch.  A text without an end is cut where its last word is an unknown proper prefix of known
+words or one that never ends a sentence; the lengths at which a source's texts pile up shift that
+weight, and decide alone where the trie knows nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from tessera.llm.sentences import ABBREVIATIONS, keyed_texts, units
 from tessera.session import cut
 
 BLANKS = " \t\r\n\x0b\x0c\x85             ​‌‍    ⁠　﻿"
-#: Longest prefix that the trie holds; longer words are told by their first characters.
-DEEP = 40
 #: How many code points make the last word of a script without blanks, and the fallback.
 GRAM, SHORT_GRAM = 5, 2
 #: A limit is a length at which so many open texts of a source lie, so many times as many as around
@@ -42,8 +41,9 @@ _LABEL = re.compile(r"\(?(?:\d{1,3}|[가나다라마바사아자차카타파하]
 _ABBREVIATION = re.compile(rf"(?<![A-Za-z.])(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.$")
 _CHAR = re.compile(r"[^\W_]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-#: Characters at the end of a text that a mark of a break or an end may take.
+#: Characters that a mark of a break takes at most, besides the run of dots and blanks around it.
 TAIL = 64
+_MARKS = BLANKS + ".!?…‥。！？｡।॥؟\"'”’»)]}）」』】》〉"
 _PAIRS = ("“”", "「」", "『』", "（）", "()", "【】", "《》", "‘’")
 
 
@@ -59,7 +59,7 @@ def grams(unit: str) -> str:
 
 def at_end(pattern: re.Pattern, text: str) -> int:
     """Where the match begins that ends the text, or -1."""
-    skip = max(0, len(text) - TAIL)
+    skip = max(0, len(text.rstrip(_MARKS)) - TAIL)
     m = pattern.search(text[skip:])
     return m.start() + skip if m else -1
 
@@ -72,8 +72,8 @@ def open_pair(unit: str) -> bool:
     return unit.count('"') % 2 == 1
 
 
-def ending(text: str, parts: list[tuple[int, int]] | None = None) -> tuple[str, str, str, str, int, int]:
-    """(state, word before, last word, its short form, length, bytes) of how a text ends.
+def ending(text: str, parts: list[tuple[int, int]] | None = None) -> tuple[str, str, str, int, int]:
+    """(state, word before, last word, length, bytes) of how a text ends.
 
     ``whole`` and ``cut`` are certain from the text alone; ``ask`` leaves it to the corpus.  Length
     and bytes don't count a mark left at the break.  ``parts`` are the text's sentences, where they
@@ -81,43 +81,43 @@ def ending(text: str, parts: list[tuple[int, int]] | None = None) -> tuple[str,
     """
     t = text.rstrip(BLANKS)
     if not _CHAR.search(t):
-        return "whole", "", "", "", 0, 0
+        return "whole", "", "", 0, 0
     core = t.rstrip("�")
     if core != t:
-        return "cut", "", "", "", len(core), len(core.encode())
+        return "cut", "", "", len(core), len(core.encode())
     marked = False
     m = at_end(LEFT, core)
     if m > 0 and (core[m:].strip()[0] in "([（【" or core.endswith(("...", "…"))):
         core, marked = core[:m].rstrip(), True
         if at_end(_END, core) < 0:
-            return "cut", "", "", "", len(core), len(core.encode("utf-8", "surrogatepass"))
+            return "cut", "", "", len(core), len(core.encode("utf-8", "surrogatepass"))
     m = at_end(_ELLIPSIS, core)
     if m > 0:
         core, marked = core[:m].rstrip(), True
     size = len(core), len(core.encode("utf-8", "surrogatepass"))
     if not marked and re.search(r"\w[-–—]$", core[-2:]):
-        return "cut", "", "", "", size[0] - 1, size[1] - 1
+        return "cut", "", "", size[0] - 1, size[1] - 1
     if parts is None or core != t:
         parts = units(core)
     if not parts:
-        return "whole", "", "", "", *size
+        return "whole", "", "", *size
     unit = core[parts[-1][0] : parts[-1][1]]
     if open_pair(unit) or _LABEL.fullmatch(unit) or _ABBREVIATION.search(unit[-16:]):
-        return "cut", "", "", "", *size
+        return "cut", "", "", *size
     hangul = bool(_HANGUL.search(unit))
     if hangul and re.search(r"\d\.$", unit[-2:]):
-        return "cut", "", "", "", *size
+        return "cut", "", "", *size
     if at_end(_END, unit) >= 0:
         spoken = unit[-1] in "\"”’」』" and unit[0] not in "\"“‘「『"
         if spoken and (hangul or unit[-1] in "」』"):
-            return "cut", "", "", "", *size
-        return "whole", "", "", "", *size
+            return "cut", "", "", *size
+        return "whole", "", "", *size
     if _SPACELESS.search(unit.rstrip("%0123456789")) and not hangul:
         g = grams(unit)
-        return "ask", "\x02", g[-GRAM:], g[-SHORT_GRAM:], *size
+        return "ask", "\x02", g[-GRAM:], *size
     tokens = unit.split()
     before = word(tokens[-2]) if len(tokens) > 1 else "\x01"
-    return "ask", before, word(tokens[-1]), "", *size
+    return "ask", before, word(tokens[-1]), *size
 
 
 def counted(t: str, parts: list[tuple[int, int]], into: Counter) -> None:
@@ -148,7 +148,7 @@ def scanned(texts: DataFrame) -> DataFrame:
 
     Counts are summed within a batch before they are shuffled.
     """
-    fields = [("field", pa.string()), ("essay_id", pa.int64()), ("trait", pa.string()), ("source", pa.string()), ("state", pa.string()), ("before", pa.string()), ("word", pa.string()), ("short", pa.string()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("same", pa.int64()), ("terse", pa.bool_()), ("ends", pa.int64()), ("goes", pa.int64())]
+    fields = [("field", pa.string()), ("essay_id", pa.int64()), ("trait", pa.string()), ("source", pa.string()), ("state", pa.string()), ("before", pa.string()), ("word", pa.string()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("same", pa.int64()), ("terse", pa.bool_()), ("ends", pa.int64()), ("goes", pa.int64())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -158,14 +158,14 @@ def scanned(texts: DataFrame) -> DataFrame:
             for field, key, trait, text, source in zip(*(b.column(x).to_pylist() for x in range(5))):
                 t = text.rstrip(BLANKS)
                 parts = units(t)
-                state, before, w, short, n, size = ending(t, parts)
-                rows.append((field, key, trait, source, state, before, w, short, n, size, hash_of(text), len(parts) == 1 and len(t.split()) <= TERSE, None, None))
+                state, before, w, n, size = ending(t, parts)
+                rows.append((field, key, trait, source, state, before, w, n, size, hash_of(text), len(parts) == 1 and len(t.split()) <= TERSE, None, None))
                 counted(t, parts, counts)
             for (before, w), (ends, goes) in paired(counts).items():
-                rows.append((None, None, None, None, None, before, w, None, None, None, None, None, ends, goes))
+                rows.append((None, None, None, None, None, before, w, None, None, None, None, ends, goes))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    ddl = "field string, essay_id bigint, trait string, source string, state string, before string, word string, short string, n_chars int, n_bytes int, same bigint, terse boolean, ends bigint, goes bigint"
+    ddl = "field string, essay_id bigint, trait string, source string, state string, before string, word string, n_chars int, n_bytes int, same bigint, terse boolean, ends bigint, goes bigint"
     return texts.select("field", "essay_id", "trait", "text", "source").mapInArrow(run, ddl)
 
 
@@ -201,57 +201,78 @@ def limits(rows: DataFrame) -> DataFrame:
     return piles.join(top, ["field", "source", "unit"]).select("field", "source", "unit", "at")
 
 
-def truncated(texts: DataFrame) -> DataFrame:
+def below(nodes: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, word and below: how often the words of which each asked one is a proper prefix occur.
+
+    nodes: by, word, n, each word once; asked: by, word, distinct.  In order of their letters these words
+    follow the asked one in one stretch, whose sum is a difference of two running sums; words of any
+    length cost the same.  Words that begin alike are summed in one task.
+    """
+    nothing = F.lit(None).cast("string")
+    events = nodes.select(*by, F.col("word").alias("at"), F.lit(0).alias("kind"), "n", nothing.alias("word"))
+    for end in ("", "\U0010ffff"):
+        events = events.unionByName(asked.select(*by, F.concat("word", F.lit(end)).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("n"), "word"))
+    w = W.partitionBy(*by, F.substring("at", 1, 1)).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return events.withColumn("run", F.sum("n").over(w)).where("word IS NOT NULL").groupBy(*by, "word").agg((F.max("run") - F.min("run")).alias("below"))
+
+
+def evidence(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """What the trie tells of each asked last word (before, word): how often it ends a sentence or goes
+    on and what is below it, after the word before it and (w_) after any; s_ends and s_goes of its
+    short form in scripts without blanks."""
+    asked = cut(asked)
+    n = (F.col("ends") + F.col("goes")).alias("n")
+    spaced = words.where("before <> '\x02'")
+    context = spaced.join(asked.select("before").distinct(), "before", "left_semi").select("before", "word", n)
+    alone = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("ends").alias("w_ends"), F.sum("goes").alias("w_goes"))
+    any_ = below(spaced.groupBy("word").agg(F.sum(F.col("ends") + F.col("goes")).alias("n")), asked.where("before <> '\x02'").select("word").distinct(), []).withColumnRenamed("below", "w_below")
+    shorts = words.where("before = '\x02'").select(F.col("before"), F.col("word").alias("_short"), F.col("ends").alias("s_ends"), F.col("goes").alias("s_goes"))
+    out = asked.withColumn("_short", F.when(F.col("before") == "\x02", F.substring("word", -SHORT_GRAM, SHORT_GRAM)))
+    out = out.join(words, ["before", "word"], "left").join(below(context, asked, ["before"]), ["before", "word"], "left")
+    return out.join(alone, "word", "left").join(any_, "word", "left").join(shorts, ["before", "_short"], "left").drop("_short").na.fill(0)
+
+
+def truncated(texts: DataFrame, trie: bool = True, lengths: bool = True) -> DataFrame:
     """field, essay_id, trait, source, truncated of every text (not null).
 
     Texts without any letter or digit are whole.  With no other text to learn from, a text is
-    judged by its marks and, in Korean, by its last word's form.
+    judged by its marks alone.  Without ``trie`` nothing lies below any word, without ``lengths`` no
+    source has a limit: both serve to see what the two contribute.
     """
     rows = cut(scanned(texts))
-    ends = rows.where("state IS NOT NULL")
-    words = rows.where("state IS NULL").groupBy("before", "word").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    words = cut(words)
+    ends = rows.where("state IS NOT NULL").drop("ends", "goes")
+    words = cut(rows.where("state IS NULL").groupBy("before", "word").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")))
     ask = ends.where("state = 'ask'")
-    asked = ask.select("before", "word").distinct()
-    alone = words.groupBy("word").agg(F.sum("ends").alias("w_ends"), F.sum("goes").alias("w_goes"))
-    # the trie: every proper prefix of every word, below the word before it and below any
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.char_length("word") - 1, F.lit(DEEP))), lambda i: F.substring("word", F.lit(1), i)))
-    deep = words.where("char_length(word) > 1 AND before <> '\x02'").select("before", prefixes.alias("word"), (F.col("ends") + F.col("goes")).alias("n"))
-    nodes = deep.groupBy("before", "word").agg(F.sum("n").alias("below"))
-    wanted = asked.join(nodes, ["before", "word"], "left")
-    any_node = nodes.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("below").alias("w_below"))
-    wanted = wanted.join(any_node, "word", "left")
-    same = ask.groupBy("same").agg(F.count_distinct("essay_id").alias("n_same"))
-    shorts = words.where("before = '\x02'").select(F.col("word").alias("short"), F.col("ends").alias("s_ends"), F.col("goes").alias("s_goes"))
-    lim = cut(limits(ends))
-    by_chars = lim.where("unit = 'n_chars'").select("field", "source", F.col("at").alias("_chars"), F.lit(True).alias("at_chars"))
-    by_bytes = lim.where("unit = 'n_bytes'").select("field", "source", F.col("at").alias("_bytes"), F.lit(True).alias("at_bytes"))
-    a = ask.withColumn("_chars", F.col("n_chars").cast("bigint")).withColumn("_bytes", F.floor(F.col("n_bytes") / 4))
-    a = a.drop("ends", "goes").join(wanted, ["before", "word"], "left").join(words, ["before", "word"], "left").join(alone, "word", "left").join(same, "same", "left").join(shorts, "short", "left")
-    a = a.join(by_chars, ["field", "source", "_chars"], "left").join(by_bytes, ["field", "source", "_bytes"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    known = evidence(words, ask.select("before", "word").distinct())
+    if not trie:
+        known = known.withColumn("below", F.lit(0)).withColumn("w_below", F.lit(0))
+    # of remarks of few words, how many essays have the same
+    same = ask.where("terse").groupBy("same").agg(F.count_distinct("essay_id").alias("n_same")).where("n_same > 1").withColumn("terse", F.lit(True))
+    lim = limits(ends).groupBy("field", "source").agg(F.collect_set(F.struct("unit", "at")).alias("piles"))  # at most one place in PILE texts
+    a = ask.join(known, ["before", "word"], "left").join(same, ["terse", "same"], "left").join(lim, ["field", "source"], "left")
+    at = lambda unit, c: F.array_contains("piles", F.struct(F.lit(unit).alias("unit"), c.cast("bigint").alias("at")))
+    limit = F.coalesce(at("n_chars", F.col("n_chars")) | at("n_bytes", F.floor(F.col("n_bytes") / 4)), F.lit(False)) if lengths else F.lit(False)
     spaceless = F.col("before") == "\x02"
-    seen = z("w_ends") + z("w_goes")
-    near = z("ends") + z("goes") + z("below")
-    ends_, goes = z("w_ends"), z("w_goes")
+    ends_, goes, under = F.col("ends"), F.col("goes"), F.col("below")
+    any_ends, any_goes, any_under = F.col("w_ends"), F.col("w_goes"), F.col("w_below")
+    seen, near = any_ends + any_goes, ends_ + goes + under
     korean_whole = F.col("word").rlike(r"(?:다|[어아여해워와려져쳐껴봐돼세예네까지]요|죠|습니까|니까)$") & ~F.col("word").rlike("(?:보다|마다|^다)$")
     verdict = (
         F.when(F.col("word") == "", F.lit(False))
-        .when(spaceless & (seen > 0), goes >= ends_)
-        .when(spaceless, z("s_goes") >= z("s_ends"))
-        # the word after the word before it, then the word alone; at a limit, longer words that it
-        # begins tell against an end
-        .when((near > 0) & limit, (z("goes") + z("below")) * 3 >= z("ends"))
-        .when(near > 0, z("ends") * 10 < z("goes") + z("below"))
-        .when((seen > 0) & limit, (goes * 3 >= ends_) | (z("w_below") * 3 >= ends_))
-        .when(seen > 0, goes > ends_)
+        .when(spaceless & (seen > 0), any_goes >= any_ends)
+        .when(spaceless, F.col("s_goes") >= F.col("s_ends"))
+        # the node after the word before it, then the node after any; at a limit, longer words that
+        # it begins tell against an end
+        .when((near > 0) & limit, (goes + under) * 3 >= ends_)
+        .when(near > 0, ends_ * 10 < goes + under)
+        .when((seen > 0) & limit, (any_goes * 3 >= any_ends) | (any_under * 3 >= any_ends))
+        .when(seen > 0, any_goes > any_ends)
         # a remark of few words that several essays have is whole, longer text however often isn't
-        .when(F.col("terse") & (z("n_same") >= 3) & ~limit, F.lit(False))
-        .when(korean_whole, limit & (z("w_below") > 0))
-        .when(z("w_below") > 0, F.lit(True))
-        .when(limit, F.lit(True))
-        .otherwise(F.col("before") != "\x01")
+        .when(F.col("terse") & (F.coalesce("n_same", F.lit(1)) >= 3) & ~limit, F.lit(False))
+        .when(korean_whole, limit & (any_under > 0))
+        .when(any_under > 0, F.lit(True))
+        # of a word that no node holds only the length tells anything
+        .otherwise(limit)
     )
     keys = ["field", "essay_id", "trait", "source"]
     asked_rows = a.select(*keys, verdict.alias("truncated"))

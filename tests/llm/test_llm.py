@@ -254,6 +254,31 @@ def test_endings():
     for t in ("그는 갔다. 어�", "그는 학교에 가-", "삼촌은 “버렸다. 정말", "값은 15.", "그는 갔다. (1)", "See p.", "광장(계속"):
         assert state(t) == "cut", t
     assert state("그는 갔다. 그래서") == "ask"
+    for n in (3, 10, 70, 700):
+        assert state("그는 갔다. 그래서" + "." * n) == state("그는 갔다. 그래서" + "…" * n) == "ask"
+        assert state("그는 갔다" + "!" * n) == "whole"
+
+
+def test_below_equals_brute_force(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("가나a") for _ in range(r.randrange(1, 7)))
+    words = {(r.choice("xy"), word()): r.randrange(1, 9) for _ in range(300)} | {("x", "긴" * 500): 7, ("x", "긴" * 20_000): 5}
+    asked = sorted({(r.choice("xyz"), word()) for _ in range(80)} | {("x", "긴" * 400), ("x", "긴" * 500), ("y", "긴"), ("x", "")})
+    nodes = spark.createDataFrame([(*k, n) for k, n in words.items()], "before string, word string, n long")
+    got = {(x.before, x.word): x.below for x in truncation.below(nodes, spark.createDataFrame(asked, "before string, word string"), ["before"]).collect()}
+    assert got == {(b, w): sum(n for (c, v), n in words.items() if c == b and w and v.startswith(w) and v != w) for b, w in asked}
+
+
+def test_trie_and_lengths_decide(spark):
+    base = ["오늘 아침에 동생은 학교에서 새로운 책을 읽었다.", "우리는 함께 커다란 나무를 심었다.", "나는 그래서 기쁘다."]
+    rows = [("text", i, "", " ".join(random.Random(i).sample(base, 2)), "s") for i in range(30)]
+    rows += [("text", 100, "", "나는 그래서 기쁘다. 우리는 함께 커다", "s"), ("text", 101, "", "나는 그래서 기쁘다. 우리는 홀로 쿼", "s")]
+    rows += [("text", 200 + i, "", ("나는 그래서 기쁘다. " * 5 + "".join(random.Random(i).choice("쿠켜츠프") for _ in range(90)))[:99], "t") for i in range(8)]
+    df = spark.createDataFrame(rows, "field string, essay_id long, trait string, text string, source string")
+    found = lambda **kw: {r.essay_id for r in truncation.truncated(df, **kw).where("truncated").collect()}
+    piled = {200 + i for i in range(8)}
+    # a prefix of a known word is cut; a word that no node holds is cut only at a limit
+    assert found() == {100} | piled and found(trie=False) == piled and found(lengths=False) == {100}
 
 
 def test_truncated(spark):
