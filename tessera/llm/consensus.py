@@ -3,8 +3,9 @@
 A label on an ordered scale depends on the item's true level, the item's difficulty and the
 annotator's ability and severity.  Gradient expectation-maximisation learns all of them jointly:
 given abilities, each item's posterior and difficulty follow from its own labels; given
-posteriors, each annotator takes a scoring step from sums over their labels.  An ability about 0
-tells nothing, one below 0 is contrary.
+posteriors, each annotator takes a scoring step from sums over their labels, until no ability moves.
+An ability about 0 tells nothing, one below 0 is contrary; one who always gives the same label gets
+the ability at which labels err as much as the levels vary.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 from tessera.session import cut, table
 
 LEVELS = np.arange(1, 6, dtype=np.float64)
-ROUNDS, INNER = 10, 2  # of the annotators' and, in each, of the items' steps
+ROUNDS, INNER = 60, 2  # at most, of the annotators' and, in each, of the items' steps
+TOLERANCE = 0.01  # the largest move of an ability at which the rounds end
 ABILITY_SD, SEVERITY_SD, DIFFICULTY_SD = 1.0, 1.0, 0.5  # of the priors
 CHUNK = 50_000  # labels in a numpy batch
-#: Annotators whose parameters may be broadcast (some 50 MB); beyond, they are joined by a shuffle.
+#: Annotators whose parameters are broadcast and kept on the driver (some 50 MB); beyond, they are joined by a shuffle.
 BROADCAST_RATERS = 500_000
-#: A rater is of no use whose correlation with what others give the same items lies, with this
-#: margin of standard errors, below USABLE, or who gives one label in at least SAME of LEAST labels.
-USABLE, MARGIN, SAME, LEAST = 0.5, 2.0, 0.9, 20
+#: A rater is of no use whose ability lies, with this margin of standard errors, below USABLE times that
+#: of one who always gives the same label.  Raters of fewer than LEAST labels that others' can be compared with aren't judged.
+USABLE, MARGIN, LEAST = 1.5, 2.0, 20
 
 
 def likelihood(y, ability, severity, easiness):
@@ -89,13 +91,40 @@ def _chunks(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _arrays(t: pa.Table):
+def _items(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where each item begins, and the item of each label."""
     e = t.column("essay_id").to_numpy()
     tr = t.column("trait").to_numpy(zero_copy_only=False)
     new = np.r_[True, (e[1:] != e[:-1]) | (tr[1:] != tr[:-1])]
-    item = np.cumsum(new) - 1
-    raters, who = np.unique(t.column("rater_id").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    return np.flatnonzero(new), item, raters, who, t.column("score").to_numpy().astype(np.int64), t.column("ability").to_numpy().astype(float), t.column("severity").to_numpy().astype(float)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _joined(batches):
+    """(essay ids, traits, item, raters, who, label, ability, severity) of labels with their raters' parameters."""
+    for t in _chunks(batches):
+        first, item = _items(t)
+        raters, who = np.unique(t.column("rater_id").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        keys = t.select(["essay_id", "trait"]).take(pa.array(first))
+        columns = (t.column(c).to_numpy().astype(float) for c in ("ability", "severity"))
+        yield keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), item, raters, who, t.column("score").to_numpy().astype(np.int64), *columns
+
+
+def _packed(batches):
+    """Whole items of sorted labels with numbered raters, CHUNK labels to a row."""
+    for t in _chunks(batches):
+        first, item = _items(t)
+        keys = t.select(["essay_id", "trait"]).take(pa.array(first))
+        lists = [keys.column(0), keys.column(1), item.astype(np.int32), t.column("rater"), t.column("score")]
+        yield pa.RecordBatch.from_arrays([pa.array([x.to_pylist() if isinstance(x, pa.ChunkedArray) else x], pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["essay_id", "trait", "item", "rater", "score"])
+
+
+def _unpacked(batches, ability: np.ndarray, severity: np.ndarray):
+    """What :func:`_joined` gives, of packed labels; the parameters are looked up by the raters' numbers."""
+    for b in batches:
+        for x in range(b.num_rows):
+            essay, trait, item, rater, score = (b.column(c)[x].values for c in range(5))
+            raters, who = np.unique(rater.to_numpy(), return_inverse=True)
+            yield essay, trait, item.to_numpy(), raters, who, score.to_numpy().astype(np.int64), ability[raters][who], severity[raters][who]
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,92 +148,123 @@ class Fit:
     """Abilities and severities of the raters of labels (essay_id, trait, rater_id, score).
 
     An item's labels are at most one by rater; they are partitioned by essay and stay where they
-    are from round to round, only sums by rater are shuffled.
+    are from round to round, only sums by rater are shuffled.  ``rounds`` tells how many were taken.
     """
 
     def __init__(self, rows: DataFrame, rounds: int = ROUNDS) -> None:
-        self.obs = cut(rows.repartition("essay_id").sortWithinPartitions("essay_id", "trait", "rater_id"))
-        shares = {r["score"]: r["n"] for r in self.obs.groupBy("score").agg(F.count("*").alias("n")).collect()}  # five rows
+        obs = cut(rows.repartition("essay_id").sortWithinPartitions("essay_id", "trait", "rater_id"))
+        shares = {r["score"]: r["n"] for r in obs.groupBy("score").agg(F.count("*").alias("n")).collect()}  # five rows
         counts = np.array([shares.get(int(k), 0) + 1.0 for k in LEVELS])
         self.prior = counts / counts.sum()
-        self.raters = cut(self.obs.select("rater_id").distinct().withColumn("ability", F.lit(1.0)).withColumn("severity", F.lit(0.0)))
-        self.many = self.raters.count() > BROADCAST_RATERS
-        for _ in range(rounds):
-            self.raters = cut(self._round())
-
-    def _with_raters(self) -> DataFrame:
+        self.spark, self.rounds = rows.sparkSession, 0
+        raters = obs.select("rater_id").distinct()
+        self.many = raters.count() > BROADCAST_RATERS
         if self.many:
-            return self.obs.join(self.raters, "rater_id").repartition("essay_id").sortWithinPartitions("essay_id", "trait", "rater_id").select("essay_id", "trait", "rater_id", "score", "ability", "severity")
-        return self.obs.join(F.broadcast(self.raters), "rater_id").sortWithinPartitions("essay_id", "trait", "rater_id").select("essay_id", "trait", "rater_id", "score", "ability", "severity")
-
-    def _round(self) -> DataFrame:
-        prior = self.prior
-
-        def run(batches):
-            for t in _chunks(batches):
-                first, item, raters, who, y, a, b = _arrays(t)
-                post, _, logeasy, (_, slope, info, pull, spread) = items_step(item, len(first), y, a, b, prior)
+            self.obs = obs
+            self.raters = cut(raters.withColumn("ability", F.lit(1.0)).withColumn("severity", F.lit(0.0)))
+        else:
+            self.ids = sorted(r[0] for r in raters.collect())  # at most BROADCAST_RATERS
+            self.ability, self.severity = np.ones(len(self.ids)), np.zeros(len(self.ids))
+            numbered = self.spark.createDataFrame(list(zip(self.ids, range(len(self.ids)))), "rater_id string, rater int")
+            numbered = obs.join(F.broadcast(numbered), "rater_id").select("essay_id", "trait", "rater", "score").sortWithinPartitions("essay_id", "trait", "rater")
+            self.obs = cut(numbered.mapInArrow(_packed, "essay_id array<bigint>, trait array<string>, item array<int>, rater array<int>, score array<int>"))
+        while self.rounds < rounds:
+            self.rounds += 1
+            if self._round() < TOLERANCE:
+                break
+
+    def _map(self, run, schema: str) -> DataFrame:
+        """``run`` on the parts of all labels; ``rater`` in the schema is the raters' key."""
+        if self.many:
+            rows = self.obs.join(self.raters, "rater_id").repartition("essay_id").sortWithinPartitions("essay_id", "trait", "rater_id").select("essay_id", "trait", "rater_id", "score", "ability", "severity")
+            return rows.mapInArrow(lambda batches: run(_joined(batches)), schema.replace("rater key", "rater string"))
+        held = self.spark.sparkContext.broadcast((self.ability, self.severity))
+        return self.obs.mapInArrow(lambda batches: run(_unpacked(batches, *held.value)), schema.replace("rater key", "rater int"))
+
+    def _round(self) -> float:
+        """Take one step of all raters; the largest move of an ability."""
+        prior, sums = self.prior, ("ga", "ha", "gb", "hb")
+
+        def run(parts):
+            for essay, _, item, raters, who, y, a, b in parts:
+                post, _, logeasy, (_, slope, info, pull, spread) = items_step(item, len(essay), y, a, b, prior)
                 p, easy = post[item], np.exp(logeasy)[item]
                 s = a * easy
-                sums = [np.bincount(who, x, len(raters)) for x in (easy * (p * slope).sum(1), easy**2 * (p * info).sum(1), s * (p * pull).sum(1), s**2 * (p * spread).sum(1))]
-                yield pa.RecordBatch.from_arrays([pa.array(raters), *map(pa.array, sums)], names=["rater_id", "ga", "ha", "gb", "hb"])
-
-        sums = self._with_raters().mapInArrow(run, "rater_id string, ga double, ha double, gb double, hb double").groupBy("rater_id").agg(*(F.sum(c).alias(c) for c in ("ga", "ha", "gb", "hb")))
+                each = (easy * (p * slope).sum(1), easy**2 * (p * info).sum(1), s * (p * pull).sum(1), s**2 * (p * spread).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(raters), *(pa.array(np.bincount(who, x, len(raters))) for x in each)], names=["rater", *sums])
+
+        total = self._map(run, "rater key, ga double, ha double, gb double, hb double").groupBy("rater").agg(*(F.sum(c).alias(c) for c in sums))
+        steps = (("ability", "ga", "ha", 1.0, ABILITY_SD, 6.0), ("severity", "gb", "hb", 0.0, SEVERITY_SD, 2.5))
+        if not self.many:
+            got = total.toPandas()
+            at = got["rater"].to_numpy().astype(np.int64)
+            before = self.ability.copy()
+            for name, g, h, mean, sd, most in steps:
+                x = getattr(self, name)
+                move = (got[g].to_numpy() - (x[at] - mean) / sd**2) / (got[h].to_numpy() + 1 / sd**2)
+                x[at] = np.clip(x[at] + np.clip(move, -0.7, 0.7), -most, most)
+            return float(np.abs(self.ability - before).max(initial=0.0))
 
         def step(x: str, g: str, h: str, mean: float, sd: float, most: float):
             move = (F.col(g) - (F.col(x) - mean) / sd**2) / (F.col(h) + 1 / sd**2)
-            return F.least(F.lit(most), F.greatest(F.lit(-most), F.col(x) + F.least(F.lit(0.7), F.greatest(F.lit(-0.7), move))))
+            return F.least(F.lit(most), F.greatest(F.lit(-most), F.col(x) + F.least(F.lit(0.7), F.greatest(F.lit(-0.7), move)))).alias(x)
 
-        return self.raters.join(sums, "rater_id").select("rater_id", step("ability", "ga", "ha", 1.0, ABILITY_SD, 6.0).alias("ability"), step("severity", "gb", "hb", 0.0, SEVERITY_SD, 2.5).alias("severity"))
+        moved = cut(self.raters.join(total.withColumnRenamed("rater", "rater_id"), "rater_id").select("rater_id", *(step(*x) for x in steps), F.col("ability").alias("_old")))
+        self.raters = moved.drop("_old")
+        return moved.agg(F.max(F.abs(F.col("ability") - F.col("_old")))).first()[0] or 0.0
 
     def consensus(self) -> DataFrame:
         """essay_id, trait, n_labels, consensus (the likeliest level), expected, certainty, difficulty."""
         prior = self.prior
 
-        def run(batches):
-            for t in _chunks(batches):
-                first, item, _, _, y, a, b = _arrays(t)
-                post, _, logeasy, _ = items_step(item, len(first), y, a, b, prior)
-                keys = t.select(["essay_id", "trait"]).take(pa.array(first))
+        def run(parts):
+            for essay, trait, item, _, _, y, a, b in parts:
+                post, _, logeasy, _ = items_step(item, len(essay), y, a, b, prior)
                 best = post.argmax(axis=1)
-                out = [keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), pa.array(np.bincount(item, minlength=len(first)).astype(np.int32)), pa.array((best + 1).astype(np.int32)), pa.array(post @ LEVELS), pa.array(post[np.arange(len(best)), best]), pa.array(-logeasy)]
+                out = [essay, trait, pa.array(np.bincount(item, minlength=len(essay)).astype(np.int32)), pa.array((best + 1).astype(np.int32)), pa.array(post @ LEVELS), pa.array(post[np.arange(len(best)), best]), pa.array(-logeasy)]
                 yield pa.RecordBatch.from_arrays(out, names=["essay_id", "trait", "n_labels", "consensus", "expected", "certainty", "difficulty"])
 
-        return self._with_raters().mapInArrow(run, "essay_id bigint, trait string, n_labels int, consensus int, expected double, certainty double, difficulty double")
+        return self._map(run, "essay_id bigint, trait string, n_labels int, consensus int, expected double, certainty double, difficulty double")
 
     def reliability(self) -> DataFrame:
-        """rater_id, n_labels, n_compared, ability, severity, reliability, same_share, usable.
+        """rater_id, n_labels, n_compared, ability, error, severity, reliability, same_share, usable.
 
-        reliability is the correlation of a rater's labels with the levels expected from the
-        others' labels of the same items; null where nothing can be compared, or nothing varies.
+        ``usable`` follows from the learned ability and its standard error alone.  ``error`` is that
+        standard error; reliability is the correlation of a rater's labels with the levels expected from
+        the others' labels of the same items, null where nothing can be compared, or nothing varies.
         """
         prior = self.prior
-        sums = ["n", "x", "y", "xx", "yy", "xy"]
+        sums = ["n", "x", "y", "xx", "yy", "xy", "ha"]
         hist = [f"l{int(k)}" for k in LEVELS]
 
-        def run(batches):
-            for t in _chunks(batches):
-                first, item, raters, who, y, a, b = _arrays(t)
-                post, raw, _, (logp, *_) = items_step(item, len(first), y, a, b, prior)
+        def run(parts):
+            for essay, _, item, raters, who, y, a, b in parts:
+                post, raw, logeasy, (logp, _, info, *_) = items_step(item, len(essay), y, a, b, prior)
                 rest = raw[item] - logp
                 rest = np.exp(rest - rest.max(axis=1, keepdims=True))
                 e = (rest / rest.sum(axis=1, keepdims=True)) @ LEVELS
                 ok = (np.bincount(item)[item] > 1).astype(float)
                 v = y.astype(float)
-                cols = [np.bincount(who, z, len(raters)) for z in (ok, ok * v, ok * e, ok * v * v, ok * e * e, ok * v * e)]
+                known = np.exp(logeasy)[item] ** 2 * (post[item] * info).sum(1)
+                cols = [np.bincount(who, z, len(raters)) for z in (ok, ok * v, ok * e, ok * v * v, ok * e * e, ok * v * e, known)]
                 cols += [np.bincount(who, y == k, len(raters)) for k in LEVELS]
-                yield pa.RecordBatch.from_arrays([pa.array(raters), *(pa.array(c.astype(float)) for c in cols)], names=["rater_id", *sums, *hist])
+                yield pa.RecordBatch.from_arrays([pa.array(raters), *(pa.array(c.astype(float)) for c in cols)], names=["rater", *sums, *hist])
 
-        g = self._with_raters().mapInArrow(run, "rater_id string, " + ", ".join(f"{c} double" for c in sums + hist)).groupBy("rater_id").agg(*(F.sum(c).alias(c) for c in sums + hist))
+        g = self._map(run, "rater key, " + ", ".join(f"{c} double" for c in sums + hist)).groupBy("rater").agg(*(F.sum(c).alias(c) for c in sums + hist))
+        if self.many:
+            g = g.withColumnRenamed("rater", "rater_id").join(self.raters, "rater_id")
+        else:  # at most BROADCAST_RATERS
+            rows = list(zip(self.ids, range(len(self.ids)), self.ability.tolist(), self.severity.tolist()))
+            g = g.join(F.broadcast(self.spark.createDataFrame(rows, "rater_id string, rater int, ability double, severity double")), "rater")
         n = F.col("n")
         cov = n * F.col("xy") - F.col("x") * F.col("y")
         var = (n * F.col("xx") - F.col("x") ** 2) * (n * F.col("yy") - F.col("y") ** 2)
         r = F.when(var > 1e-9, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / F.sqrt(F.greatest(var, F.lit(1e-9))))))
         given = sum((F.col(c) for c in hist), F.lit(0.0))
-        same = F.greatest(*hist) / given
-        below = F.coalesce((n > 3) & (F.atanh(F.least(r, F.lit(0.999999))) + MARGIN / F.sqrt(F.greatest(n - 3, F.lit(1.0))) < float(np.arctanh(USABLE))), F.lit(False))
-        flat = (same >= SAME) & (given >= LEAST)
-        return g.join(self.raters, "rater_id").select("rater_id", given.cast("bigint").alias("n_labels"), n.cast("bigint").alias("n_compared"), "ability", "severity", r.alias("reliability"), same.alias("same_share"), (~(below | flat)).alias("usable"))
+        error = 1 / F.sqrt(F.col("ha") + 1 / ABILITY_SD**2)
+        spread = float((prior * LEVELS**2).sum() - (prior * LEVELS).sum() ** 2)
+        usable = (n < LEAST) | (F.col("ability") + MARGIN * error >= USABLE / spread)
+        return g.select("rater_id", given.cast("bigint").alias("n_labels"), n.cast("bigint").alias("n_compared"), "ability", error.alias("error"), "severity", r.alias("reliability"), (F.greatest(*hist) / given).alias("same_share"), usable.alias("usable"))
 
 
 def agreement(rows: DataFrame) -> DataFrame:

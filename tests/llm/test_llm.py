@@ -113,9 +113,14 @@ def simulated(seed=0):
     return truth, rows
 
 
-def test_ability_and_consensus(spark):
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_ability_and_consensus(spark, monkeypatch, held):
+    monkeypatch.setattr(consensus, "BROADCAST_RATERS", held)
+    monkeypatch.setattr(consensus, "CHUNK", 700)
     truth, rows = simulated()
-    fit = consensus.Fit(spark.createDataFrame(rows, "essay_id long, trait string, rater_id string, score int"))
+    df = spark.createDataFrame(rows, "essay_id long, trait string, rater_id string, score int")
+    fit = consensus.Fit(df, 60 if held else 12)
+    assert 1 < fit.rounds < 60
     rel = {r.rater_id: r for r in fit.reliability().collect()}
     assert {k for k, r in rel.items() if not r.usable} == {"r0", "r1", "r2"}
     assert rel["r1"].ability < 0 < rel["r4"].ability and rel["r3"].severity > 0.3
@@ -124,6 +129,17 @@ def test_ability_and_consensus(spark):
     assert len(got) == len(truth) and all(0 < r.certainty <= 1 for r in got.values())
 
 
+def test_learned_abilities_decide(spark):
+    """Without a round of learning no rater is told from the others."""
+    df = spark.createDataFrame(simulated()[1], "essay_id long, trait string, rater_id string, score int")
+    assert all(r.usable for r in consensus.Fit(df, 0).reliability().collect())
+    # a noisy rater, who often errs by a level or two, is of use
+    r = np.random.default_rng(4)
+    truth = r.integers(1, 6, 800)
+    rows = [(i, "t", f"r{j}", int(np.clip(z + (r.choice([-2, -1, -1, 0, 0, 1, 1, 2]) if j == 0 else r.choice([-1, 0, 0, 0, 1])), 1, 5))) for i, z in enumerate(truth) for j in range(3)]
+    assert all(x.usable for x in consensus.Fit(spark.createDataFrame(rows, "essay_id long, trait string, rater_id string, score int")).reliability().collect())
+
+
 def test_few_labels_flag_no_one(spark):
     df = spark.createDataFrame([(1, "t", "a", 5), (1, "t", "b", 1), (2, "t", "a", 1)], "essay_id long, trait string, rater_id string, score int")
     assert all(r.usable for r in consensus.Fit(df, 3).reliability().collect())
