@@ -25,6 +25,7 @@ def queries() -> dict:
         "p9_items": leaks.p9_items,
         "p10_found": spans.p10_found,
         "p10_shared": spans.p10_shared,
+        "p10_passages": spans.p10_passages,
     }
 
 

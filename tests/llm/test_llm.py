@@ -485,6 +485,41 @@ def test_shared_amount(spark):
             if len(where[t[x : x + 200]]) > 1:
                 cover[x : x + 200] = True
         assert got[d].shared_chars == cover.sum() and got[d].n_chars == len(t or "")
+    rep = {d: got[d].class_id for d, _ in docs}
+    near = {(rep[a], rep[b]) for a, b in naive_pairs(docs, 200) if rep[a] != rep[b]}
+    for d, _ in docs:
+        assert got[d].n_links == len({x for p in near for x in p if rep[d] in p} - {rep[d]})
+
+
+def test_a_span_of_many_texts_needs_no_pairs(spark):
+    r = random.Random(1)
+    own = lambda: "".join(r.choice("가나다라마바사 abc.") for _ in range(150))
+    notice, other = "".join(r.choice("가나다라") for _ in range(260)), "".join(r.choice("가나다라") for _ in range(230))
+    docs = [(d, own() + notice + own() + (other if d % 3 == 0 else "")) for d in range(900)] + [(1000, own() + other)]
+    got = {x.doc_id: (x.shared_chars, x.n_links) for x in spans.shared_amount(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    # what stands before and after a span may agree by chance for some characters
+    assert all(got[d][1] == (900 if d % 3 == 0 else 899) and 0 <= got[d][0] - (490 if d % 3 == 0 else 260) < 20 for d in range(900))
+    assert got[1000][1] == 300 and 0 <= got[1000][0] - 230 < 10
+
+
+def test_passages(spark):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("가나다라마바사아자차카타파하 abcdefgh.") for _ in range(n))
+
+    def altered(t, every):
+        out = list(t)
+        for x in range(every, len(t), every):
+            out[x] = r.choice(["", "쀍", "쀍쀍"])
+        return "".join(out)
+
+    source = text(400)
+    docs = [(d, text(300)) for d in range(50)] + [(100, text(90) + source + text(50)), (101, altered(source, 60) + text(200)), (102, text(100) + altered(source, 90)), (103, text(80) + altered(source, 7)), (104, text(300) + source[:150]), (105, None), (106, ""), (107, docs_7 := text(220)), (108, docs_7)]
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, begin int")
+    got = {(x.doc_id, x.other_id): x for x in spans.passages(df, "doc_id", "text").collect()}
+    assert {(101, 100), (102, 100), (108, 107)} <= set(got) <= {(101, 100), (102, 100), (102, 101), (108, 107)}
+    x = got[101, 100]
+    assert x.begin <= 10 and abs(x.end - 400) < 30 and abs(x.other_begin - 90) <= 10 and abs(x.other_end - 490) < 15 and x.matched > 370
+    assert spans.passages(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").collect() == []
 
 
 def test_winnow_chooses_alike_in_every_span():
