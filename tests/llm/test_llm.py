@@ -401,7 +401,10 @@ def test_encode_rows(spark):
 # ---------------------------------------------------------------- p9
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize(("n", "routed"), [(5_000, 10_000), (7, 3)])
+def test_leaks(spark, monkeypatch, n, routed):
+    monkeypatch.setattr(leaks, "ITEMS", n)
+    monkeypatch.setattr(leaks, "ROUTED", routed)
     r = random.Random(2)
     text = lambda n: " ".join("".join(r.choice("가나다라마바사아자차카타파하abcdef") for _ in range(r.randrange(2, 6))) for _ in range(n))
     items = [(i, text(30)) for i in range(40)] + [(50, None), (51, "short")]
@@ -423,7 +426,10 @@ def test_leaks(spark):
             if any(it[x : x + 50] in b for x in range(len(it) - 49)):
                 want.add((d, i))
     df = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
-    assert {(x.doc_id, x.item_id) for x in df.collect()} == want and want
+    got = df.collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and want
+    own, texts = dict(items), dict(docs)
+    assert all(x.run == leaks.longest_run(leaks.bare(own[x.item_id]), leaks.bare(texts[x.doc_id]), 50) for x in got)
 
 
 def test_leaks_of_nothing(spark):
@@ -545,7 +551,9 @@ def test_queries_are_registered():
     assert json.dumps(sorted(queries()))
 
 
-def test_leaks_with_clashing_names(spark):
+@pytest.mark.parametrize("n", [5_000, 1])
+def test_leaks_with_clashing_names(spark, monkeypatch, n):
+    monkeypatch.setattr(leaks, "ITEMS", n)
     t = "가나다라마바사아자차" * 6
     d = spark.createDataFrame([(1, t, 0), (None, t, 0)], "id long, text string, run int")
     i = spark.createDataFrame([(7, t), (7, t), (None, t)], "id long, text string")
