@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRIPLES = "steps array<string>, kind string, value string"
@@ -182,6 +182,19 @@ class Groups:
             self.known[shape] = hit
         return hit
 
+    def named(self, shape: tuple[str, ...]) -> tuple[str, str, str | None]:
+        """(ancestor, path, entities) of a path of this shape."""
+        hits = self.of(shape)
+        taken = {(a.name, n) for a, n, _ in hits}
+        out, end = list(shape), 0
+        for a, want, _ in self.places:
+            if (not hits or (a.name, len(want)) in taken) and len(want) <= len(shape) and all(s == w or (w == ".*" and s[0] == ".") for s, w in zip(shape, want)):
+                out = [w if w == ".*" else s for s, w in zip(out, want)] + out[len(want) :]
+        for x, s in enumerate(out):
+            if s in ("[*", ".*"):
+                end = x + 1
+        return written(out[:end]), written(out), "|".join(sorted({a.name for a, _, _ in hits})) or None
+
     def flagged(self, f: str, value: str | None) -> str | None:
         return value if value is None or f not in self.flags else "1" if value.strip() else ""
 
@@ -220,32 +233,29 @@ class Groups:
         return own if own is not None else last[1:] if last[:1] == "." else None
 
 
-def groups(df: DataFrame, key: str, payload: str, anchors: list[Anchor], flags: tuple[str, ...] = ()) -> DataFrame:
-    """One row per anchor instance: ``key``, entity, node (its steps), kind, value, all fields and links.
+def groups(df: DataFrame, key: str, payload: str, anchors: list[Anchor], finish: Callable[[list[dict]], list[dict]], columns: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` and ``columns`` (texts) of the rows into which ``finish`` turns each record's anchor instances.
 
     The triples of a record are grouped and pivoted where it is parsed, so nothing is shuffled.
-    Fields named in ``flags`` (``""`` names the anchor's own value) come out as ``1`` where their
+    ``finish`` gets one record's instances: dicts with entity, node (its steps), kind, value, fields and
+    links.  Fields named in ``flags`` (``""`` names the anchor's own value) come out as ``1`` where their
     text holds more than blanks and else as an empty text.  A path below several anchors counts for
-    each.  Null texts and texts that are no JSON have no rows.
+    each.  Null texts and texts that are no JSON have no rows; :func:`rejects` names the latter.
     """
-    held = Groups(anchors, flags)
     kept = df.select(F.col(key).alias("_key"), F.col(payload).cast("string").alias("_text")).where("_text IS NOT NULL")
-    kind = dict(df.dtypes)[key]
-    names = ["kind", "value", *held.fields, *held.links]
-    schema = f"_key {kind}, entity string, node array<string>, " + ", ".join(f"`{n}` string" for n in names)
+    schema = f"_key {dict(df.dtypes)[key]}, " + ", ".join(f"`{n}` string" for n in columns)
 
     def run(batches):
-        g = Groups(held.anchors, tuple(held.flags))
+        g = Groups(anchors, flags)
 
         def batch(keys, rows, type_):
-            cols = [pa.array(keys, type_), pa.array([r["entity"] for r in rows], pa.string()), pa.array([list(r["node"]) for r in rows], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array([r.get(n) for r in rows], pa.string()) for n in names)], names=["_key", "entity", "node", *names])
+            return pa.RecordBatch.from_arrays([pa.array(keys, type_), *(pa.array([r.get(n) for r in rows], pa.string()) for n in columns)], names=["_key", *columns])
 
         for b in batches:
             keys, rows = [], []
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    mine = g.pivot(stream(text.lstrip("\ufeff")))
+                    mine = finish(g.pivot(stream(text.lstrip("\ufeff"))))
                 except ValueError:
                     continue
                 keys += [rid] * len(mine)
@@ -258,13 +268,78 @@ def groups(df: DataFrame, key: str, payload: str, anchors: list[Anchor], flags:
     return kept.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
-def last_key(node: str = "node") -> Column:
-    """The key under which an anchor instance stands, or null in an array."""
-    s = F.element_at(node, -1)
-    return F.when(s.startswith("."), F.substring(s, 2, 1_000_000))
+def rejects(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key`` and error of the texts that are no JSON, and of null texts."""
+    bad = triples(df, key, payload).where("kind = 'error'").select(key, F.col("value").alias("error"))
+    return bad.unionByName(df.where(F.col(payload).isNull()).select(F.col(key), F.lit("null").alias("error")))
+
+
+def path_groups(df: DataFrame, key: str, payload: str, anchors: list[Anchor]) -> DataFrame:
+    """The paths of all records, grouped by repeated ancestor as found in them: ancestor, path, entities, n_values, n_records.
+
+    A path is the record's keys with ``[*]`` for a place in an array and ``*`` for a key below which the
+    anchors say that any may stand; its ancestor is its last part that repeats.  ``entities`` names the
+    anchors that take its values, so a path without one is seen.  Counts are summed in each batch.
+    """
+    schema = pa.schema([("ancestor", pa.string()), ("path", pa.string()), ("entities", pa.string()), ("n_values", pa.int64()), ("n_records", pa.int64())])
+
+    def run(batches):
+        g = Groups(anchors)
+        for b in batches:
+            counts: dict[tuple, list[int]] = {}
+            for text in b.column(0).to_pylist():
+                seen = set()
+                try:
+                    nodes = list(stream(text.lstrip("\ufeff")))
+                except ValueError:
+                    continue
+                for steps, kind, _ in nodes:
+                    if kind in ("object", "array", "null"):
+                        continue
+                    name = g.named(tuple(s if s[0] == "." else "[*" for s in steps))
+                    c = counts.setdefault(name, [0, 0])
+                    c[0] += 1
+                    c[1] += name not in seen
+                    seen.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((*k, *v) for k, v in counts.items())), schema)] if counts else [pa.array([], f.type) for f in schema], schema=schema)
+
+    rows = df.select(F.col(payload).cast("string").alias("_text")).where("_text IS NOT NULL").mapInArrow(run, "ancestor string, path string, entities string, n_values bigint, n_records bigint")
+    return rows.groupBy("ancestor", "path", "entities").agg(F.sum("n_values").alias("n_values"), F.sum("n_records").alias("n_records"))
+
+
+def untaken(df: DataFrame, key: str, payload: str, anchors: list[Anchor]) -> DataFrame:
+    """``key``, path (with places, as ``a[0].b``) and value of every value that no anchor takes."""
+    g = Groups(anchors)
+    schema = pa.schema([("path", pa.string()), ("value", pa.string())])
+    kept = df.select(F.col(key).alias("_key"), F.col(payload).cast("string").alias("_text")).where("_text IS NOT NULL")
+
+    def run(batches):
+        own = Groups(g.anchors)
+        for b in batches:
+            keys, out = [], []
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    nodes = list(stream(text.lstrip("\ufeff")))
+                except ValueError:
+                    continue
+                for steps, kind, value in nodes:
+                    if kind not in ("object", "array", "null") and not own.of(tuple(s if s[0] == "." else "[*" for s in steps)):
+                        keys.append(rid)
+                        out.append((written(steps), value))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array([x[i] for x in out], pa.string()) for i in range(2))], names=["_key", *schema.names])
+
+    return kept.mapInArrow(run, f"_key {dict(df.dtypes)[key]}, path string, value string").withColumnRenamed("_key", key)
+
+
+def written(steps: tuple[str, ...] | list[str]) -> str:
+    return "".join(s if s[0] == "." else s + "]" for s in steps).removeprefix(".")
+
+
+def last_key(node: tuple[str, ...]) -> str | None:
+    """The key under which an anchor instance stands, or None in an array."""
+    return node[-1][1:] if node and node[-1][0] == "." else None
 
 
-def place(node: str = "node") -> Column:
-    """The place in its array from 1, or null below an object."""
-    s = F.element_at(node, -1)
-    return F.when(s.startswith("["), F.expr(f"try_cast(substring(element_at({node}, -1), 2) AS int)") + 1)
+def place(node: tuple[str, ...]) -> int | None:
+    """The place in its array from 1, or None below an object."""
+    return int(node[-1][1:]) + 1 if node and node[-1][0] == "[" else None

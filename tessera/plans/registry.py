@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from tessera.plans import annotations, attribution, audit, contrast, decisions, essay_records, features, models, ratings, raw_files, sampling
 
-MODULES = (raw_files, ratings, attribution, contrast, features, decisions, sampling, annotations, audit, models)
+MODULES = (essay_records, raw_files, ratings, attribution, contrast, features, decisions, sampling, annotations, audit, models)
 
 
 def queries() -> dict:
-    out = {"p1_found": essay_records.p1_found, "p1_traits": essay_records.p1_traits, "p1_feedback": essay_records.p1_feedback}
+    out: dict = {}
     for m in MODULES:
         out |= m.QUERIES
     return out

@@ -6,8 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.operators.nested import stream
-from tessera.plans.essay_records import record_tables
+from tessera.operators.nested import path_groups, stream
+from tessera.plans.essay_records import ANCHORS, QUERIES, TABLES, record_tables
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12)
 
@@ -82,3 +82,26 @@ def test_odd_payloads_give_no_rows(spark):
 
 def test_no_records(spark):
     assert rows(spark, []) == set()
+
+
+def test_flat_tables_and_what_they_leave(spark, tmp_path):
+    record = RECORD | {"expert": {"career": "9"}}
+    payloads = [json.dumps(record), "{", None, json.dumps(record)]
+    spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string").write.parquet(f"{tmp_path}/essay_records.parquet")
+    got = {n: [tuple(r) for r in QUERIES[n](spark, str(tmp_path)).where("record_id = 0").collect()] for n in [*TABLES, "p1_untaken"]}
+    assert sorted(got["p1_prompt_lines"]) == [(0, "Q1", 1, "a"), (0, "Q1", 2, "b")]
+    assert sorted(got["p1_ratings"]) == [(0, "7", "t1", 1, 3), (0, "8", "t1", 2, 4)]
+    assert got["p1_feedback"] == [(0, "7", "t1", 2, "ok")]
+    assert sorted(got["p1_evaluations"]) == [(0, "Q1", "t1", 2, "x"), (0, "Q1", "t2", 4, "y")]
+    assert sorted(got["p1_features"]) == [(0, "7", "n.o", 1), (0, "8", "v", 2)]
+    assert got["p1_questions"][0][:2] == (0, "Q1") and sorted(r[2] for r in got["p1_answers"]) == ["7", "8"]
+    assert (0, "expert.career", "9") in got["p1_untaken"] and (0, "essay_answer[0].feature.groups[0].name", "g") in got["p1_untaken"]
+    assert {(r.record_id, r.error is not None) for r in QUERIES["p1_rejects"](spark, str(tmp_path)).collect()} == {(1, True), (2, True)}
+
+
+def test_paths_are_grouped_by_repeated_ancestor(spark):
+    df = spark.createDataFrame([(1, json.dumps(RECORD)), (2, json.dumps({"new": [{"a": [1, 2]}]})), (3, "{")], "record_id long, payload string")
+    got = {(r.ancestor, r.path): (r.entities, r.n_values, r.n_records) for r in path_groups(df, "record_id", "payload", ANCHORS).collect()}
+    assert got["new[*].a[*]", "new[*].a[*]"] == (None, 2, 1)
+    assert got["essay_answer[*].feature.groups[*].items[*]", "essay_answer[*].feature.groups[*].items[*].tag"] == ("feature", 2, 1)
+    assert got["rubric.analytic.*.evaluations.*", "rubric.analytic.*.evaluations.*"] == ("evaluation", 1, 1)
