@@ -14,6 +14,8 @@ from tessera.sources import compaction
 #: Files whose records one partition of the compacted table should get, for some 128 MB, and the
 #: least for which it is worth a task of its own.
 BUCKET_FILES, LEAST_FILES = 400_000, 5_000
+#: Batches in which a bucket's records land, each a file of its own.
+WAVES = 4
 
 
 def _whole(x) -> bool:
@@ -74,7 +76,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def compacted(spark: SparkSession, files: DataFrame, path: str, n_files: int | None = None) -> compaction.Version:
-    """Write the records of ``files`` to a table at ``path`` and compact it.
+    """Write the records of ``files`` to a table at ``path``, as small files by batch, and compact it.
 
     The number of buckets follows the number of files, so that a bucket stays one well-sized
     file; records are hashed to buckets by their whole key, so no prompt makes a hot bucket.
@@ -83,7 +85,8 @@ def compacted(spark: SparkSession, files: DataFrame, path: str, n_files: int | N
     buckets = max(1, -(-n // BUCKET_FILES), min(spark.sparkContext.defaultParallelism, n // LEAST_FILES))
     rows = parsed(files).withColumn("bucket", F.pmod(F.xxhash64("prompt_id", "essay_id"), F.lit(buckets)).cast("int"))
     # else each task would leave a file in each bucket, in all tasks times buckets
-    compaction.append(rows.hint("rebalance", "bucket"), path, "bucket")
+    landed = rows.repartition(buckets * WAVES, "bucket", F.pmod(F.xxhash64("file_id"), F.lit(WAVES)))
+    compaction.append(landed, path, "bucket")
     return compaction.compact(spark, path, "bucket", ["prompt_id", "essay_id"], ["received_at", "file_id"])
 
 

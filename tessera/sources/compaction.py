@@ -4,8 +4,8 @@ A table is a folder of ``bucket=N`` partitions with Parquet files and a ``_versi
 (hidden from readers) with one JSON manifest per committed version, which names every file of
 every partition.  Writers stage their files in a hidden folder, move them beside the others and
 commit a manifest that names them; readers follow the manifest (:func:`read`).  :func:`compact`
-rewrites only the partitions with too many small files, and deletes the files it has read, and no
-other, after its commit.
+rewrites only the partitions with too many small files, or with repeated keys, and deletes the files
+it has read, and no other, after its commit.
 """
 
 from __future__ import annotations
@@ -146,9 +146,17 @@ def append(df: DataFrame, path: str, partition: str) -> Version:
 
 
 def crowded(v: Version, small_bytes: int, max_small: int) -> list[str]:
-    """Partitions with more than ``max_small`` files under ``small_bytes``, or with files that no
-    compaction has gone through yet."""
-    return [k for k, files in v.files.items() if k not in v.clean or sum(b < small_bytes for _, b in files) > max_small]
+    """Partitions with more than ``max_small`` files under ``small_bytes``."""
+    return [k for k, files in v.files.items() if sum(b < small_bytes for _, b in files) > max_small]
+
+
+def repeating(spark: SparkSession, path: str, v: Version, parts: list[str], partition: str, key: list[str]) -> list[str]:
+    """Those of the partitions in which a key stands more than once, by a scan of their keys alone."""
+    if not parts:
+        return []
+    rows = read(spark, path, version=Version(v.number, {k: v.files[k] for k in parts}))
+    n = rows.groupBy(partition, *key).agg(F.count("*").alias("n")).where("n > 1").select(partition).distinct()
+    return [f"{partition}={r[0]}" for r in n.collect()]  # at most one row by partition
 
 
 def compact(
@@ -163,7 +171,8 @@ def compact(
 ) -> Version:
     """Rewrite the crowded partitions of the table at ``path`` and commit the next version.
 
-    A rewritten partition holds each ``key`` (compared null-safe) once, namely the row with the
+    Crowded are partitions by the count of their small files alone; of the others, those that no
+    compaction has gone through are rewritten where a key is repeated in them.  A rewritten partition holds each ``key`` (compared null-safe) once, namely the row with the
     largest ``latest`` columns; equal rows count as one.  Its rows go to one task per partition
     (AQE splits none, as partitions are sized by their number when the table is written), or to
     files of at most ``file_rows`` rows.  Partitions that aren't crowded keep their files byte for
@@ -171,12 +180,14 @@ def compact(
     isn't in the version that was read, or was taken away.  Files that other writers commit
     meanwhile stay beside the rewritten ones; if they replaced a file that was read, the rewrite is
     given up with :class:`ConflictError`.  In both cases nothing is deleted but what this call wrote.
-    A table without crowded partitions, or an empty one, only returns its version.
+    A table with nothing to rewrite, or an empty one, only returns its version.
     """
     seen = current(spark, path)
     if seen is None:
         raise ValueError(f"no version at {path}")
     todo = crowded(seen, small_bytes, max_small)
+    checked = [k for k in seen.files if k not in todo and k not in seen.clean]
+    todo += repeating(spark, path, seen, checked, partition, key)
     if not todo:
         return seen
     now = listing(spark, path)
@@ -200,7 +211,8 @@ def compact(
             raise ConflictError(f"files of version {seen.number} were replaced by version {after.number}")
         rest = {k: tuple(f for f in fs_ if f not in old.get(k, ())) for k, fs_ in after.files.items()}
         try:
-            v = commit(spark, path, after, [k for k in todo if not rest.get(k)], {k: fs_ for k, fs_ in _joined(rest, new).items() if fs_})
+            cleaned = [k for k in todo if not rest.get(k)] + [k for k in checked if k not in old and after.files.get(k) == seen.files[k]]
+            v = commit(spark, path, after, cleaned, {k: fs_ for k, fs_ in _joined(rest, new).items() if fs_})
         except ConflictError:
             later = current(spark, path)
             if later.number <= after.number:

@@ -70,6 +70,39 @@ def test_only_crowded_partitions_are_rewritten(spark, tmp_path):
     assert compaction.compact(spark, path, "p", ["k"], ["at"]) == v2
 
 
+def test_the_count_of_small_files_decides(spark, tmp_path):
+    schema = "p int, k long, at int, v string"
+    path = f"file://{tmp_path}/t"
+    for i in range(4):  # p=0 gets four small files, p=1 and p=2 one each; in p=2 a key is repeated
+        rows = [(0, i, 0, "x")] + ([(1, 7, 0, "x"), (2, 8, 0, "x"), (2, 8, 1, "y")] if i == 0 else [])
+        v = compaction.append(spark.createDataFrame(rows, schema).coalesce(1), path, "p")
+    assert compaction.crowded(v, 1 << 20, 3) == ["p=0"] and compaction.crowded(v, 1 << 20, 4) == []
+    assert compaction.repeating(spark, path, v, ["p=1", "p=2"], "p", ["k"]) == ["p=2"]
+    w = compaction.compact(spark, path, "p", ["k"], ["at"], max_small=3)
+    assert w.files["p=1"] == v.files["p=1"] and len(w.files["p=0"]) == len(w.files["p=2"]) == 1 and w.clean == ("p=0", "p=1", "p=2")
+    assert sorted(tuple(r) for r in compaction.read(spark, path).select("p", "k", "v").collect()) == [(0, 0, "x"), (0, 1, "x"), (0, 2, "x"), (0, 3, "x"), (1, 7, "x"), (2, 8, "y")]
+    assert compaction.compact(spark, path, "p", ["k"], ["at"], max_small=3) == w
+
+
+@pytest.mark.parametrize("step", ["read", "_staged", "commit", "_delete"])
+def test_a_writer_between_any_two_steps_loses_nothing(spark, tmp_path, monkeypatch, step):
+    path = table(spark, tmp_path)
+    real = getattr(compaction, step)
+    late = spark.createDataFrame([(0, 99, 1, "z"), (1, 98, 1, "z")], "p int, k long, at int, v string")
+
+    def then(*args, **kw):
+        monkeypatch.setattr(compaction, step, real)
+        compaction.append(late, path, "p")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(compaction, step, then)
+    compaction.compact(spark, path, "p", ["k"], ["at"])
+    assert sorted(r.k for r in compaction.read(spark, path).collect()) == [*range(20), 98, 99]
+    compaction.compact(spark, path, "p", ["k"], ["at"])
+    v = compaction.current(spark, path)
+    assert sorted(r.k for r in compaction.read(spark, path).collect()) == [*range(20), 98, 99] and all(len(f) == 1 for f in v.files.values())
+
+
 def test_conflicts_are_refused(spark, tmp_path):
     path = table(spark, tmp_path)
     spark.createDataFrame([(0, 99, 1, "z")], "p int, k long, at int, v string").write.mode("append").partitionBy("p").parquet(path)
