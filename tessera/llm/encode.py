@@ -3,7 +3,8 @@
 Words of a batch lie in one flat array of symbols.  Each round looks up all neighbouring pairs by
 binary search over the sorted pair keys of the vocabulary, takes each word's lowest rank, and
 merges the occurrences of that pair in all words at once; words without a pair left leave the
-array.  The vocabulary is never trained here, only read.
+array.  A long word is divided first where no token of the vocabulary lies across, as no merge can
+join the two sides; so its parts merge independently.  The vocabulary is never trained here, only read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.spans import _BASE, Hashes, _mix
 from tessera.session import table
 
 #: Where the vocabulary files are unless a path is given.
@@ -25,6 +27,8 @@ TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 # The pattern that splits a text into words before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of a word beyond which it is divided (speed only).
+LONG = 256
 #: Words a Python worker remembers from batch to batch (memory only; results don't depend on it).
 REMEMBERED = 100_000
 #: Characters that go through the merge rounds at once (memory only).
@@ -58,9 +62,42 @@ class Merges:
         self.keys = keys[order]
         self.ranks = np.arange(len(pairs), dtype=np.int64)[order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        tokens: dict[int, list[list[int]]] = {}
+        for t in {a + b for a, b in pairs}:
+            tokens.setdefault(len(t), []).append([letters[x] for x in t])
+        #: By length the sorted hashes of all tokens that a merge makes.
+        self.made = {n: np.sort(self._hashes(np.array(ts, np.uint64))) for n, ts in sorted(tokens.items())}
+
+    @staticmethod
+    def _hashes(rows: np.ndarray) -> np.ndarray:
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(rows.shape[1] - 1, _BASE)])
+        return _mix((_mix(rows + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) + np.uint64(rows.shape[1]))
+
+    def divided(self, word: bytes) -> list[bytes]:
+        """The parts of a word between which no merge is possible: no token stands across."""
+        n = len(word)
+        hashes = Hashes(np.frombuffer(word, np.uint8))
+        across = np.zeros(n + 1, np.int64)
+        for length, made in self.made.items():
+            if length > n:
+                break
+            h = hashes.of(np.arange(n - length + 1), length)
+            at = np.flatnonzero(made[np.minimum(np.searchsorted(made, h), len(made) - 1)] == h)
+            across[at + 1] += 1  # the boundaries after its first to before its last byte
+            across[at + length] -= 1
+        cuts = np.flatnonzero(np.cumsum(across)[1:n] == 0) + 1
+        return [word[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n])]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word; an empty word has none."""
+        long = {x: self.divided(w) for x, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self._merged(words)
+        parts = [[w] if x not in long else long[x] for x, w in enumerate(words)]
+        ids = iter(self._merged([p for ps in parts for p in ps]))
+        return [[i for _ in ps for i in next(ids)] for ps in parts]
+
+    def _merged(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in words]
         flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])

@@ -390,9 +390,23 @@ def test_encoding_equals_the_library(merges):
     r = random.Random(1)
     texts = ["", "a" * 999, "가나다 " * 50, "<|endoftext|>", "  \n\n x", "ab" * 300, "it's 12345", "日本語。", "​🙂é"]
     texts += ["".join(r.choice("aaabc 가나1.\n🙂") for _ in range(r.randrange(200))) for _ in range(100)]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "thequickbrownfoxjumps" * 200, "".join(r.choice("가나다라힣쀍中文") for _ in range(900)), "".join(r.choice("ab") for _ in range(2000)), "-=" * 700]
     assert encode.encode_texts(texts, merges, {}) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_words_take_time_by_their_length(merges):
+    import time
+
+    r = random.Random(2)
+    took = []
+    for n in (10_000, 100_000):
+        w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+        t = time.process_time()
+        merges.encode([w])
+        took.append(time.process_time() - t)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_encode_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "hi", 0), (3, "hi", 0)], "doc_id long, text string, ids int")
     assert sorted((r.doc_id, r.ids) for r in encode.encode(df, "doc_id", "text").collect()) == [(1, []), (2, []), (3, [5303]), (3, [5303])]
