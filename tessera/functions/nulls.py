@@ -35,3 +35,14 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     if twice:
         raise ValueError(f"{keys} is not unique: {twice[0].asDict()}")
     return df
+
+
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of two tables in which ``keys`` are unique; else ValueError naming one key."""
+    return assert_unique(a, keys).join(assert_unique(b, keys), keys)
+
+
+def strict_pivot(df: DataFrame, keys: list[str], column: str, values: list, cell: str, prefix: str = "") -> DataFrame:
+    """``cell`` by ``keys`` with the given values of ``column`` in columns; ValueError where a cell stands twice."""
+    checked = assert_unique(df, [*keys, column])
+    return checked.groupBy(*keys).agg(*[F.max(F.when(F.col(column) == v, F.col(cell))).alias(f"{prefix}{v}") for v in values])

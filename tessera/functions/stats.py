@@ -6,10 +6,12 @@ filtered first; a statistic that isn't defined (no variation, no rows) is NULL.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.tails import chi2_sf
 from tessera.functions.vocab import SCORE_MAX, SCORE_MIN
 
 
@@ -171,15 +173,33 @@ def alpha_interval(df: DataFrame, value: str, item: list[str], by: list[str]) ->
     return g.select(*by, n.alias("n_ratings"), F.when((n > 1) & (de > 0), 1 - do / de).alias("alpha"))
 
 
-def chi_square(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """``by``, statistic, dof and n of Pearson's test of independence, without continuity correction."""
+def chi_square(df: DataFrame, a: str, b: str, by: list[str], yates: bool = True) -> DataFrame:
+    """``by``, statistic, dof and n of Pearson's test of independence; with one degree of freedom corrected
+    for continuity, unless ``yates`` is off.  Without a degree of freedom the statistic is NULL."""
     cells = df.groupBy(*by, a, b).agg(F.count("*").alias("o"))
     rows, cols, n = cells.groupBy(*by, a).agg(F.sum("o").alias("r")), cells.groupBy(*by, b).agg(F.sum("o").alias("c")), cells.groupBy(*by).agg(F.sum("o").alias("n"))
     # sum of (O - E)^2 / E = n * (sum of O^2 / (r * c) - 1): empty cells need no row
     t = cells.join(rows, [*by, a]).join(cols, [*by, b]).groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
     out = t.join(n, by) if by else t.withColumn("n", n.scalar())
-    dof = (F.col("ka") - 1) * (F.col("kb") - 1)
-    return out.select(*by, F.when(dof > 0, F.col("n") * (F.col("s") - 1)).alias("statistic"), dof.alias("dof"), "n")
+    dof, x = (F.col("ka") - 1) * (F.col("kb") - 1), F.col("n") * (F.col("s") - 1)
+    if yates:  # of a table of two by two all cells are as far off: far^2 * sum of 1 / E
+        inverse = [m.groupBy(*by).agg(F.sum(1 / F.col(c)).alias(f"_{c}")) for m, c in ((rows, "r"), (cols, "c"))]
+        for m, c in zip(inverse, "rc"):
+            out = out.join(m, by) if by else out.withColumn(f"_{c}", m.scalar())
+        all_ = F.col("n") * F.col("_r") * F.col("_c")
+        far = F.sqrt(F.greatest(x, F.lit(0.0)) / all_)
+        x = F.when(dof == 1, (far - F.least(F.lit(0.5), far)) ** 2 * all_).otherwise(x)
+    return out.select(*by, F.when(dof > 0, x).alias("statistic"), dof.alias("dof"), "n")
+
+
+def chi_square_p(statistic: Column, dof: Column) -> Column:
+    """p of Pearson's statistic, for the rows of a report; NULL without one."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else chi2_sf(a, b) for a, b in zip(x, k)], dtype="float64")
+
+    return p(statistic.cast("double"), dof.cast("double"))
 
 
 def kendall_pairs(df: DataFrame, key: str, member: str, rank: str, by: list[str]) -> DataFrame:

@@ -16,6 +16,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
 
 
+def plain_id(c: Column) -> Column:
+    """An id without differences of case, blanks and separators; NULL for fillers, which hold no digit but 0."""
+    t = F.upper(F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}]+", ""))
+    return F.when(t.rlike("[1-9]"), t)
+
+
 def tokens(c: Column) -> Column:
     """Runs of digits, Latin and Hangul letters in lower case."""
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9A-Za-z가-힣]+)")), lambda x: F.lower(x))

@@ -145,11 +145,16 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chi-square of label by purpose within each trait."""
+    """Chi-square of label by purpose within each trait, corrected for continuity with one degree of freedom."""
     l = labelled(spark, sf_dir).where("purpose IS NOT NULL").select("trait", "purpose", "label")
     return stats.chi_square(l, "purpose", "label", ["trait"]).withColumn("statistic", F.round("statistic", 4))
 
 
+def label_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of independence with their p."""
+    return label_independence(spark, sf_dir).withColumn("p", stats.chi_square_p(F.col("statistic"), F.col("dof")))
+
+
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares that each pair of thresholds flags; a missing rate counts as 1, a missing overlap as 0."""
     grid = F.inline(F.array(*[F.struct(F.lit(a).alias("justification_max"), F.lit(b).alias("jaccard_min")) for a in (0.05, 0.10, 0.20, 0.30) for b in (0.3, 0.5, 0.7)]))
@@ -215,7 +220,12 @@ def robustness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rater's run against the second's by trait: agreement, shift, and F1 on missing scores."""
+    """The first rater's run against the second's by trait: agreement, shift, and F1 on missing scores.
+
+    ROBUST are traits that meet all criteria that can be computed, of which three are needed; partly
+    so are those that meet three fifths.  (Two further criteria on rationales have no data, so a fixed
+    five of five could never be met.)
+    """
     r = ratings(spark, sf_dir).where("rating_round = 1").select("trait", "r1", "r2")
     x, y = F.col("r1"), F.col("r2")
     both = x.isNotNull() & y.isNotNull()
@@ -230,7 +240,8 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
         prec.alias("p"), rec.alias("r"), f1.alias("f"), F.avg(x.isNull().cast("double")).alias("nm"), F.avg(y.isNull().cast("double")).alias("ns"),
     ).where("n >= 10")
     passed = sum((F.coalesce(c, F.lit(False)).cast("int") for c in (F.col("q") >= 0.70, F.col("e") >= 0.55, F.col("f") >= 0.50)), F.lit(0))
-    status = F.when(passed >= 5, "ROBUST").when(passed >= 3, "PARTIALLY_ROBUST").otherwise("NOT_ROBUST")
+    known = sum((c.isNotNull().cast("int") for c in (F.col("q"), F.col("e"), F.col("f"))), F.lit(0))
+    status = F.when((known >= 3) & (passed == known), "ROBUST").when(passed * 5 >= known * 3, "PARTIALLY_ROBUST").otherwise("NOT_ROBUST")
     return g.select("trait", "n", r6(F.col("q")).alias("qwk"), r6(F.col("e")).alias("exact_agreement_rate"), r6(F.col("adj")).alias("adjacent_agreement_rate"), r6(F.col("shift")).alias("mean_severity_shift"), r6(F.col("p")).alias("na_precision"), r6(F.col("r")).alias("na_recall"), r6(F.col("f")).alias("na_f1"), r6(F.col("nm")).alias("na_rate_main"), r6(F.col("ns")).alias("na_rate_sensitivity"), status.alias("robust_status"))
 
 
@@ -252,6 +263,7 @@ QUERIES = {
     "decision_labels_compat": labels_compat,
     "label_distribution": label_distribution,
     "label_independence": label_independence,
+    "label_tests": label_tests,
     "threshold_grid": threshold_grid,
     "code_agreement": code_agreement,
     "triangulation": triangulation,
@@ -277,7 +289,9 @@ SQL = {
     "decision_labels_compat": f"WITH {_labels_sql(True)} SELECT essay_id, trait, label, priority_rank, triggered_rules FROM labelled",
     "label_distribution": f"WITH {_labels_sql(False)} SELECT trait, {', '.join(f'''sum((label = '{n}')::INT)::BIGINT AS {n}''' for n in ('Aligned', 'CIV', 'Indeterminate', 'UR'))}, count(*) AS total FROM labelled GROUP BY trait",
     "label_independence": f"""WITH {_labels_sql(False)}, l AS (SELECT trait, purpose, label FROM labelled WHERE purpose IS NOT NULL), c AS (SELECT trait, purpose, label, count(*) AS o FROM l GROUP BY ALL), r AS (SELECT trait, purpose, count(*) AS r FROM l GROUP BY ALL), k AS (SELECT trait, label, count(*) AS c FROM l GROUP BY ALL), n AS (SELECT trait, count(*) AS n FROM l GROUP BY ALL),
-x AS (SELECT trait, sum((coalesce(o, 0) - r * c / n::DOUBLE) ** 2 / (r * c / n::DOUBLE)) AS s, (count(DISTINCT purpose) - 1) * (count(DISTINCT label) - 1) AS dof, any_value(n) AS n FROM r JOIN k USING (trait) JOIN n USING (trait) LEFT JOIN c USING (trait, purpose, label) GROUP BY trait) SELECT trait, CASE WHEN dof > 0 THEN round(s, 4) END AS statistic, dof, n FROM x""",
+e AS (SELECT trait, purpose, label, n, coalesce(o, 0) AS o, r * c / n::DOUBLE AS e FROM r JOIN k USING (trait) JOIN n USING (trait) LEFT JOIN c USING (trait, purpose, label)),
+x AS (SELECT trait, sum((o - e) ** 2 / e) AS s, sum((abs(o - e) - least(0.5, abs(o - e))) ** 2 / e) AS y, (count(DISTINCT purpose) - 1) * (count(DISTINCT label) - 1) AS dof, any_value(n) AS n FROM e GROUP BY trait)
+SELECT trait, CASE WHEN dof > 0 THEN round(CASE WHEN dof = 1 THEN y ELSE s END, 4) END AS statistic, dof, n FROM x""",
     "threshold_grid": f"WITH {EVIDENCE}, g AS (SELECT * FROM (SELECT unnest([0.05, 0.1, 0.2, 0.3])::DOUBLE AS justification_max), (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS jaccard_min)), mm AS (SELECT coalesce(justification_rate, 1) AS j, coalesce(stability_jaccard, 0) AS s FROM coded) SELECT justification_max, jaccard_min, count(*) AS n, round(avg((j <= justification_max)::INT), 6) AS civ_rate, round(avg((s < jaccard_min)::INT), 6) AS ur_rate, round(avg((j <= justification_max OR s < jaccard_min)::INT), 6) AS either_rate FROM mm, g GROUP BY ALL",
     "code_agreement": f"WITH {EVIDENCE} SELECT trait, count(*) AS n, round({_na_kappa_sql('llm_code', 'human_code')}, 6) AS kappa_llm_human, round(avg((llm_code = 'NA')::INT), 6) AS na_rate_llm, round(avg((human_code = 'NA')::INT), 6) AS na_rate_human FROM coded GROUP BY trait",
     "triangulation": f"""WITH {EVIDENCE}, ll AS (SELECT trait, {_na_kappa_sql('llm_code', 'human_code')} AS b FROM coded GROUP BY trait), sh AS (SELECT trait, avg(len(list_intersect(llm_families, {_EXPR})) / len(list_distinct(list_concat(llm_families, {_EXPR})))::DOUBLE) AS a FROM coded WHERE len(llm_families) > 0 GROUP BY trait),
@@ -290,8 +304,8 @@ SELECT *, CASE trait {' '.join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TRAI
     "sensitivity_agreement": f"""WITH {PURITY}, b AS (SELECT trait, r1, r2, CASE WHEN r2 IS NOT NULL THEN r1 END AS x, CASE WHEN r1 IS NOT NULL THEN r2 END AS y FROM ratings WHERE rating_round = 1),
 g AS (SELECT trait, count(x) AS n, CASE WHEN var_pop(x) + var_pop(y) + (avg(x) - avg(y)) ** 2 <> 0 THEN 1 - avg((x - y) ** 2) / (var_pop(x) + var_pop(y) + (avg(x) - avg(y)) ** 2) END AS q, avg((x = y)::INT) AS e, avg((abs(x - y) <= 1)::INT) AS adj, avg(y - x) AS shift,
  sum((r1 IS NULL AND r2 IS NULL)::INT)::DOUBLE AS tp, sum((r1 IS NULL AND r2 IS NOT NULL)::INT)::DOUBLE AS fp, sum((r1 IS NOT NULL AND r2 IS NULL)::INT)::DOUBLE AS fn, avg((r1 IS NULL)::INT) AS nm, avg((r2 IS NULL)::INT) AS ns FROM b GROUP BY trait HAVING count(x) >= 10),
-h AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM g), i AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM h)
+h AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM g), i AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM h), s AS (SELECT *, coalesce(q >= 0.7, false)::INT + (e >= 0.55)::INT + (f >= 0.5)::INT AS ok, 2 + (q IS NOT NULL)::INT AS known FROM i)
 SELECT trait, n, round(q, 6) AS qwk, round(e, 6) AS exact_agreement_rate, round(adj, 6) AS adjacent_agreement_rate, round(shift, 6) AS mean_severity_shift, round(p, 6) AS na_precision, round(r, 6) AS na_recall, round(f, 6) AS na_f1, round(nm, 6) AS na_rate_main, round(ns, 6) AS na_rate_sensitivity,
- CASE WHEN coalesce(q >= 0.7, false)::INT + (e >= 0.55)::INT + (f >= 0.5)::INT >= 3 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robust_status FROM i""",
+ CASE WHEN known = 3 AND ok = 3 THEN 'ROBUST' WHEN ok * 5 >= known * 3 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robust_status FROM s""",
     "code_levels": f"WITH {EVIDENCE}, l AS (SELECT trait, CASE human_code WHEN '하' THEN 0 WHEN '중' THEN 1 WHEN '상' THEN 2 END AS l FROM coded) SELECT trait, count(l) AS n_determinate, round(avg(l), 6) AS mean_level FROM l GROUP BY trait",
 }

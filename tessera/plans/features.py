@@ -199,10 +199,10 @@ def _families_sql() -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(map(seq, ks))} THEN '{f}' END" for f, ks in FAMILY_KEYWORDS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-def keyword_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sequences that more than one family claims: none may be left."""
-    rows = [(" ".join(k), f) for f, ks in FAMILY_KEYWORDS.items() for k in ks]
-    return spark.createDataFrame(rows, "keyword string, family string").groupBy("keyword").agg(F.count_distinct("family").alias("n_families"), pipe(F.array_sort(F.collect_set("family"))).alias("families")).where("n_families > 1")
+def owners(claims: DataFrame, keyword: str, owner: str) -> DataFrame:
+    """``keyword``, n_owners and owners of the keywords that more than one owner claims."""
+    kept = claims.where(F.col(keyword).isNotNull() & F.col(owner).isNotNull()).select(keyword, owner).distinct()
+    return kept.groupBy(keyword).agg(F.count("*").alias("n_owners"), pipe(F.array_sort(F.collect_set(owner))).alias("owners")).where("n_owners > 1")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -243,7 +243,6 @@ QUERIES = {
     "vocab_features": vocab_features,
     "sentence_stats": sentence_stats,
     "feedback_families": feedback_families,
-    "keyword_owners": keyword_owners,
     "coherence_by_label": coherence_by_label,
     "text_digests": text_digests,
 }

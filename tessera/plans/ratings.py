@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions.nulls import ratio
+from tessera.functions.text import plain_id
 from tessera.functions.vocab import AREA_KEYWORDS, TRAIT_AREA, TRAITS
 from tessera.session import table
 
@@ -109,12 +110,12 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_by_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Essay lengths by the grade of the essay's prompt; each essay once."""
+    """Essay lengths by the grade of the essay's prompt; each essay once, ids in whatever form they are written."""
     e = table(spark, sf_dir, "essays").select("essay_id", "prompt_id", "len_syllable", "received_at").where("essay_id IS NOT NULL")
     e = e.groupBy("essay_id").agg(F.max_by(F.struct("prompt_id", "len_syllable"), F.struct("received_at", "prompt_id", "len_syllable")).alias("r")).select("r.*")
-    p = table(spark, sf_dir, "prompts").select("prompt_id", "grade")
+    p = table(spark, sf_dir, "prompts").where("grade IS NOT NULL").groupBy(plain_id(F.col("prompt_id")).alias("_p")).agg(F.min_by("grade", "prompt_id").alias("grade")).where("_p IS NOT NULL")
     n = F.col("len_syllable")
-    g = e.join(p, "prompt_id").where("grade IS NOT NULL").groupBy("grade")
+    g = e.withColumn("_p", plain_id(F.col("prompt_id"))).join(p, "_p").groupBy("grade")
     return g.agg(F.count(n).alias("n"), F.round(F.avg(n), 1).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 1).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"))
 
 
@@ -242,6 +243,7 @@ QUERIES = {
     "score_flags": score_flags,
 }
 
+_PLAIN = "regexp_replace(upper({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 SQL = {
     "rater_agreement": f"""WITH {PAIRED}, {RANKED}, rho AS (SELECT purpose, trait, round(corr(a, b), 6) AS spearman_r FROM rx GROUP BY ALL),
 g AS (SELECT purpose, trait, count(*) AS n_paired, {QWK_SQL} AS q, 2 * var_samp((r1 + r2) / 2.0) AS mt, var_samp(r1 - r2) / 2 AS me, count(*) * avg(r1 - r2) ** 2 / 2 AS mc,
@@ -260,8 +262,10 @@ g AS (SELECT trait, sum(m)::BIGINT AS n, sum(s) AS s, sum(q) AS q, sum(CASE WHEN
 SELECT trait, n AS n_ratings, round(1 - (d / k) / ((n * q - s * s) / (n * (n - 1) / 2)), 6) AS alpha FROM g""",
     "score_distribution": f"""WITH {RATINGS}, s AS (SELECT trait, r1 AS x FROM ratings UNION ALL SELECT trait, r2 FROM ratings)
 SELECT trait, {', '.join(f'sum((x = {k})::INT)::BIGINT AS score_{k}' for k in range(1, 6))}, count(*) AS total FROM s WHERE x IS NOT NULL GROUP BY trait""",
-    "length_by_grade": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY essay_id ORDER BY received_at DESC NULLS LAST, prompt_id DESC NULLS LAST, len_syllable DESC NULLS LAST) AS k FROM essays WHERE essay_id IS NOT NULL)
-SELECT grade, count(e.len_syllable) AS n, round(avg(e.len_syllable), 1) AS mean, round(quantile_cont(e.len_syllable, 0.5), 1) AS median, min(e.len_syllable) AS min, max(e.len_syllable) AS max FROM e JOIN prompts p USING (prompt_id) WHERE k = 1 AND grade IS NOT NULL GROUP BY grade""",
+    "length_by_grade": f"""
+WITH e AS (SELECT *, {_PLAIN.format('prompt_id')} AS p, row_number() OVER (PARTITION BY essay_id ORDER BY received_at DESC NULLS LAST, prompt_id DESC NULLS LAST, len_syllable DESC NULLS LAST) AS k FROM essays WHERE essay_id IS NOT NULL),
+q AS (SELECT {_PLAIN.format('prompt_id')} AS p, arg_min(grade, prompt_id) AS grade FROM prompts WHERE grade IS NOT NULL GROUP BY 1)
+SELECT grade, count(e.len_syllable) AS n, round(avg(e.len_syllable), 1) AS mean, round(quantile_cont(e.len_syllable, 0.5), 1) AS median, min(e.len_syllable) AS min, max(e.len_syllable) AS max FROM e JOIN q USING (p) WHERE k = 1 AND regexp_matches(p, '[1-9]') GROUP BY grade""",
     "rubric_coverage": f"WITH {RATINGS} SELECT trait, count(DISTINCT rubric_key) AS n_keys, count(*) AS n_rows FROM ratings GROUP BY trait",
     "corpus_composition": f"""WITH {RATINGS}, e AS (SELECT grade, purpose, prompt_id, source, row_number() OVER (PARTITION BY essay_id ORDER BY grade DESC NULLS LAST, purpose DESC NULLS LAST, prompt_id DESC NULLS LAST, source DESC NULLS LAST) AS j FROM ratings)
 SELECT grade, purpose, prompt_id, source, count(*) AS n_essays FROM e WHERE j = 1 GROUP BY ALL""",

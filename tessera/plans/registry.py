@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import annotations, attribution, audit, contrast, decisions, essay_records, features, models, ratings, raw_files, sampling
+from tessera.plans import annotations, attribution, audit, contrast, decisions, essay_records, features, joined, models, ratings, raw_files, sampling
 
-MODULES = (essay_records, raw_files, ratings, attribution, contrast, features, decisions, sampling, annotations, audit, models)
+MODULES = (essay_records, raw_files, ratings, attribution, contrast, features, decisions, sampling, annotations, audit, models, joined)
 
 
 def queries() -> dict:

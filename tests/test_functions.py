@@ -10,7 +10,8 @@ from tessera.functions import annotations as A
 from tessera.functions import nulls, rules, sets, text
 from tessera.functions.vocab import FAMILIES, FAMILY_KEYWORDS, TRAITS, feature_family
 from tessera.operators import rank, sample
-from tessera.plans.features import clean_lexicon, coherence
+from tessera.plans import joined
+from tessera.plans.features import clean_lexicon, coherence, owners
 from tessera.plans.ratings import rubric_key_parts
 
 
@@ -239,3 +240,38 @@ def test_samples(spark):
     groups = sample.group_folds(df, "s")
     assert groups.where("fold <> s").count() == 0 and sample.group_folds(df.where("s = 'a'"), "s").count() == 0
     assert sample.ranked(df.where("k < 0"), ["s"], "k").collect() == []
+
+
+def test_checked_joins_and_pivots(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
+    b = spark.createDataFrame([(1, "p"), (3, "q")], "k int, b string")
+    assert [tuple(r) for r in nulls.one_to_one(a, b, ["k"]).collect()] == [(1, "x", "p")]
+    with pytest.raises(ValueError):
+        nulls.one_to_one(a.union(a), b, ["k"])
+    long = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (2, 2, 3.0)], "k int, r int, v double")
+    assert sorted(tuple(r) for r in nulls.strict_pivot(long, ["k"], "r", [1, 2], "v", "r").collect()) == [(1, 5.0, None), (2, None, 3.0)]
+    with pytest.raises(ValueError):
+        nulls.strict_pivot(long.union(long), ["k"], "r", [1, 2], "v")
+
+
+def test_owners_of_planted_duplicates(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), (None, "x"), ("c", None), ("c", "z"), ("d", "z"), ("d", "x"), ("d", "y")]
+    got = owners(spark.createDataFrame(rows, "k string, o string"), "k", "o").collect()
+    assert sorted((r.k, r.n_owners, r.owners) for r in got) == [("a", 2, "x|y"), ("d", 3, "x|y|z")]
+    claims = [(" ".join(k), f) for f, ks in FAMILY_KEYWORDS.items() for k in ks]
+    assert owners(spark.createDataFrame(claims, "k string, f string"), "k", "f").count() == 0
+
+
+def test_rubric_blocks(spark, tmp_path):
+    analytic = {"content_1": {"name": "n", "rubric_key": "bad", **{f"evaluation_{i}": f"d{i}" for i in range(1, 6)}}, "task_1": {"name": "m", "rubric_key": "A-X-1A-2B", "evaluation_3": "  "}, "organization_1": {"rubric_key": "B-X-1C-2A", "evaluations": {"2": "x  y", "9": "z"}}}
+    record = {"essay_question": {"id": "Q"}, "rubric": {"analytic": analytic}}
+    spark.createDataFrame([(1, json.dumps(record)), (2, None)], "record_id long, payload string").write.parquet(f"{tmp_path}/essay_records.parquet")
+    got = {r.trait: (r.levels, r.complete, r.area, r.purpose_code) for r in joined.rubric_blocks(spark, str(tmp_path)).collect()}
+    assert got == {"content_1": ("1|2|3|4|5", True, None, "A"), "task_1": (None, False, "1A", "A"), "organization_1": ("2", False, "1C", "A")}
+    text = joined.rubric_texts(spark, str(tmp_path)).first().rubric
+    assert text.index("| **5** | d5 |") < text.index("| **1** | d1 |") and "| **2** | x y |" in text
+
+
+def test_patches_are_made_in_turn(spark):
+    df = spark.createDataFrame([("a  bㆍc...",), (None,)], "t string")
+    assert [r[0] for r in df.select(joined.patched(df.t)).collect()] == ["a b·c…", None]

@@ -153,3 +153,15 @@ def test_golden_values():
 def test_nothing_gives_nothing(spark):
     e = spark.createDataFrame([], "g string, x int, y int")
     assert stats.spearman(e, "x", "y", ["g"]).collect() == stats.signed_ranks(e.withColumn("d", F.col("x").cast("double")), "d", ["g"]).collect() == []
+
+
+def test_chi_square_is_corrected_with_one_degree_of_freedom(spark):
+    rows = [("p", "x")] * 12 + [("p", "y")] * 5 + [("q", "x")] * 3 + [("q", "y")] * 9
+    df = spark.createDataFrame(rows, "a string, b string")
+    e = [17 * 15 / 29, 17 * 14 / 29, 12 * 15 / 29, 12 * 14 / 29]
+    o = [12, 5, 3, 9]
+    plain = sum((x - y) ** 2 / y for x, y in zip(o, e))
+    got = [stats.chi_square(df, "a", "b", [], yates=y).first().statistic for y in (False, True)]
+    assert got[0] == pytest.approx(plain) and got[1] == pytest.approx(sum((abs(x - y) - 0.5) ** 2 / y for x, y in zip(o, e)))
+    p = df.limit(1).select(stats.chi_square_p(F.lit(3.841459), F.lit(1)), stats.chi_square_p(F.lit(None).cast("double"), F.lit(0))).first()
+    assert p[0] == pytest.approx(0.05, abs=1e-6) and p[1] is None
