@@ -74,9 +74,3 @@ EVIDENCE_TAGS = ("rubric_cue", "topic_frame", "structural_marker", "transition",
 NULL_REASONS = ("insufficient_evidence", "rubric_ambiguous")
 # The ordinal codes.
 CODE_LEVEL = {"하": 0, "중": 1, "상": 2}
-
-
-def feature_family(column: str) -> str:
-    """The family of a feature column, by its prefix; ``unknown`` where none fits."""
-    prefixes = (("meta_", "meta"), ("morph_", "morph_prop"), ("lex_", "lex"), ("vocab_", "vocab_grade"), ("josa_", "case_marker"), ("case_diversity", "case_marker"), ("syn_", "syn"), ("dis_sbert_", "dis_SBERT"), ("sbert_", "dis_SBERT"), ("coh_", "dis_SBERT"), ("dis_", "dis_nonSBERT"))
-    return next((family for prefix, family in prefixes if column.startswith(prefix)), "unknown")

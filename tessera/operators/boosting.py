@@ -59,62 +59,84 @@ class Forest:
         return self.base + sum((t.value[t.leaf_of(x)] for t in self.trees), np.zeros(len(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, min_child: int = 5, penalty: float = 1.0, bins: int = 32, seed: int = 42) -> Forest:
-    """Boosted trees on squared error by histograms; missing values take the better side of each split."""
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    rng = np.random.default_rng(seed)
-    n, m = x.shape
-    base = float(y.mean()) if n else 0.0
+def _bins(x: np.ndarray, bins: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The inner edges of each column's quantile bins, and each value's bin; missing values have one of their own."""
     edges = [np.unique(np.quantile(c[~np.isnan(c)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(c)).any() else np.zeros(0) for c in x.T]
-    binned = np.stack([np.where(np.isnan(c), bins, np.searchsorted(e, c, "left")) for c, e in zip(x.T, edges)], axis=1).astype(np.int64) if m else np.zeros((n, 0), np.int64)
-    pred = np.full(n, base)
-    out = []
-    for _ in range(trees if n and m else 0):
-        use = np.flatnonzero(rng.random(n) < rows) if rows < 1 else np.arange(n)
-        cols = np.sort(rng.choice(m, max(1, int(m * columns)), replace=False))
-        if len(use) < 2 * min_child:
-            use = np.arange(n)
-        g = y - pred
-        feature, threshold, left, right, nan_left, value = [-1], [0.0], [0], [0], [False], [0.0]
-        todo = [(0, use, 0)]
-        while todo:
-            node, idx, d = todo.pop()
-            s, k = g[idx].sum(), len(idx)
-            value[node] = rate * s / (k + penalty)
-            if d >= depth or k < 2 * min_child:
-                continue
-            b = binned[np.ix_(idx, cols)] + np.arange(len(cols)) * (bins + 1)
-            hs = np.bincount(b.ravel(), np.repeat(g[idx], len(cols)), len(cols) * (bins + 1)).reshape(len(cols), bins + 1)
-            hk = np.bincount(b.ravel(), minlength=len(cols) * (bins + 1)).reshape(len(cols), bins + 1)
-            cs, ck = np.cumsum(hs[:, :bins], axis=1)[:, :-1], np.cumsum(hk[:, :bins], axis=1)[:, :-1]
-            best = (1e-9, -1, 0, False)
-            for nan_here in (False, True):
-                ls, lk = (cs + hs[:, bins:], ck + hk[:, bins:]) if nan_here else (cs, ck)
-                rk = k - lk
-                gain = ls**2 / (lk + penalty) + (s - ls) ** 2 / (rk + penalty) - s**2 / (k + penalty)
-                gain[(lk < min_child) | (rk < min_child)] = -1
-                at = int(gain.argmax())
-                if gain.flat[at] > best[0]:
-                    best = (float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1], nan_here)
-            _, c, cutoff, nan_here = best
-            if c < 0 or cutoff >= len(edges[cols[c]]):
-                continue
-            f = int(cols[c])
-            v = binned[idx, f]
-            go = np.where(v == bins, nan_here, v <= cutoff)
-            feature[node], threshold[node], nan_left[node] = f, float(edges[f][cutoff]), nan_here
+    return edges, np.stack([np.where(np.isnan(c), bins, np.searchsorted(e, c, "left")) for c, e in zip(x.T, edges)], axis=1).astype(np.int64)
+
+
+def _grow(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, use: np.ndarray, cols: np.ndarray, depth: int, rate: float, min_child: float, penalty: float, bins: int) -> Tree:
+    """One tree on gradients and hessians, level by level: all nodes of a level share one histogram."""
+    feature, threshold, left, right, nan_left, value = [-1], [0.0], [0], [0], [False], [0.0]
+    cut = np.array([len(edges[c]) for c in cols])
+    at, rows, level = np.zeros(len(use), np.int64), use, [0]
+    for d in range(depth + 1):
+        n, m = len(level), len(cols)
+        gs, hs = np.bincount(at, g[rows], n), np.bincount(at, h[rows], n)
+        for k, node in enumerate(level):
+            value[node] = rate * gs[k] / (hs[k] + penalty)
+        if d == depth:
+            break
+        code = ((at[:, None] * m + np.arange(m)) * (bins + 1) + binned[np.ix_(rows, cols)]).ravel()
+        hist = [np.bincount(code, np.repeat(v[rows], m), n * m * (bins + 1)).reshape(n, m, bins + 1) for v in (g, h)]
+        cg, ch = (np.cumsum(x[:, :, :bins], axis=2)[:, :, :-1] for x in hist)
+        best, pick, nan = np.full(n, 1e-9), np.zeros(n, np.int64), np.zeros(n, bool)
+        possible = np.arange(bins - 1)[None, None, :] < cut[None, :, None]
+        for nan_here in (False, True):
+            lg, lh = (cg + hist[0][:, :, bins:], ch + hist[1][:, :, bins:]) if nan_here else (cg, ch)
+            rh = hs[:, None, None] - lh
+            gain = lg**2 / (lh + penalty) + (gs[:, None, None] - lg) ** 2 / (rh + penalty) - (gs**2 / (hs + penalty))[:, None, None]
+            gain[(lh < min_child) | (rh < min_child) | ~possible] = -1
+            flat = gain.reshape(n, -1)
+            top = flat.argmax(axis=1)
+            better = flat[np.arange(n), top] > best
+            best[better], pick[better], nan[better] = flat[np.arange(n), top][better], top[better], nan_here
+        split = np.flatnonzero(best > 1e-9)
+        if not len(split):
+            break
+        child = np.full(n, -1)
+        below = []
+        for k in split.tolist():
+            node, c, cutoff = level[k], pick[k] // (bins - 1), pick[k] % (bins - 1)
+            feature[node], threshold[node], nan_left[node] = int(cols[c]), float(edges[cols[c]][cutoff]), bool(nan[k])
             left[node], right[node] = len(feature), len(feature) + 1
-            for part in (idx[go], idx[~go]):
+            child[k] = len(below)
+            for part in (left[node], right[node]):
+                below.append(part)
                 feature.append(-1)
                 threshold.append(0.0)
                 left.append(0)
                 right.append(0)
                 nan_left.append(False)
                 value.append(0.0)
-                todo.append((len(feature) - 1, part, d + 1))
-        tree = Tree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(nan_left), np.array(value))
-        out.append(tree)
-        pred = pred + tree.value[tree.leaf_of(x)]
+        kept = child[at] >= 0
+        rows, at = rows[kept], at[kept]
+        v = binned[rows, cols[pick[at] // (bins - 1)]]
+        goes_left = np.where(v == bins, nan[at], v <= pick[at] % (bins - 1))
+        at, level = child[at] + ~goes_left, below
+    return Tree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(nan_left), np.array(value))
+
+
+def _drawn(rng, n: int, m: int, rows: float, columns: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    use = np.flatnonzero(rng.random(n) < rows) if rows < 1 else np.arange(n)
+    cols = np.sort(rng.choice(m, max(1, int(m * columns)), replace=False))
+    return (use if len(use) >= 2 * least else np.arange(n)), cols
+
+
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 500, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, min_child: float = 5, penalty: float = 1.0, bins: int = 32, seed: int = 42) -> Forest:
+    """Boosted trees on squared error by histograms; missing values take the better side of each split."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    rng = np.random.default_rng(seed)
+    n, m = x.shape
+    base = float(y.mean()) if n else 0.0
+    out: list[Tree] = []
+    if n and m:
+        edges, binned = _bins(x, bins)
+        pred, one = np.full(n, base), np.ones(n)
+        for _ in range(trees):
+            use, cols = _drawn(rng, n, m, rows, columns, min_child)
+            out.append(_grow(binned, edges, y - pred, one, use, cols, depth, rate, min_child, penalty, bins))
+            pred += out[-1].value[out[-1].leaf_of(x)]
     return Forest(base, out)
 
 
@@ -165,13 +187,32 @@ def shapley(forest: Forest, x: np.ndarray, background: np.ndarray) -> tuple[np.n
     return phi, float(forest.predict(background).mean()) if len(background) else forest.base
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, levels=(1, 2, 3, 4, 5), **how) -> list[tuple[int, Forest | None]]:
-    """A forest by level for the share of that level; levels that don't occur have none."""
-    y = np.rint(np.asarray(y, float))
-    return [(k, fit(x, (y == k).astype(float), **how) if (y == k).any() else None) for k in levels]
+def _softmax(margins: np.ndarray) -> np.ndarray:
+    e = np.exp(margins - margins.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def expected_level(models: list[tuple[int, Forest | None]], x: np.ndarray) -> np.ndarray:
-    """The expected level under the levels' shares, made positive and to add up to one."""
-    p = np.stack([np.maximum(f.predict(x), 1e-6) if f else np.zeros(len(x)) for _, f in models], axis=1)
-    return (p / p.sum(axis=1, keepdims=True)) @ np.array([k for k, _ in models], float)
+def fit_ordinal(x: np.ndarray, y: np.ndarray, levels=(1, 2, 3, 4, 5), trees: int = 500, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, min_child: float = 5, penalty: float = 1.0, bins: int = 32, seed: int = 42) -> list[tuple[int, Forest]]:
+    """A forest of margins by level, boosted together on the softmax of all; ``trees`` rounds of one tree a level."""
+    x, y = np.asarray(x, float), np.rint(np.asarray(y, float))
+    rng = np.random.default_rng(seed)
+    n, m = x.shape
+    out: list[list[Tree]] = [[] for _ in levels]
+    if n and m:
+        edges, binned = _bins(x, bins)
+        margins, is_level = np.zeros((n, len(levels))), (y[:, None] == np.array(levels)).astype(float)
+        for _ in range(trees):
+            p = _softmax(margins)
+            use, cols = _drawn(rng, n, m, rows, columns, min_child)
+            for k in range(len(levels)):
+                h = np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16)
+                out[k].append(_grow(binned, edges, is_level[:, k] - p[:, k], h, use, cols, depth, rate, min_child, penalty, bins))
+            for k, forest in enumerate(out):
+                margins[:, k] += forest[-1].value[forest[-1].leaf_of(x)]
+    return [(k, Forest(0.0, f)) for k, f in zip(levels, out)]
+
+
+def expected_level(models: list[tuple[int, Forest]], x: np.ndarray) -> np.ndarray:
+    """The expected level under the levels' probabilities."""
+    p = _softmax(np.stack([f.predict(x) for _, f in models], axis=1))
+    return p @ np.array([k for k, _ in models], float)

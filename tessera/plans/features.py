@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import text as T
 from tessera.functions.sets import pipe
-from tessera.functions.vocab import CASE_TAGS, FAMILY_KEYWORDS, MORPH_TAGS, POS_FAMILIES, SENTENCES, feature_family
+from tessera.functions.vocab import CASE_TAGS, FAMILY_KEYWORDS, MORPH_TAGS, POS_FAMILIES, SENTENCES
 from tessera.plans.ratings import RATINGS, latest, r6, ratings
 from tessera.session import table
 
@@ -102,27 +108,42 @@ def _sum_sql(names) -> str:
     return "(" + " + ".join(map(_tag_sql, names)) + ")"
 
 
-def _matrix_sql() -> str:
+def _parts_sql() -> dict[str, dict[str, str]]:
+    """The SQL of each feature by family."""
     s = {k: _sum_sql(v) for k, v in POS_FAMILIES.items()}
     n = f"CASE WHEN {_tag_sql(SENTENCES)} > 0 THEN {_tag_sql(SENTENCES)} ELSE 1 END"
     m, w = "CASE WHEN total > 0 THEN total ELSE 1 END", "CASE WHEN coalesce(len_word, 0) > 0 THEN len_word ELSE 1 END"
     ns = _tag_sql(SENTENCES)
     all_ = "(" + " + ".join(s.values()) + ")"
-    cols = {"meta_syllables": "coalesce(len_syllable, 0)", "meta_words": "coalesce(len_word, 0)", "meta_sentences": ns, "meta_syllables_per_sentence": f"CASE WHEN {ns} > 0 THEN coalesce(len_syllable, 0) / {ns}::DOUBLE ELSE 0 END", "meta_words_per_sentence": f"CASE WHEN {ns} > 0 THEN coalesce(len_word, 0) / {ns}::DOUBLE ELSE 0 END"}
-    tagged = {f"morph_prop__{i:02d}": f"CASE WHEN total > 0 THEN {_tag_sql(t)} / total::DOUBLE ELSE 0 END" for i, t in enumerate(MORPH_TAGS[:-1])}
-    tagged |= {
+    meta = {"meta_syllables": "coalesce(len_syllable, 0)", "meta_words": "coalesce(len_word, 0)", "meta_sentences": ns, "meta_syllables_per_sentence": f"CASE WHEN {ns} > 0 THEN coalesce(len_syllable, 0) / {ns}::DOUBLE ELSE 0 END", "meta_words_per_sentence": f"CASE WHEN {ns} > 0 THEN coalesce(len_word, 0) / {ns}::DOUBLE ELSE 0 END"}
+    morph = {f"morph_prop__{i:02d}": f"CASE WHEN total > 0 THEN {_tag_sql(t)} / total::DOUBLE ELSE 0 END" for i, t in enumerate(MORPH_TAGS[:-1])}
+    syn = {
         "syn_connective_per_sentence": f"{s['connective_ending']} / ({n})::DOUBLE", "syn_final_per_sentence": f"{s['final_ending']} / ({n})::DOUBLE", "syn_adnominal_ratio": f"{s['adnominal_ending']} / ({m})::DOUBLE",
         "syn_verb_ratio": f"{s['verb']} / ({m})::DOUBLE", "syn_adjective_ratio": f"{s['adjective']} / ({m})::DOUBLE", "syn_noun_ratio": f"{s['noun']} / ({m})::DOUBLE",
+    }
+    dis = {
         "dis_connective_adverb_per_sentence": f"{_tag_sql('접속 부사')} / ({n})::DOUBLE", "dis_pronoun_density": f"{s['pronoun']} / ({w})::DOUBLE", "dis_conjunctive_particle_per_sentence": f"{_tag_sql('접속 조사')} / ({n})::DOUBLE",
     }
     josa = _sum_sql(CASE_TAGS.values())
-    tagged |= {f"josa_{k}_count": _tag_sql(t) for k, t in CASE_TAGS.items()} | {"josa_total_count": josa}
-    tagged |= {f"josa_{k}_ratio": f"CASE WHEN {josa} > 0 THEN {_tag_sql(t)} / {josa}::DOUBLE ELSE 0 END" for k, t in CASE_TAGS.items()}
-    tagged["case_diversity"] = " + ".join(f"({_tag_sql(t)} > 0)::INT" for t in CASE_TAGS.values())
+    case = {f"josa_{k}_count": _tag_sql(t) for k, t in CASE_TAGS.items()} | {"josa_total_count": josa}
+    case |= {f"josa_{k}_ratio": f"CASE WHEN {josa} > 0 THEN {_tag_sql(t)} / {josa}::DOUBLE ELSE 0 END" for k, t in CASE_TAGS.items()}
+    case["case_diversity"] = " + ".join(f"({_tag_sql(t)} > 0)::INT" for t in CASE_TAGS.values())
     entropy = " + ".join(f"CASE WHEN {x} > 0 THEN -({x} / {all_}::DOUBLE) * log2({x} / {all_}::DOUBLE) ELSE 0 END" for x in s.values())
-    tagged["lex_pos_entropy"] = f"CASE WHEN {all_} > 0 THEN {entropy} ELSE 0 END"
-    cols |= {k: f"CASE WHEN feature IS NOT NULL THEN {c} END" for k, c in tagged.items()}
-    cols |= {"lex_ttr": "CASE WHEN len(toks) > 0 THEN len(list_distinct(toks)) / len(toks)::DOUBLE ELSE 0 END", "lex_types": "len(list_distinct(toks))"}
+    tagged = lambda cols: {k: f"CASE WHEN feature IS NOT NULL THEN {c} END" for k, c in cols.items()}
+    lex = tagged({"lex_pos_entropy": f"CASE WHEN {all_} > 0 THEN {entropy} ELSE 0 END"})
+    lex |= {"lex_ttr": "CASE WHEN len(toks) > 0 THEN len(list_distinct(toks)) / len(toks)::DOUBLE ELSE 0 END", "lex_types": "len(list_distinct(toks))"}
+    return {"meta": meta, "morph_prop": tagged(morph), "lex": lex, "case_marker": tagged(case), "syn": tagged(syn), "dis_nonSBERT": tagged(dis)}
+
+
+VOCAB = (*(f"vocab_grade_{k}_ratio" for k in range(1, 6)), "vocab_out_of_grade_ratio", "vocab_grade_mean", "vocab_graded_count")
+COHERENCE = ("coh_adjacent_mean", "coh_adjacent_std", "coh_adjacent_min", "coh_all_mean")
+#: The family of every feature, by what makes it.
+FAMILY_OF = {c: f for f, cols in _parts_sql().items() for c in cols} | dict.fromkeys(VOCAB, "vocab_grade") | dict.fromkeys(COHERENCE, "dis_SBERT")
+
+
+def _matrix_sql() -> str:
+    cols = {k: c for part in _parts_sql().values() for k, c in part.items()}
+    ns = _tag_sql(SENTENCES)
     return f"""WITH {ESSAYS}, t AS (SELECT *, coalesce(list_sum(map_values(feature)) - {ns}, 0)::BIGINT AS total, list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> '') AS toks FROM e)
 SELECT essay_id, {', '.join(f'round(({c})::DOUBLE, 6) AS {k}' for k, c in cols.items())} FROM t"""
 
@@ -132,7 +153,7 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = feature_matrix(spark, sf_dir)
     names = m.columns[1:]
     long = m.unpivot(["essay_id"], names, "feature", "value")
-    fam = F.create_map(*[F.lit(x) for c in names for x in (c, feature_family(c))])
+    fam = F.create_map(*[F.lit(x) for c in names for x in (c, FAMILY_OF[c])])
     v = F.col("value")
     g = long.groupBy("feature").agg(F.count(v).alias("n"), F.sum(v.isNull().cast("bigint")).alias("n_null"), F.round(F.avg(v), 5).alias("mean"), F.round(F.stddev_samp(v), 5).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     return g.withColumn("family", fam[F.col("feature")])
@@ -141,7 +162,7 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _summary_sql() -> str:
     m = _matrix_sql()
     names = [x.rsplit(" AS ", 1)[1] for x in m.rsplit("SELECT essay_id, ", 1)[1].rsplit(" FROM t", 1)[0].split(", round(")]
-    fam = "CASE feature " + " ".join(f"WHEN '{c}' THEN '{feature_family(c)}'" for c in names) + " END"
+    fam = "CASE feature " + " ".join(f"WHEN '{c}' THEN '{FAMILY_OF[c]}'" for c in names) + " END"
     return f"""WITH m AS ({m}), u AS (SELECT * FROM m UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(names)})))
 SELECT feature, count(value) AS n, sum((value IS NULL)::INT)::BIGINT AS n_null, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std, min(value) AS min, max(value) AS max, {fam} AS family FROM u GROUP BY feature"""
 
@@ -209,6 +230,55 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key`` and total, the sum of its vectors: summed by numpy within each batch, then once more."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                keys, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                rows = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                total = np.zeros((len(keys), rows.shape[1]))
+                np.add.at(total, at, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys).cast(b.schema.field(0).type), pa.array(list(total), pa.list_(pa.float64()))], names=[key, "total"])
+
+    parts = df.select(key, F.col(vector).cast("array<double>").alias("_v")).mapInArrow(run, f"`{key}` {kind}, total array<double>")
+    # a batch leaves one row a key, so few vectors meet here
+    return parts.groupBy(key).agg(F.collect_list("total").alias("_t")).select(key, F.aggregate(F.slice("_t", 2, 1 << 30), F.get("_t", 0), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("total"))
+
+
+def hashed_vectors(sentences: pd.Series, size: int = 64) -> pd.Series:
+    """A vector of each sentence's character trigrams, hashed: the encoder where none is given."""
+    def one(t: str) -> list[float]:
+        v = np.zeros(size)
+        for i in range(max(1, len(t) - 2)):
+            v[zlib.crc32(t[i : i + 3].encode("utf-8", "surrogatepass")) % size] += 1
+        return v.tolist()
+
+    return sentences.map(one)
+
+
+def essay_coherence(spark: SparkSession, sf_dir: str, encode=hashed_vectors) -> DataFrame:
+    """Coherence of each essay's sentences: divided, encoded batch by batch, aggregated by essay.
+
+    Essays without sentences have no row.
+    """
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield encode(s)
+
+    s = essays(spark, sf_dir).select("essay_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+    return coherence(s.select("essay_id", "at", vectors("sentence").alias("v")), "essay_id", "at", "v").drop("n_sentences")
+
+
+def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of all eight families by essay: the matrix with vocabulary grades and coherence joined to it."""
+    m = feature_matrix(spark, sf_dir).join(vocab_features(spark, sf_dir).withColumn("vocab_graded_count", F.col("vocab_graded_count").cast("double")), "essay_id", "left")
+    return m.join(essay_coherence(spark, sf_dir), "essay_id", "left")
+
+
 def coherence(df: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     """By ``key``: mean, population deviation and least of adjacent cosines, and mean of all pairs'.
 
@@ -220,7 +290,7 @@ def coherence(df: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(order)
     adjacent = v.withColumn("p", F.lag("u").over(w)).withColumn("c", dot(F.col("u"), F.col("p")))
     a = adjacent.groupBy(key).agg(F.count("*").alias("n"), F.sum("nz").alias("nz"), F.avg("c").alias("m"), F.stddev_pop("c").alias("s"), F.min("c").alias("least"))
-    sums = v.select(key, F.posexplode("u").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x")).groupBy(key).agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    sums = vector_sums(v.select(key, "u"), key, "u").select(key, dot(F.col("total"), F.col("total")).alias("q"))
     n = F.col("n")
     some = lambda c: F.when(n > 1, c).otherwise(F.lit(0.0))
     j = a.join(sums, key)
@@ -244,6 +314,8 @@ QUERIES = {
     "sentence_stats": sentence_stats,
     "feedback_families": feedback_families,
     "coherence_by_label": coherence_by_label,
+    "essay_coherence": essay_coherence,
+    "all_features": all_features,
     "text_digests": text_digests,
 }
 

@@ -10,26 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import stats
-from tessera.functions.vocab import FAMILIES, feature_family
+from tessera.functions.vocab import FAMILIES
 from tessera.operators import boosting, sample
-from tessera.plans.features import feature_matrix
-from tessera.plans.ratings import paired, r6
+from tessera.plans.features import FAMILY_OF, all_features
+from tessera.plans.ratings import latest, paired, r6
 from tessera.plans.sampling import rated
-from tessera.session import cut
+from tessera.session import cut, table
 
 #: Labelled rows by trait on which models are fitted, and rows of a fold's background: the first in
 #: an order by hash.  All rows are predicted and attributed.
 TRAIN_ROWS, BACKGROUND = 20_000, 100
 FOLDS = 5
-HOW = {"trees": 40, "depth": 4, "rate": 0.1}
+#: Tasks for fitting, and for predicting and attributing; the latter split hot models' rows.
+TASKS = 192
+HOW = {"trees": 500, "depth": 6, "rate": 0.05}
 LEAST_ROWS = 10  # a fold with fewer training rows, or without variation, is skipped
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """essay_id, trait, y (mean of both raters), fold and all features, and the features' names."""
-    m = feature_matrix(spark, sf_dir)
+    """essay_id, trait, y (mean of both raters), fold and all features, and the features' names.
+
+    The holistic score, of round 1, is a target like the traits.
+    """
+    m = all_features(spark, sf_dir)
     names = m.columns[1:]
     y = paired(spark, sf_dir).where("rating_round = 1").select("essay_id", "trait", ((F.col("r1") + F.col("r2")) / 2).alias("y"))
+    order = ["scored_at", "score_rater1", "score_rater2", "rater1_id", "rater2_id"]
+    h = latest(table(spark, sf_dir, "holistic_scores").where("rating_round = 1").select("essay_id", *order), ["essay_id"], order).where("score_rater1 BETWEEN 1 AND 5 AND score_rater2 BETWEEN 1 AND 5")
+    y = y.unionByName(h.select("essay_id", F.lit("holistic").alias("trait"), ((F.col("score_rater1") + F.col("score_rater2")) / 2).alias("y")))
     folds = sample.stratified_folds(rated(spark, sf_dir).where("grade IS NOT NULL").select("essay_id", "grade"), "grade", "essay_id", FOLDS).select("essay_id", "fold")
     return y.join(folds, "essay_id").join(m, "essay_id"), names
 
@@ -51,11 +59,13 @@ class Models:
             model = boosting.fit_ordinal(x, y, **HOW) if ordinal else boosting.fit(x, y, **HOW)
             return pd.DataFrame({"trait": [key[0]], "fold": [key[1]], "n_train": [len(rows)], "model": [pickle.dumps((model, x[:BACKGROUND]))]})
 
-        fitted = others.groupBy("trait", "test_fold").applyInPandas(train, "trait string, fold int, n_train bigint, model binary")
+        # each model in a task of its own: small shuffles would be merged into one
+        fitted = others.repartition(TASKS, "trait", "test_fold").groupBy("trait", "test_fold").applyInPandas(train, "trait string, fold int, n_train bigint, model binary")
         # traits times folds of some 100 kB, whatever the number of rows
-        models = {(r["trait"], r["fold"]): pickle.loads(r["model"]) for r in fitted.toLocalIterator()}
+        models = {(r["trait"], r["fold"]): pickle.loads(r["model"]) for r in fitted.collect()}
         self.held = data.sparkSession.sparkContext.broadcast(models)
-        self.data, self.ordinal = data, ordinal
+        # rows of one model lie together, so that a task walks through few models' leaves
+        self.data, self.ordinal = data.repartitionByRange(TASKS, "trait", "fold", F.xxhash64("essay_id")), ordinal
 
     def predictions(self) -> DataFrame:
         held, names, ordinal = self.held, self.names, self.ordinal
@@ -77,8 +87,8 @@ class Models:
     def attributions(self) -> DataFrame:
         """essay_id, trait, fold, one column by family, expected value, and how far they miss the prediction."""
         held, names = self.held, self.names
-        members = {f: [i for i, n in enumerate(names) if feature_family(n) == f] for f in FAMILIES}
-        unknown = [n for n in names if feature_family(n) == "unknown"]
+        members = {f: [i for i, n in enumerate(names) if FAMILY_OF.get(n) == f] for f in FAMILIES}
+        unknown = [n for n in names if n not in FAMILY_OF]
         if unknown:
             raise ValueError(f"features without a family: {unknown[:5]}")
 

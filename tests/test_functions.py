@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import annotations as A
 from tessera.functions import nulls, rules, sets, text
-from tessera.functions.vocab import FAMILIES, FAMILY_KEYWORDS, TRAITS, feature_family
+from tessera.functions.vocab import FAMILIES, FAMILY_KEYWORDS, TRAITS
 from tessera.operators import rank, sample
 from tessera.plans import joined
-from tessera.plans.features import clean_lexicon, coherence, owners
+from tessera.plans.features import FAMILY_OF, clean_lexicon, coherence, owners, vector_sums
 from tessera.plans.ratings import rubric_key_parts
 
 
@@ -56,8 +56,7 @@ def test_ranks(spark):
 
 
 def test_families_of_columns():
-    names = ["meta_x", "morph_prop__01", "lex_ttr", "vocab_x", "josa_x", "case_diversity", "syn_x", "dis_x", "dis_sbert_x", "sbert_y", "coh_z", "other"]
-    assert [feature_family(n) for n in names] == ["meta", "morph_prop", "lex", "vocab_grade", "case_marker", "case_marker", "syn", "dis_nonSBERT", "dis_SBERT", "dis_SBERT", "dis_SBERT", "unknown"]
+    assert set(FAMILY_OF.values()) == set(FAMILIES) and FAMILY_OF["case_diversity"] == "case_marker" and FAMILY_OF["lex_ttr"] == "lex"
     owners = [k for ks in FAMILY_KEYWORDS.values() for k in ks]
     assert len(owners) == len(set(owners)) == 36 and set(FAMILY_KEYWORDS) == set(FAMILIES)
 
@@ -275,3 +274,9 @@ def test_rubric_blocks(spark, tmp_path):
 def test_patches_are_made_in_turn(spark):
     df = spark.createDataFrame([("a  bㆍc...",), (None,)], "t string")
     assert [r[0] for r in df.select(joined.patched(df.t)).collect()] == ["a b·c…", None]
+
+
+def test_vector_sums(spark):
+    rows = [(i % 3 if i else None, [float(i), 1.0]) for i in range(50)]
+    got = {r.k: r.total for r in vector_sums(spark.createDataFrame(rows, "k int, v array<double>").where("k IS NOT NULL").repartition(3), "k", "v").collect()}
+    assert got == {k: [float(sum(i for i in range(1, 50) if i % 3 == k)), float(sum(1 for i in range(1, 50) if i % 3 == k))] for k in range(3)}
