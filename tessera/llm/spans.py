@@ -7,13 +7,15 @@ whole spans around them.  Texts that share a span are a class of that span; only
 it into pairs, and what of a text is shared elsewhere needs no pairs at all.  Candidate pairs are
 aligned: matches are merged into segments, and these chained with gap costs through a Fenwick tree.
 
-Fuzzy passages are found with shorter seeds.  Each seed links its texts to the one with the smallest
-id; the seeds of a link are chained, the chain is cut where it costs more than it gains, and every
-piece is aligned and reported.
+Fuzzy passages are found with shorter seeds, so dense that every pair with a passage shares some.
+All such pairs are looked at; their matches are chained, the chain is cut where it costs more than it
+gains, and every piece is aligned and reported.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,11 @@ HOT, HOT_CONTEXT = 16, 64
 STEP = 10  # offsets of a span around a seed that share one context key
 LINK = 16  # length of the matches within a pair
 GAP_COST = 0.05  # what a chain pays for each code point between two segments
-FUZZY_SEED, FUZZY_WINDOW = 24, 48  # k-mers of fuzzy passages, one in each stretch of that length
-FUZZY_SEEDS = 3  # chosen seeds that two texts with a passage share: unaltered stretches hold one in 13 code points
+FUZZY_SEED = 24  # length of the matches within a fuzzy passage
+FUZZY_KEY, FUZZY_WINDOW = 16, 24  # k-mers that are joined for fuzzy passages, one in each stretch of a match's length
+#: Chosen k-mers that two texts with a passage share: of three segments each holds one, two hold four, a single one eight.
+FUZZY_SEEDS = 3
+CELL = 20_000  # pairs of texts that are aligned in one task
 FUZZY, ALIKE = 200, 0.8  # code points of a fuzzy passage, and the part of them that must match
 FUZZY_GAP = 0.5  # what a chain of seeds pays for each code point between two: beyond two seeds' length it ends
 
@@ -439,44 +444,111 @@ def matched(a: np.ndarray, b: np.ndarray, held: list[tuple[int, int, int]]) -> i
     return n
 
 
+def may_hold(hashes: np.ndarray, other: np.ndarray, least: int, alike: float, seed: int = FUZZY_SEED) -> bool:
+    """Can a text with these k-mers hold a passage with one that has the (sorted) others?
+
+    A chain whose gaps cost FUZZY_GAP for each code point of either text is worth more than nothing, so that
+    its segments are more than a quarter of both extents together, and ``alike`` bounds the other extent.
+    So no passage is lost where no stretch of that length is covered that far by shared k-mers.
+    """
+    if not len(other) or len(hashes) + seed - 1 < least:
+        return False
+    at = np.flatnonzero(other[np.minimum(np.searchsorted(other, hashes), len(other) - 1)] == hashes)
+    n = len(hashes) + seed - 1
+    part = 0.25 * (1 + alike)
+    if not len(at):
+        return False
+    change = np.zeros(n + 1, np.int64)
+    change[at] += 1
+    change[at + seed] -= 1
+    sums = np.r_[0.0, np.cumsum((np.cumsum(change[:-1]) > 0) - part)]
+    return bool((sums[least:] - np.minimum.accumulate(sums[: n - least + 1])).max() > 0)
+
+
+def _counted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id`` and ``key`` of all chosen k-mers of fuzzy passages; what a text repeats has a key for each time."""
+
+    def run(batches):
+        for b in batches:
+            ids, keys = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.sort(winnow(points(t), FUZZY_WINDOW, FUZZY_KEY)[0])
+                new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+                time = np.arange(len(h)) - np.repeat(new, np.diff(np.r_[new, len(h)]))
+                ids.append(np.full(len(h), d, np.int64))
+                keys.append(np.where(time > 0, _mix(h + time.astype(np.uint64)), h).view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["id", "key"])
+
+    return docs.select(key, text).mapInArrow(run, "id bigint, key bigint")
+
+
+def fuzzy_pairs(docs: DataFrame, pairs: DataFrame, least: int, alike: float) -> DataFrame:
+    """The passages of the pairs a, b, as :func:`passages` gives them; docs: id, text, each id once or as a copy of its row.
+
+    Texts and pairs go to cells of the square of ids, so that a text is sent once to a cell, not to each of its pairs.
+    """
+    schema = "doc_id bigint, begin int, end int, other_id bigint, other_begin int, other_end int, matched int"
+    fields = pa.schema([(n, pa.int64() if n.endswith("_id") else pa.int32()) for n in ("doc_id", "begin", "end", "other_id", "other_begin", "other_end", "matched")])
+    side = max(1, math.ceil((pairs.count() / CELL) ** 0.5))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    placed = pairs.select("a", "b", (block("a") * side + block("b")).alias("cell"))
+    texts = placed.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(docs, "id").select(F.col("cell").alias("of_cell"), "id", "text")
+
+    def run(own: pa.Table, held_texts: pa.Table) -> pa.Table:
+        known = dict(zip(held_texts.column("id").to_pylist(), held_texts.column("text").to_pylist()))
+        read: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def of(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if d not in read:
+                x = points(known[d])
+                h = Hashes(x).of(np.arange(len(x) - FUZZY_SEED + 1), FUZZY_SEED)
+                read[d] = x, h, np.unique(h)
+            return read[d]
+
+        out = []
+        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
+            (x, h, _), (y, _, other) = of(a), of(b)
+            if not may_hold(h, other, least, alike):
+                continue
+            for held in pieces(segments(x, y, least, FUZZY_SEED)):
+                i, j = held[0][:2]
+                ie, je = held[-1][0] + held[-1][2], held[-1][1] + held[-1][2]
+                if ie - i >= least and (n := matched(x, y, held)) >= alike * max(ie - i, je - j):
+                    out.append({"doc_id": a, "begin": i, "end": ie, "other_id": b, "other_begin": j, "other_end": je, "matched": n})
+        return pa.Table.from_pylist(out, schema=fields)
+
+    return placed.groupBy("cell").cogroup(texts.groupBy("of_cell")).applyInArrow(run, schema)
+
+
 def passages(docs: DataFrame, key: str, text: str, least: int = FUZZY, alike: float = ALIKE) -> DataFrame:
     """doc_id, begin, end, other_id, other_begin, other_end, matched: passages that stand, perhaps altered, in another text too.
 
-    A passage is a chain of shared seeds of at least ``least`` code points of which the part ``alike``
-    or more match; its texts share at least FUZZY_SEEDS seeds.  A seed links each of its texts to the one with the smallest id, so a seed that
-    N texts hold makes N - 1 links.  Exact copies are linked to their class's smallest id as a whole.
+    A passage is a chain of segments of at least ``least`` code points of which the part ``alike`` or more
+    match.  All pairs doc_id > other_id that hold one are found: its segments hold FUZZY_SEEDS stretches of
+    FUZZY_WINDOW, in each of which both texts choose the same k-mer.  Exact copies are compared once and
+    stand in the result with all that their text shares, and with each other as a whole.
     Null texts and texts shorter than ``least`` have no passages.
     """
     long = _long(docs, key, text, least)
     repeated = cut(copies(long))
-    reps = long.join(repeated.where("id <> rep").select("id"), "id", "left_anti")
-    found = cut(seeds(reps, "id", "text", FUZZY_WINDOW, FUZZY_SEED))
-    first = found.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    linked = cut(found.join(first, "key"))
-    own = cut(linked.groupBy("id").agg(F.collect_list("key").alias("keys")))  # a text's own seeds
-    star = linked.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    star = star.join(own.select(F.col("id").alias("a"), F.col("keys").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("keys").alias("_b")), "b")
-    star = star.where(F.size(F.array_intersect("_a", "_b")) >= FUZZY_SEEDS).select("a", "b")
-    schema = "doc_id bigint, begin int, end int, other_id bigint, other_begin int, other_end int, matched int"
-    fields = pa.schema([(n, pa.int64() if n.endswith("_id") else pa.int32()) for n in ("doc_id", "begin", "end", "other_id", "other_begin", "other_end", "matched")])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(*(batch.column(x).to_pylist() for x in range(4))):
-                x, y = points(ta), points(tb)
-                for held in pieces(segments(x, y, least, FUZZY_SEED)):
-                    i, j = held[0][:2]
-                    ie, je = held[-1][0] + held[-1][2], held[-1][1] + held[-1][2]
-                    if ie - i >= least and (n := matched(x, y, held)) >= alike * max(ie - i, je - j):
-                        out.append({"doc_id": a, "begin": i, "end": ie, "other_id": b, "other_begin": j, "other_end": je, "matched": n})
-            yield pa.RecordBatch.from_pylist(out, schema=fields)
-
-    ta, tb = reps.select(F.col("id").alias("a"), F.col("text").alias("_ta")), reps.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
-    fuzzy = star.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, schema)
+    reps = long.join(repeated.where("id <> rep").select("id"), "id", "left_anti").distinct()
+    found = cut(_counted(reps, "id", "text"))
+    a, b = found.select("key", F.col("id").alias("a")), found.select("key", F.col("id").alias("b"))
+    linked = a.join(b, "key").where("a > b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= (FUZZY_SEEDS if least >= FUZZY and alike >= ALIKE else 1)).select("a", "b")
+    # a copy of b may have a larger id than a, and then is the one whose passages are asked for
+    last = repeated.groupBy("rep").agg(F.max("id").alias("last"))
+    linked = linked.join(last.withColumnRenamed("rep", "b"), "b", "left").select("a", "b", (F.col("last") > F.col("a")).alias("_turn"))
+    star = cut(linked.select(F.explode(F.when(F.col("_turn"), F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).otherwise(F.array(F.struct("a", "b")))).alias("p")).select("p.*"))
+    fuzzy = fuzzy_pairs(reps, star, least, alike)
+    for side in ("doc_id", "other_id"):
+        fuzzy = fuzzy.join(repeated.select(F.col("id").alias("_id"), F.col("rep").alias(side)), side, "left").withColumn(side, F.coalesce("_id", side)).drop("_id")
     n = F.char_length("text").cast("int")
-    whole = long.join(repeated.where("id <> rep"), "id").select(F.col("id").alias("doc_id"), F.lit(0).alias("begin"), n.alias("end"), F.col("rep").alias("other_id"), F.lit(0).alias("other_begin"), n.alias("other_end"), n.alias("matched"))
-    return fuzzy.unionByName(whole.distinct())
+    first, second = repeated.select("rep", F.col("id").alias("doc_id")), repeated.select("rep", F.col("id").alias("other_id"))
+    sizes = long.join(repeated.where("id = rep"), "id").select("rep", n.alias("n")).distinct()
+    whole = first.join(second, "rep").where("doc_id > other_id").join(sizes, "rep")
+    whole = whole.select("doc_id", F.lit(0).alias("begin"), F.col("n").alias("end"), "other_id", F.lit(0).alias("other_begin"), F.col("n").alias("other_end"), F.col("n").alias("matched"))
+    return fuzzy.where("doc_id > other_id").select(*whole.columns).unionByName(whole)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

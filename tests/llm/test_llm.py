@@ -542,6 +542,34 @@ def test_passages(spark):
     assert spans.passages(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").collect() == []
 
 
+def test_passages_are_found_in_all_pairs(spark):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("가나다라마바사아자차카타파하 abcdefgh.") for _ in range(n))
+
+    def altered(t, every):
+        return "".join("쀍" if x % every == every - 1 else c for x, c in enumerate(t))
+
+    one, two, phrases = text(260), text(300), [text(r.choice((20, 30, 40))) for _ in range(12)]
+    docs = [
+        (1, one[:120] + text(300)), (2, text(150) + one[120:]), (3, text(40) + one + text(30)), (4, one + text(60)),  # 1 and 2 hold each seed of 3 and 4
+        (5, two), (6, altered(two, 31) + text(20)), (7, text(10) + altered(two, 27)),  # few or none of the stretches of 48 are left
+        (8, two), (9, two), (10, (text(30) + "ab") * 3 + two[:210]),
+        *((20 + d, "".join(r.choice(phrases) + text(r.choice((0, 5))) for _ in range(12))) for d in range(12)),
+    ]
+    got = sorted(tuple(x) for x in spans.passages(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect())
+    want = []
+    for a, ta in docs:
+        for b, tb in docs:
+            if a > b:
+                x, y = spans.points(ta), spans.points(tb)
+                for held in [[(0, 0, len(x))]] if ta == tb else spans.pieces(spans.segments(x, y, 200, 24)):
+                    i, j, ie, je = *held[0][:2], held[-1][0] + held[-1][2], held[-1][1] + held[-1][2]
+                    if ie - i >= 200 and (n := spans.matched(x, y, held)) >= 0.8 * max(ie - i, je - j):
+                        want.append((a, i, ie, b, j, je, n))
+    assert got == sorted(want)
+    assert {(4, 3), (9, 8), (8, 5), (7, 5), (9, 7), (10, 9)} <= {(x[0], x[3]) for x in got}
+
+
 def test_winnow_chooses_alike_in_every_span():
     r = np.random.default_rng(0)
     span = r.integers(0, 3, 200).astype(np.uint32)
