@@ -30,7 +30,7 @@ SIMILAR = 0.5  # Jaccard of trigrams at which a sentence belongs to its cluster
 WHOLE_BANDS, WHOLE_ROWS, WHOLE_SIMILAR = 24, 8, 0.8  # of whole responses that have no main sentence: 98.8 % share a band
 TOPICS = 3  # topics across which a template recurs
 MAIN_SHARE = 0.8  # of a template's occurrences that are main parts
-HELD_TOPS = 500_000  # bands of possible templates that may be broadcast (some 12 MB)
+HELD_TOPS = 500_000  # bands of possible templates that may be broadcast (some 130 bytes each in memory)
 CHANCE = 0.01  # of a cluster being that concentrated by accident, over all clusters together
 LEFT_OVER = 25  # letters and digits that a refusal may hold besides, or else less than half of them
 COPY_GRAM = 6  # characters of the prompt that count as its wording
@@ -205,12 +205,15 @@ def similar(tops: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
 
     tops: band, rep, size (of its trigrams); reps: id, whole, grams of the tops among others; texts: id,
     bands, grams.  A text meets one top in each of its bands, so there are never more pairs than bands.
+
+    Arrays are planned as if they held one value, so that the tables of trigrams would seem small enough to
+    broadcast, through the driver: they are merged.
     """
     mine = F.size("grams")
     pairs = texts.select("id", mine.alias("_n"), F.explode("bands").alias("band")).join(tops, "band")
     # the share that is common can't exceed that of the smaller in the larger
     pairs = pairs.where(F.least("_n", "size") >= SIMILAR * F.greatest("_n", "size")).select("rep", "id").distinct()
-    pairs = pairs.join(texts.select("id", F.col("grams").alias("_a")), "id").join(reps.select(F.col("id").alias("rep"), "whole", F.col("grams").alias("_b")), "rep")
+    pairs = pairs.join(texts.select("id", F.col("grams").alias("_a")).hint("merge"), "id").join(reps.select(F.col("id").alias("rep"), "whole", F.col("grams").alias("_b")).hint("merge"), "rep")
     both = F.size(F.array_intersect("_a", "_b"))
     least = F.when(F.col("whole"), WHOLE_SIMILAR).otherwise(SIMILAR)
     return pairs.where(both >= least * (F.size("_a") + F.size("_b") - both)).select("rep", "id")
@@ -245,15 +248,15 @@ def templates(each: DataFrame) -> DataFrame:
     tops = mains.select("id", "n", F.size("grams").alias("size"), F.explode("bands").alias("band")).groupBy("band").agg(F.max_by(F.struct("id", "size"), F.struct("n", "id")).alias("r"), F.sum("n").alias("n"))
     # what doesn't meet TOPICS occurrences in a band can't recur in as many topics
     tops = cut(tops.where(F.col("n") >= TOPICS).select("band", F.col("r.id").alias("rep"), "r.size"))
-    near = cut(similar(tops, mains, mains))
-    by_topic = near.join(each.where("main").groupBy(key, "topic").agg(F.count("*").alias("n")), "id").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
+    near = cut(similar(tops.hint("merge"), mains, mains))
+    by_topic = near.join(each.where("main").groupBy(key, "topic").agg(F.count("*").alias("n")).hint("merge"), "id").groupBy("rep", "topic").agg(F.sum("n").alias("n"))
     seen = cut(by_topic.groupBy("rep").agg(F.sum("n").alias("n_main"), F.count("topic").alias("n_topics")))
     n_clusters = seen.count()
     recur = seen.where((F.col("n_topics") >= TOPICS) & concentrated(F.col("n_main"), F.lit(0), base, n_clusters))
     others = texts.where("n_other > 0")
     held_tops = cut(tops.join(recur.select("rep"), "rep", "left_semi").select("band", "rep", "size"))
-    held_tops = F.broadcast(held_tops) if held_tops.count() <= HELD_TOPS else held_tops  # else all sentences' bands are shuffled
-    n_other = similar(held_tops, mains, others).join(others.select("id", "n_other"), "id").groupBy("rep").agg(F.sum("n_other").alias("n_other"))
+    held_tops = F.broadcast(held_tops) if held_tops.count() <= HELD_TOPS else held_tops.hint("merge")  # else all sentences' bands are shuffled
+    n_other = similar(held_tops, mains, others).join(others.select("id", "n_other").hint("merge"), "id").groupBy("rep").agg(F.sum("n_other").alias("n_other"))
     weighed = recur.join(n_other, "rep", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
     held = weighed.where((F.col("n_main") >= MAIN_SHARE * (F.col("n_main") + F.col("n_other"))) & concentrated(F.col("n_main"), F.col("n_other"), base, n_clusters))
     return near.join(held.select("rep"), "rep", "left_semi").select("id").distinct()

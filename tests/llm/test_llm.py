@@ -220,6 +220,15 @@ def test_variants_of_a_template_are_found(spark):
     assert judged_defects(spark, rows + sound(100, TOPICS)) == {i: "refusal" for i in range(36)}
 
 
+def test_tables_of_trigrams_are_not_broadcast(spark):
+    texts = pairs.sketched(spark.createDataFrame([("가나다라마바사", False, 1), ("가나다라마바자", False, 2)], "text string, whole boolean, id long"))
+    tops = texts.select(F.explode("bands").alias("band"), F.col("id").alias("rep"), F.size("grams").alias("size")).groupBy("band").agg(F.min("rep").alias("rep"), F.min("size").alias("size"))
+    for held, n in ((tops.hint("merge"), 0), (F.broadcast(tops), 1)):
+        near = pairs.similar(held, texts, texts)
+        assert near._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == n
+        assert (1, 1) in {tuple(x) for x in near.collect()}
+
+
 def test_refusals_of_any_length(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("가나다라마바사아자차카타파하") for _ in range(3))
