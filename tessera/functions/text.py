@@ -67,15 +67,32 @@ def has_sequence(toks: Column, keyword: tuple[str, ...]) -> Column:
     return F.when(F.size(toks) >= n, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(toks) - n + 1)), lambda i: F.slice(toks, i, n) == want)).otherwise(F.lit(False))
 
 
+def spaced(c: Column) -> Column:
+    """The :func:`tokens` as one text, with blanks between and around them."""
+    return F.lower(F.concat(F.lit(" "), F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z가-힣]+", " "), F.lit(" ")))
+
+
+def named_families(text: Column, keywords: dict[str, tuple] = FAMILY_KEYWORDS) -> Column:
+    """The families that a :func:`spaced` text names, in the fixed order.
+
+    As a function of one bound value, so that the text is made once, not for each keyword.
+    """
+
+    def named(t: Column) -> Column:
+        hits = []
+        for f in FAMILIES:
+            any_ = F.lit(False)
+            for k in keywords.get(f, ()):
+                any_ = any_ | F.contains(t, F.lit(f" {' '.join(k)} "))
+            hits.append(F.when(any_, F.lit(f)))
+        return F.array_compact(F.array(*hits))
+
+    return F.transform(F.array(text), named)[0]
+
+
 def families(toks: Column, keywords: dict[str, tuple] = FAMILY_KEYWORDS) -> Column:
     """The families that the tokens name, in the fixed order."""
-    hits = []
-    for f in FAMILIES:
-        any_ = F.lit(False)
-        for k in keywords.get(f, ()):
-            any_ = any_ | has_sequence(toks, k)
-        hits.append(F.when(any_, F.lit(f)))
-    return F.array_compact(F.array(*hits))
+    return named_families(F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")), keywords)
 
 
 def analyser_udf(make: Callable[[], Callable[[str], list[tuple[str, str]]]]):

@@ -111,6 +111,21 @@ evidence AS (SELECT b.essay_id, trait, b.purpose, r1, r2, (r1 + r2) / 2.0 AS hum
 coded AS (SELECT *, llm_score IS NULL AS llm_is_na, {_CODE.format('llm_score')} AS llm_code, {_CODE.format('human_mean')} AS human_code FROM evidence)"""
 
 
+def coded_counts(spark: SparkSession, sf_dir: str, rounds: bool = False) -> DataFrame:
+    """trait, first (is it of round 1 and a known trait?), r1, r2, llm_code, human_code, llm_families and n: the rated
+    cells of :func:`evidence`, with ``rounds`` those of all rounds, as counts of those alike.
+
+    What needs no more than codes and families is a statistic of these counts, so that each table is read once.
+    """
+    first = (F.col("rating_round") == 1) & F.col("trait").isin(list(TRAITS))
+    r = ratings(spark, sf_dir)
+    r = (r if rounds else r.where(first)).select("essay_id", "trait", first.alias("first"), "r1", "r2", F.when(first, T.named_families(T.spaced(F.col("feedback")))).alias("llm_families"))
+    p = oof(spark, sf_dir).where("cv_scheme = 'grade_stratified'").select("essay_id", "trait", code(stats.clip_round(F.col("y_pred"))).alias("llm_code"))
+    m = r.join(p, ["essay_id", "trait"], "left").withColumn("llm_code", F.coalesce("llm_code", F.lit("NA")))
+    c = m.groupBy("trait", "first", "r1", "r2", "llm_code", "llm_families").agg(F.count("*").alias("n"))
+    return c.withColumn("human_code", code((F.col("r1") + F.col("r2")) / 2))
+
+
 def evidence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evidence(spark, sf_dir)
     return m.select("essay_id", "trait", "purpose", "human_r1", "human_r2", "human_mean", "human_disagreement", "llm_score", "llm_is_na", "llm_code", "human_code", "feedback_impure_50", r6(F.col("justification_rate")).alias("justification_rate"), "tau_mean_min", "tau_unstable_any", "stability_jaccard", "jaccard_unstable", "family_rubric_match")
@@ -166,13 +181,15 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("justification_max", "jaccard_min").agg(F.sum(n).alias("n"), share(civ).alias("civ_rate"), share(ur).alias("ur_rate"), share(civ | ur).alias("either_rate"))
 
 
-def na_kappa(a: str, b: str):
-    """Linear kappa of two code columns with NA as a category of its own, as an aggregate."""
+def na_kappa(a: str, b: str, times=None):
+    """Linear kappa of two code columns with NA as a category of its own, as an aggregate; ``times`` is how often a row counts."""
     codes = ["NA", "하", "중", "상"]
     w = lambda x, y: 0.0 if x == y else 1.0 if "NA" in (x, y) else abs(codes.index(x) - codes.index(y)) / 2
-    n = F.count("*")
-    share = lambda c, v: F.sum((F.col(c) == v).cast("double")) / n
-    num = sum((F.sum(((F.col(a) == x) & (F.col(b) == y)).cast("double")) / n * w(x, y) for x in codes for y in codes if x != y), F.lit(0.0))
+    k = F.lit(1) if times is None else times
+    n = F.sum(k)
+    held = lambda c: F.sum(F.when(c, k).otherwise(0).cast("double"))
+    share = lambda c, v: held(F.col(c) == v) / n
+    num = sum((held((F.col(a) == x) & (F.col(b) == y)) / n * w(x, y) for x in codes for y in codes if x != y), F.lit(0.0))
     den = sum((share(a, x) * share(b, y) * w(x, y) for x in codes for y in codes if x != y), F.lit(0.0))
     return F.when(den != 0, 1 - num / den)
 

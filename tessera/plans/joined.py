@@ -76,14 +76,18 @@ def area_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By trait, three agreement tables joined to the list of traits: mean and median overlap of named with
     the area's families, and with all of them, and the kappa of codes."""
     area = F.create_map(*[F.lit(x) for t, a in TRAIT_AREA.items() for x in (t, F.array(*map(F.lit, AREA_FAMILIES[a][0])))])
-    e = decisions.evidence(spark, sf_dir).select("trait", "llm_families", "llm_code", "human_code", area[F.col("trait")].alias("own"))
-    both, any_ = F.size(F.array_intersect("llm_families", "own")), F.size(F.array_union("llm_families", "own"))
-    named = e.where(F.size("llm_families") > 0)
-    one = named.withColumn("v", both / any_).groupBy("trait").agg(F.count("*").alias("n_named"), r6(F.avg("v")).alias("overlap_mean"), r6(F.percentile("v", F.lit(0.5))).alias("overlap_median"))
-    two = named.groupBy("trait").agg(r6(F.avg((both == F.size("own")).cast("double"))).alias("covered_rate"))
-    three = e.groupBy("trait").agg(r6(decisions.na_kappa("llm_code", "human_code")).alias("kappa"))
-    traits = spark.createDataFrame([(t,) for t in TRAITS], "trait string")
-    return reduce(lambda a, b: a.join(b, "trait", "left"), (one, two, three), traits)
+    own, n = area[F.col("trait")], F.col("n")
+    both, any_ = F.size(F.array_intersect("llm_families", own)), F.size(F.array_union("llm_families", own))
+    named = F.size("llm_families") > 0
+    e = decisions.coded_counts(spark, sf_dir).select("trait", "llm_code", "human_code", "n", F.when(named, both / any_).alias("v"), F.when(named, (both == F.size(own)).cast("int")).alias("all"), F.when(named, n).alias("k"))
+    g = e.groupBy("trait").agg(
+        F.sum("k").alias("n_named"),
+        r6(F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("overlap_mean"),
+        r6(F.percentile("v", F.lit(0.5), F.coalesce("k", F.lit(0)))).alias("overlap_median"),
+        r6(F.sum(F.col("k") * F.col("all")) / F.sum("k")).alias("covered_rate"),
+        r6(decisions.na_kappa("llm_code", "human_code", n)).alias("kappa"),
+    )
+    return spark.createDataFrame([(t,) for t in TRAITS], "trait string").join(g, "trait", "left")
 
 
 def round_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

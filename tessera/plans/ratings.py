@@ -28,7 +28,10 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in keys]
     kept = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return df.where(kept).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    # one struct, in which what decides stands first: a value and its order apart would hold the texts twice
+    own = [c for c in order if c in rest]
+    r = F.max_by(F.struct(*rest), F.struct(*order)) if own != order or any("map<" in t or t == "variant" for _, t in df.dtypes) else F.max(F.struct(*order, *(c for c in rest if c not in order)))
+    return df.where(kept).groupBy(*keys).agg(r.alias("_r")).select(*keys, *(F.col(f"_r.{c}") for c in rest))
 
 
 ORDER = ["received_at", "scored_at", "score_rater1", "score_rater2", "rater1_id", "rater2_id", "feedback", "rubric_key", "source"]
