@@ -215,11 +215,21 @@ def triangulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By rubric area: weighted and unweighted agreements, and which is closer to the raters."""
     area = F.create_map(*[F.lit(x) for kv in TRAIT_AREA.items() for x in kv])
     fam = F.array(*map(F.lit, AREA_FAMILIES["expression"][0]))
-    m = evidence(spark, sf_dir)
-    ll = m.groupBy("trait").agg(na_kappa("llm_code", "human_code").alias("b"))
-    sh = m.where(F.size("llm_families") > 0).groupBy("trait").agg(F.avg(jaccard(F.col("llm_families"), fam)).alias("a"))
-    q = paired(spark, sf_dir).groupBy("trait").agg(reliability_weight(stats.qwk(F.col("r1"), F.col("r2"))).alias("w"))
-    t = ll.join(sh, "trait", "left").join(q, "trait", "left").withColumn("w", F.coalesce("w", F.lit(1.0))).withColumn("rubric_domain", area[F.col("trait")])
+    m, n, x, y = coded_counts(spark, sf_dir, True), F.col("n"), F.col("r1"), F.col("r2")
+    named = F.col("first") & (F.size("llm_families") > 0)
+    both = x.isNotNull() & y.isNotNull()
+    total = lambda c, v: F.sum(F.when(c, n * v))
+    # of whole numbers, so that raters without any variation have exactly none
+    k, sx, sy, squares = (total(both, v).cast("decimal(18,0)") for v in (F.lit(1), x, y, x * x + y * y))
+    d = (k * squares - sx * sx - sy * sy + (sx - sy) * (sx - sy)).cast("double")
+    t = m.groupBy("trait").agg(
+        F.bool_or("first").alias("_first"),
+        na_kappa("llm_code", "human_code", F.when(F.col("first"), n).otherwise(0)).alias("b"),
+        (total(named, jaccard(F.col("llm_families"), fam)) / total(named, 1)).alias("a"),
+        k.alias("_k"),
+        F.when(d != 0, 1 - k.cast("double") * total(both, (x - y) ** 2) / d).alias("_q"),
+    ).where("_first")
+    t = t.withColumn("w", F.when(F.col("_k").isNotNull(), reliability_weight(F.col("_q"))).otherwise(1.0)).withColumn("rubric_domain", area[F.col("trait")])
     wmean = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w") * F.col(c))) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
     g = t.groupBy("rubric_domain").agg(F.count("*").alias("n_traits"), F.avg("a").alias("a"), F.avg("b").alias("b"), wmean("a").alias("wa"), wmean("b").alias("wb"))
     a, b, wa, wb = (F.col(c) for c in ("a", "b", "wa", "wb"))

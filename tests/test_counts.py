@@ -9,7 +9,7 @@ from tessera.plans import decisions, registry
 from tests.test_oracle import SF, pytestmark  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["area_agreements"])
+@pytest.mark.parametrize("name", ["area_agreements", "triangulation"])
 def test_ratings_are_read_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("received_at#") and sum("Relation [" in line and "feedback#" in line for line in plan.splitlines()) == 1
