@@ -57,3 +57,19 @@ def test_ordinal():
     y = np.clip(np.rint(y + 3), 1, 5)
     e = boosting.expected_level(boosting.fit_ordinal(x, y, trees=30, depth=3, rate=0.2), x)
     assert e.min() >= 1 and e.max() <= 5 and np.corrcoef(e, y)[0, 1] > 0.8
+
+
+def test_trees_do_not_depend_on_the_order_of_rows():
+    x, y = data(300)
+    y, order = np.rint(y * 2) / 2, np.random.default_rng(1).permutation(300)
+    for fit, models in ((boosting.fit, lambda f: [f]), (boosting.fit_ordinal, lambda f: [m for _, m in f])):
+        for a, b in zip(models(fit(x, y, trees=12, depth=5, rows=1)), models(fit(x[order], y[order], trees=12, depth=5, rows=1))):
+            assert all(np.array_equal(getattr(s, k), getattr(t, k)) for s, t in zip(a.trees, b.trees) for k in ("feature", "threshold", "nan_left", "value"))
+
+
+def test_histograms_hold_only_the_bins_of_each_column():
+    x = np.stack([np.arange(90.0), np.repeat([0.0, 1.0, np.nan], 30), np.ones(90)], axis=1)
+    h = boosting.Layout(*boosting._bins(x, 32), 32)
+    assert h.size == sum(len(e) + 2 for e in h.edges) < 3 * 33 and h.missing.tolist() == [False, True, False]
+    f = boosting.fit(x, np.nan_to_num(x[:, 1], nan=3.0), trees=60, rate=0.2, rows=1, columns=1)
+    assert np.abs(f.predict(x) - np.nan_to_num(x[:, 1], nan=3.0)).max() < 0.1
