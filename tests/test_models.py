@@ -73,3 +73,12 @@ def test_histograms_hold_only_the_bins_of_each_column():
     assert h.size == sum(len(e) + 2 for e in h.edges) < 3 * 33 and h.missing.tolist() == [False, True, False]
     f = boosting.fit(x, np.nan_to_num(x[:, 1], nan=3.0), trees=60, rate=0.2, rows=1, columns=1)
     assert np.abs(f.predict(x) - np.nan_to_num(x[:, 1], nan=3.0)).max() < 0.1
+
+
+def test_shapley_walks_each_path_once(monkeypatch):
+    x, y = data(200)
+    f = boosting.fit(x, y, trees=6, depth=4, rate=0.3)
+    monkeypatch.setattr(boosting.Tree, "leaves", None)  # no list of conditions by leaf
+    phi, expected = boosting.shapley(f, x[:40], x[50:60])
+    assert np.abs(phi.sum(axis=1) + expected - f.predict(x[:40])).max() < 1e-9
+    assert np.allclose(boosting.shapley(f, x[:1], x[50:60])[0], phi[:1]) and boosting.shapley(f, x[:0], x[50:60])[0].shape == (0, 4)
