@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pytest
 
 from tessera.operators import boosting
+from tessera.plans import models
+from tessera.plans.features import all_features
 
 
 def data(n=400, seed=0):
@@ -82,3 +86,57 @@ def test_shapley_walks_each_path_once(monkeypatch):
     phi, expected = boosting.shapley(f, x[:40], x[50:60])
     assert np.abs(phi.sum(axis=1) + expected - f.predict(x[:40])).max() < 1e-9
     assert np.allclose(boosting.shapley(f, x[:1], x[50:60])[0], phi[:1]) and boosting.shapley(f, x[:0], x[50:60])[0].shape == (0, 4)
+
+
+def test_rows_held_out_go_down_the_trees_as_they_are_predicted(monkeypatch):
+    x, y = data(400)
+    x[350:, 3] = np.nan
+    train, held = np.arange(300)[::-1], np.arange(300, 400)
+    for few in (0, 1500):  # each column alone, all at once
+        monkeypatch.setattr(boosting, "FEW", few)
+        f, layout, pred = boosting.fit_holding(x, y, train, held, trees=12, depth=5)
+        assert np.allclose(pred, f.predict(x[np.r_[train, held]]), atol=1e-12)
+        models, e = boosting.fit_ordinal_holding(x, np.clip(np.rint(y + 3), 1, 5), train, held, trees=5)
+        assert np.allclose(e, boosting.expected_level(models, x[held]), atol=1e-12)
+        phi = boosting.attributed(f, layout.left, 300, 400, 4)
+        assert np.allclose(phi, boosting.shapley(f, x[held], x[train])[0], atol=1e-12)
+
+
+def test_attributions_are_the_same_in_blocks(monkeypatch):
+    x, y = data(200)
+    f = boosting.fit(x, y, trees=5, depth=4)
+    whole = boosting.shapley(f, x[:40], x[40:])[0]
+    monkeypatch.setattr(boosting, "BLOCK", 7)
+    assert np.allclose(boosting.shapley(f, x[:40], x[40:])[0], whole, atol=1e-12)
+
+
+@pytest.fixture(scope="module")
+def features(spark):
+    m = all_features(spark, DATA).toPandas().set_index("essay_id")
+    return m.astype(float)
+
+
+DATA, HOW = "/root/testdata/sf0.001", {"trees": 3, "depth": 3, "rate": 0.3}
+
+
+@pytest.fixture
+def small(monkeypatch):
+    monkeypatch.setattr(models, "HOW", HOW)
+    # no such bound holds any more
+    monkeypatch.setattr(models, "TRAIN_ROWS", 12, raising=False)
+    monkeypatch.setattr(models, "BACKGROUND", 5, raising=False)
+
+
+def fits(p, features):
+    """(rows of the other folds in their order, rows held out) of each model in a table of predictions."""
+    for (trait, fold), held in p.groupby(["trait", "fold"]):
+        train = p[(p["trait"] == trait) & (p["fold"] != fold)]
+        train = train.loc[sorted(train.index, key=lambda i: md5(f"{train['essay_id'][i]}/{trait}|42".encode()).digest())]
+        yield features.loc[train["essay_id"]].to_numpy(), train["y_true"].to_numpy(), features.loc[held["essay_id"]].to_numpy(), held
+
+
+def test_model_oof_is_fitted_on_all_rows_of_the_other_folds(spark, small, features):
+    p = models.model_oof(spark, DATA).toPandas()
+    assert p["trait"].nunique() == 9 and not p.duplicated(["essay_id", "trait"]).any()
+    for x, y, z, held in fits(p, features):
+        assert len(y) > 12 and np.allclose(boosting.fit(x, y, **HOW).predict(z), held["y_pred"])
