@@ -140,3 +140,10 @@ def test_model_oof_is_fitted_on_all_rows_of_the_other_folds(spark, small, featur
     assert p["trait"].nunique() == 9 and not p.duplicated(["essay_id", "trait"]).any()
     for x, y, z, held in fits(p, features):
         assert len(y) > 12 and np.allclose(boosting.fit(x, y, **HOW).predict(z), held["y_pred"])
+
+
+def test_model_ordinal_is_fitted_on_all_rows_of_the_other_folds(spark, small, features):
+    p = models.model_ordinal(spark, DATA).toPandas()
+    assert p["trait"].nunique() == 9 and not p.duplicated(["essay_id", "trait"]).any()
+    for x, y, z, held in fits(p, features):
+        assert len(y) > 12 and np.allclose(boosting.expected_level(boosting.fit_ordinal(x, y, **HOW), z), held["y_pred"])
