@@ -147,3 +147,14 @@ def test_model_ordinal_is_fitted_on_all_rows_of_the_other_folds(spark, small, fe
     assert p["trait"].nunique() == 9 and not p.duplicated(["essay_id", "trait"]).any()
     for x, y, z, held in fits(p, features):
         assert len(y) > 12 and np.allclose(boosting.expected_level(boosting.fit_ordinal(x, y, **HOW), z), held["y_pred"])
+
+
+def test_tree_shap_has_all_training_rows_as_models_rows_and_background(spark, small, features):
+    p = models.model_oof(spark, DATA).toPandas()
+    a = models.tree_shap(spark, DATA).toPandas()
+    assert a["error"].max() < 1e-9 and len(a) == 8 * len(p)
+    sums = a.groupby(["trait", "essay_id"])["shap_sum"].sum()
+    for x, y, z, held in fits(p, features):
+        f = boosting.fit(x, y, **HOW)
+        own = sums.loc[[(t, e) for t, e in zip(held["trait"], held["essay_id"])]]
+        assert len(y) > 12 and np.allclose(own, f.predict(z) - f.predict(x).mean())
